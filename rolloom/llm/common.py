@@ -111,11 +111,11 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def word_bounds(body: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Starts and ends (bytes) of the runs of anything but ASCII white space; no word spans two texts."""
+def word_bounds(body: np.ndarray, off: np.ndarray, space: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends (bytes) of the runs of anything but ASCII white space, or what else `space` marks; no word spans two texts."""
     if not len(body):
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    ink = ~_SPACE[body]
+    ink = ~space[body]
     before = np.empty(len(body), bool)
     before[0] = False
     before[1:] = ink[:-1]
