@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rolloom.llm import bpe, pii
+from rolloom.llm import bpe, pii, substring
 from rolloom.llm.common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -26,3 +26,21 @@ def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(read(spark, sf_dir, "documents"))
+
+
+@_query
+def op9_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.remove_repeats(read(spark, sf_dir, "documents"))
+
+
+ORACLE["op9_substring"] = r"""
+WITH t AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+p AS (SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS i FROM t),
+s AS (SELECT doc_id, i, array_to_string(w[i:i+12], ' ') AS k FROM p),
+g AS (SELECT doc_id, i, min(doc_id) OVER (PARTITION BY k) AS least FROM s),
+r AS (SELECT DISTINCT doc_id, unnest(range(i, i + 13)) AS i FROM g WHERE least < doc_id),
+x AS (SELECT doc_id, list(i) AS gone FROM r GROUP BY doc_id),
+k AS (SELECT t.doc_id, w, coalesce(gone, []) AS gone FROM t LEFT JOIN x USING (doc_id))
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(gone) AS BIGINT) AS n_removed,
+       sha256(array_to_string(list_transform(list_filter(range(1, len(w) + 1), lambda j: NOT list_contains(gone, j)), lambda j: w[j]), ' ')) AS kept_sha256
+FROM k"""
