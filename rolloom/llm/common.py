@@ -229,3 +229,20 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         raise RuntimeError("components did not settle")
     nodes = now.select(F.col("u").alias("node"), F.col("v").alias("component"))
     return nodes.union(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+
+
+# ---------------------------------------------------------------- order
+
+
+def ranked(df: DataFrame, *order) -> DataFrame:
+    """df with `rank`: 0, 1, ... in the given order, by range partitions and a sum over their sizes; no task gets all rows."""
+    spark = df.sparkSession
+    parts = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    parts = stored(parts.withColumn("_pid", F.spark_partition_id()).withColumn("_row", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))))
+    sizes = sorted((r["_pid"], r["n"]) for r in parts.groupBy("_pid").agg(F.count("*").alias("n")).collect())  # one row a partition
+    at, bases = 0, []
+    for pid, n in sizes:
+        bases.append((pid, at))
+        at += n
+    base = spark.createDataFrame(bases, "_pid int, _base long")
+    return parts.join(F.broadcast(base), "_pid").withColumn("rank", F.col("_base") + F.col("_row")).drop("_pid", "_row", "_base")
