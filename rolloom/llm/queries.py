@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rolloom.llm import bpe, fingerprint, mixing, pii, substring
+from rolloom.llm import bpe, embed_dedup, fingerprint, mixing, pii, substring
 from rolloom.llm.common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -23,6 +23,22 @@ def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(pii.find(read(spark, sf_dir, "documents")))
 
 
+@_query
+def op2_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embed_dedup.link(read(spark, sf_dir, "embeddings"))
+
+
+ORACLE["op2_embedding_dedup"] = """
+WITH RECURSIVE v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+p AS (SELECT a.vec_id AS u, b.vec_id AS v FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id
+      WHERE list_cosine_similarity(a.e, b.e) >= 0.93),
+r(u, v) AS (SELECT vec_id, vec_id FROM v UNION SELECT r.u, p.v FROM r JOIN p ON r.v = p.u),
+c AS (SELECT u, min(v) AS component_id FROM r GROUP BY u),
+n AS (SELECT u, count(*) AS n_links FROM p GROUP BY u)
+SELECT vec_id, coalesce(n_links, 0) AS n_links, component_id, vec_id = component_id AS kept
+FROM v JOIN c ON vec_id = c.u LEFT JOIN n ON vec_id = n.u"""
+
+
 @_query
 def op5_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.fingerprint(read(spark, sf_dir, "documents"))
