@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rolloom.llm import bpe, embed_dedup, fingerprint, mixing, pii, substring
+from rolloom.llm import bpe, embed_dedup, fingerprint, mixing, near_dedup, pii, substring
 from rolloom.llm.common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -44,6 +44,12 @@ def op5_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.fingerprint(read(spark, sf_dir, "documents"))
 
 
+@_query
+def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Null or repeated ids aside, kept marks one document of each component."""
+    return near_dedup.link(read(spark, sf_dir, "documents")).drop("digest")
+
+
 @_query
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(read(spark, sf_dir, "documents"))
