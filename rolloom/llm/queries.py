@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rolloom.llm import bpe, embed_dedup, fingerprint, mixing, near_dedup, pii, substring
+from rolloom.llm import bpe, embed_dedup, fingerprint, license_scan, line_dedup, mixing, near_dedup, pii, substring
 from rolloom.llm.common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -39,6 +39,23 @@ SELECT vec_id, coalesce(n_links, 0) AS n_links, component_id, vec_id = component
 FROM v JOIN c ON vec_id = c.u LEFT JOIN n ON vec_id = n.u"""
 
 
+@_query
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.digest(read(spark, sf_dir, "documents"))
+
+
+ORACLE["op3_line_dedup"] = r"""
+WITH l AS (SELECT doc_id, source, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
+                  unnest(range(len(string_split(coalesce(text, ''), chr(10))))) AS i FROM documents),
+t AS (SELECT doc_id, source, line, i, trim(line, ' ' || chr(9) || chr(13)) AS k FROM l),
+b AS (SELECT k, min(doc_id) AS first FROM t WHERE k <> '' GROUP BY k
+      HAVING count(DISTINCT source) + CAST(count(*) > count(source) AS INT) >= 8),
+m AS (SELECT t.*, coalesce(doc_id <> first, false) AS gone FROM t LEFT JOIN b USING (k))
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_removed,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone), '')) AS kept_sha256
+FROM m GROUP BY doc_id"""
+
+
 @_query
 def op5_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.fingerprint(read(spark, sf_dir, "documents"))
@@ -76,3 +93,11 @@ k AS (SELECT t.doc_id, w, coalesce(gone, []) AS gone FROM t LEFT JOIN x USING (d
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(gone) AS BIGINT) AS n_removed,
        sha256(array_to_string(list_transform(list_filter(range(1, len(w) + 1), lambda j: NOT list_contains(gone, j)), lambda j: w[j]), ' ')) AS kept_sha256
 FROM k"""
+
+
+@_query
+def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(read(spark, sf_dir, "documents"))
+
+
+ORACLE["op10_license_scan"] = license_scan.oracle()
