@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rolloom.llm import bpe, embed_dedup, fingerprint, license_scan, line_dedup, mixing, near_dedup, pii, substring
+from rolloom.llm import bpe, embed_dedup, fingerprint, langid, license_scan, line_dedup, mixing, near_dedup, pii, substring
 from rolloom.llm.common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -56,6 +56,17 @@ SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_removed,
 FROM m GROUP BY doc_id"""
 
 
+@_query
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """lang is the declared language, source the host; documents have no address."""
+    return langid.identify(read(spark, sf_dir, "documents")).drop("th")
+
+
+@_query
+def op4_language_id_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.of_pages(read(spark, sf_dir, "pages")).drop("th")
+
+
 @_query
 def op5_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.fingerprint(read(spark, sf_dir, "documents"))
