@@ -51,32 +51,33 @@ def fingerprints(texts: pa.Array, samples: int = SAMPLES, seed: int = SEED) -> n
     vocabulary, term = np.unique(h, return_inverse=True)
     doc = np.repeat(np.arange(n), np.diff(off))
     code = np.sort(doc * len(vocabulary) + term)
-    new = np.append(True, code[1:] != code[:-1])
-    at = np.flatnonzero(new)
+    at = np.flatnonzero(np.append(True, code[1:] != code[:-1]))
     weight = np.diff(np.append(at, len(code)))
     doc, term = np.divmod(code[at], len(vocabulary))
-    r, c, b = _draw(mix(vocabulary), samples, seed)
-    once = c - r * (1 - b)
-    step = max(1, (1 << 22) // samples)
-    starts = np.flatnonzero(np.append(True, doc[1:] != doc[:-1]))
-    least = np.full((n, samples), np.inf, np.float32)
-    i = 0
-    while i < len(doc):
-        j = min(len(doc), i + step)
-        value = once[term[i:j]]
-        many = np.flatnonzero(weight[i:j] > 1)
-        if len(many):
-            x = term[i:j][many]
-            t = np.floor(np.log(weight[i:j][many]).astype(np.float32)[:, None] / r[x] + b[x])
-            value[many] = c[x] - r[x] * (t + (1 - b[x]))
-        lo, hi = np.searchsorted(starts, (i, j))
-        cut = np.unique(np.append(starts[lo:hi], i)) - i
-        part = np.minimum.reduceat(value, cut, axis=0)
-        who = doc[i + cut]
-        least[who] = np.minimum(least[who], part)
-        i = j
-    some = np.unique(doc)
-    out[some] = (mix(least[some].view(np.uint32).astype(np.uint64)) % np.uint64(65535)).astype(np.uint16)
+    vocabulary = mix(vocabulary)
+    once = np.empty((len(vocabulary), samples), np.float32)  # the values at weight 1, where t is 0
+    for i in range(0, len(vocabulary), 256):
+        r, c, b = _draw(vocabulary[i : i + 256], samples, seed)
+        np.subtract(c, r * (1 - b), out=once[i : i + 256])
+    many = weight > 1
+    heavy, place = np.unique(term[many], return_inverse=True)
+    r, c, b = _draw(vocabulary[heavy], samples, seed)
+    slot = np.full(len(term), -1)
+    slot[many] = place
+    log = np.log(weight).astype(np.float32)
+    starts = np.flatnonzero(np.append(True, doc[1:] != doc[:-1])).tolist()
+    for lo, hi in zip(starts, [*starts[1:], len(doc)]):
+        least = np.full(samples, np.inf, np.float32)
+        for i in range(lo, hi, 4096):
+            j = min(hi, i + 4096)
+            value = once[term[i:j]]
+            more = np.flatnonzero(many[i:j])
+            if len(more):
+                x = slot[i:j][more]
+                t = np.floor(log[i:j][more][:, None] / r[x] + b[x])
+                value[more] = c[x] - r[x] * (t + (1 - b[x]))
+            np.minimum(least, value.min(axis=0), out=least)
+        out[doc[lo]] = (mix(least.view(np.uint32).astype(np.uint64)) % np.uint64(65535)).astype(np.uint16)
     return out
 
 
@@ -93,37 +94,29 @@ def _walk(samples: int, seed: int, texts: bool):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: tuple | None = None
-
-        def rows(ids: list, text: list[str], marks: list[bool], prints: np.ndarray) -> pa.RecordBatch | None:
-            """All but the last of these, which is held."""
-            own = [i for i in range(len(text) - 1) if not marks[i]]
-            if not own:
-                return None
-            edited = []
-            for i in own:
-                half = len(text[i]) // 2
-                edited.append(text[i][: len(text[i]) - half] + text[i + 1][:half])
-            at = np.array(own)
-            e = np.concatenate([fingerprints(s.column(0), samples, seed) for s in slices(iter([pa.RecordBatch.from_arrays([pa.array(edited, pa.string())], names=["text"])]), "text")])
-            cols = {
-                "doc_id": pa.array([ids[i] for i in own], pa.int64()),
-                "n_chars": pa.array([len(text[i]) for i in own], pa.int64()),
-                "edited_sha256": pa.array([hashlib.sha256(x.encode()).hexdigest() for x in edited]),
-                "fingerprint": pa.array(_text(prints[at])),
-                "edited_fingerprint": pa.array(_text(e)),
-                "near_edited": pa.array(likeness(prints[at], e)),
-                "near_next": pa.array(likeness(prints[at], prints[at + 1])),
-            } | ({"edited": pa.array(edited, pa.string())} if texts else {})
-            return pa.RecordBatch.from_arrays(list(cols.values()), names=list(cols))
-
-        for b in slices(batches, "text"):
+        for b in slices(batches, "text", 1 << 19):
             ids, text, marks = (b.column(i).to_pylist() for i in (0, 1, 2))
-            prints = fingerprints(b.column(1), samples, seed)
+            new = len(text)
             if held:
-                ids, text, marks, prints = [held[0], *ids], [held[1], *text], [held[2], *marks], np.concatenate([held[3], prints])
-            if (out := rows(ids, text, marks, prints)) is not None:
-                yield out
+                ids, text, marks = [held[0], *ids], [held[1], *text], [held[2], *marks]
+            own = [i for i in range(len(text) - 1) if not marks[i]]
+            halves = [len(text[i]) // 2 for i in own]
+            edited = [text[i][: len(text[i]) - half] + text[i + 1][:half] for i, half in zip(own, halves)]
+            # the texts and the edited ones have most of their words in common
+            both = fingerprints(pa.array([*text[len(text) - new :], *edited], pa.string()), samples, seed)
+            prints, e, at = both[:new] if not held else np.concatenate([held[3], both[:new]]), both[new:], np.array(own, np.int64)
             held = ids[-1], text[-1], marks[-1], prints[-1:]
+            if own:
+                cols = {
+                    "doc_id": pa.array([ids[i] for i in own], pa.int64()),
+                    "n_chars": pa.array([len(text[i]) for i in own], pa.int64()),
+                    "edited_sha256": pa.array([hashlib.sha256(x.encode()).hexdigest() for x in edited]),
+                    "fingerprint": pa.array(_text(prints[at])),
+                    "edited_fingerprint": pa.array(_text(e)),
+                    "near_edited": pa.array(likeness(prints[at], e)),
+                    "near_next": pa.array(likeness(prints[at], prints[at + 1])),
+                } | ({"edited": pa.array(edited, pa.string())} if texts else {})
+                yield pa.RecordBatch.from_arrays(list(cols.values()), names=list(cols))
 
     return run
 
