@@ -3,8 +3,8 @@
 A document is the set of its word shingles. Two documents are linked if the smaller set is at least `ratio` times
 the larger and at least `containment` of it is in the larger. Documents are partitioned by set size, each
 partition reaching up to 1 / ratio times its least size, so that links join a partition with itself or the next.
-For such a pair of partitions the containment is worth a Jaccard similarity of at least
-containment / (1 + x / q - containment), q and x being the sizes; bands and rows are tuned for each pair.
+For sizes q <= x the containment is worth a Jaccard similarity of at least containment / (1 + x / q - containment);
+bands and rows are tuned for each partition and the next one to the least such similarity between them.
 """
 
 from __future__ import annotations
@@ -20,9 +20,9 @@ from pyspark.sql import functions as F
 
 from rolloom.llm.common import components, flat, grams, hash_spans, mix, slices, small, stored, word_bounds
 
-WORDS, CONTAINMENT, RATIO = 3, 0.7, 0.6
-#: Hash values of a signature, and with what probability a pair at the threshold may be missed.
-HASHES, MISS = 72, 0.01
+WORDS, CONTAINMENT, RATIO = 3, 0.7, 0.75
+#: Hash values of a signature, and with what probability a pair at the threshold may be missed by the index.
+HASHES, MISS = 144, 0.02
 SEED = 6
 #: Ids at or above this stand for documents without one.
 NAMELESS = 1 << 62
@@ -52,23 +52,33 @@ def shingles(texts: pa.Array, words: int = WORDS) -> tuple[np.ndarray, np.ndarra
 
 def partition(size: np.ndarray, ratio: float) -> np.ndarray:
     """Numbers of the size partitions: the p-th begins at bound(p)."""
-    p = np.floor(np.log(np.maximum(size, 1)) / -math.log(ratio) + 1e-9).astype(np.int64)
-    return p
+    return np.floor(np.log(np.maximum(size, 1)) / -math.log(ratio) + 1e-9).astype(np.int64)
 
 
 def bound(p: int, ratio: float) -> int:
     return math.ceil(ratio**-p - 1e-6)
 
 
-def tuned(p: int, q: int, containment: float, ratio: float, hashes: int = HASHES, miss: float = MISS) -> tuple[int, int]:
-    """(bands, rows) for queries from partition p against partition q >= p: as many rows as the miss rate allows, then as few bands."""
-    most = min(1 / ratio, max(bound(q + 1, ratio) - 1, 1) / bound(p, ratio))
-    s = containment / (1 + most - containment)
-    for rows in range(8, 1, -1):
-        bands = hashes // rows
-        if (1 - s**rows) ** bands <= miss:
-            return (1 if s >= 1 else min(bands, math.ceil(math.log(miss) / math.log(1 - s**rows)))), rows
-    return hashes // 2, 2
+def jaccard(most: float, containment: float) -> float:
+    """The least similarity of linked sets of which the larger has up to `most` times the smaller one's size."""
+    return containment / (1 + most - containment)
+
+
+def tuned(p: int, containment: float, ratio: float, hashes: int = HASHES, miss: float = MISS) -> tuple[int, int]:
+    """(bands, rows) for partitions p and p + 1: as many rows as the miss rate allows."""
+    s = jaccard(min(1 / ratio, max(bound(p + 2, ratio) - 1, 1) / bound(p, ratio)), containment)
+    rows = max([r for r in range(2, 9) if (1 - s**r) ** (hashes // r) <= miss] or [2])
+    return hashes // rows, rows
+
+
+def least_bands(s: float, bands: int, rows: int, miss: float) -> int:
+    """In how many bands two sets of similarity s meet at least, but for a probability of at most `miss`; 1 or more."""
+    p, below = s**rows, 0.0
+    for c in range(bands + 1):
+        below += math.comb(bands, c) * p**c * (1 - p) ** (bands - c)
+        if below > miss:
+            return max(1, c)
+    return bands
 
 
 def _sign(hashes: int, words: int, seed: int):
@@ -94,7 +104,7 @@ def _sign(hashes: int, words: int, seed: int):
 
 
 def _bands(containment: float, ratio: float, hashes: int, miss: float):
-    """(key, id, size) for each band of each pair of partitions that the document takes part in."""
+    """(key, id, size, low) for each band of partition `low` and the next: a document is in two such pairs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -103,15 +113,13 @@ def _bands(containment: float, ratio: float, hashes: int, miss: float):
             part = partition(size, ratio)
             for p in np.unique(part).tolist():
                 at = np.flatnonzero(part == p)
-                for low, high in ((p, p), (p, p + 1), (p - 1, p)):
-                    if low < 0:
-                        continue
-                    bands, rows = tuned(low, high, containment, ratio, hashes, miss)
+                for low in range(max(p - 1, 0), p + 1):
+                    bands, rows = tuned(low, containment, ratio, hashes, miss)
                     for band in range(bands):
-                        key = np.full(len(at), ((low * 2 + high - low) << 20 | band) * 16 + rows, np.uint64)
+                        key = np.full(len(at), (low << 20 | band) * 16 + rows, np.uint64)
                         for r in range(rows):
                             key = mix(key * np.uint64(0x9E3779B97F4A7C15) + sig[at, band * rows + r])
-                        yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(ids[at]), pa.array(size[at])], names=["key", "id", "size"])
+                        yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(ids[at]), pa.array(size[at]), pa.array(np.full(len(at), low, np.int32))], names=["key", "id", "size", "low"])
 
     return run
 
@@ -149,8 +157,9 @@ def link(docs: DataFrame, containment: float = CONTAINMENT, ratio: float = RATIO
     doc_id: in classes and links like others, but no component's number if it has an id. Repeated rows: equal
     results. Empty table: no rows. Other columns are ignored.
 
-    In each bucket of the index every class is checked against one, then only those that this left in different
-    components. No bucket is too large: all steps are joins and sums with a row for each class and bucket.
+    In each bucket of the index every class is checked against one; then those pairs of a bucket that this left in
+    different components and that meet in as many bands as linked sets of their sizes would. A pair at the
+    threshold is missed with a probability of at most 1.5 x miss, a closer one much less.
     """
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     signed = stored(slim.mapInArrow(_sign(hashes, words, SEED), "doc_id long, digest string, size int, sig binary"))
@@ -158,9 +167,9 @@ def link(docs: DataFrame, containment: float = CONTAINMENT, ratio: float = RATIO
     classes = signed.groupBy("digest").agg(F.coalesce(F.min("doc_id"), nameless).alias("id"), F.count("*").alias("n"), F.first("size").alias("size"), F.first("sig").alias("sig"))
     classes = stored(classes)
 
-    bands = classes.filter("size > 0").select("id", "size", "sig").mapInArrow(_bands(containment, ratio, hashes, miss), "key long, id long, size int")
+    bands = classes.filter("size > 0").select("id", "size", "sig").mapInArrow(_bands(containment, ratio, hashes, miss), "key long, id long, size int, low int")
     shared = bands.groupBy("key").agg(F.min("id").alias("pivot"), F.max("id").alias("last")).filter("pivot < last").select("key", "pivot")
-    members = stored(bands.join(shared, "key").select("key", "id", "size", "pivot"))
+    members = stored(bands.hint("merge").join(shared, "key").select("key", "id", "size", "low", "pivot"))
     near = lambda a, b: F.least(a, b) >= ratio * F.greatest(a, b)
 
     def checked(pairs: DataFrame) -> DataFrame:
@@ -182,11 +191,19 @@ def link(docs: DataFrame, containment: float = CONTAINMENT, ratio: float = RATIO
     stars = members.filter("id <> pivot").select("id", "pivot", "size").distinct().join(sizes, "pivot").filter(near(F.col("size"), F.col("pivot_size"))).select(F.col("pivot").alias("u"), F.col("id").alias("v"))
     links = checked(stars)
     comp = components(links)
-    placed = members.join(comp.withColumnRenamed("node", "id"), "id", "left").select("key", "id", "size", F.coalesce("component", "id").alias("component"), "pivot")
+    placed = members.join(comp.withColumnRenamed("node", "id"), "id", "left").select("key", "id", "size", "low", F.coalesce("component", "id").alias("component"), "pivot")
     open_ = placed.groupBy("key").agg(F.min("component").alias("c"), F.max("component").alias("d")).filter("c < d").select("key")
-    placed = stored(placed.join(open_, "key", "left_semi"))
-    one, two = placed.alias("a"), placed.filter("id <> pivot").alias("b")
-    rest = one.filter("id <> pivot").join(two, F.expr("a.key = b.key and a.id < b.id and a.component <> b.component")).filter(near(F.col("a.size"), F.col("b.size"))).select(F.col("a.id").alias("u"), F.col("b.id").alias("v")).distinct()
+    placed = stored(placed.join(open_, "key", "left_semi").filter("id <> pivot"))
+    # two sets meet in a number of bands; too few for their sizes' threshold, and they aren't linked
+    part = lambda size: F.floor(F.log(size.cast("double")) / -math.log(ratio) + 1e-9)
+    a, b = F.col("a.size"), F.col("b.size")
+    meet = F.expr("a.key = b.key and a.id < b.id and a.component <> b.component") & near(a, b) & (F.least(part(a), part(b)) == F.col("a.low"))
+    rest = placed.alias("a").join(placed.alias("b"), meet).groupBy(F.col("a.id").alias("u"), F.col("b.id").alias("v"), F.least(a, b).alias("q"), F.greatest(a, b).alias("x"), F.col("a.low").alias("low")).count()
+    lows = int(partition(np.array([signed.agg(F.max("size")).first()[0] or 1]), ratio)[0]) + 1
+    steps = 16
+    table = [[least_bands(jaccard(1 + (1 / ratio - 1) * (i + 1) / steps, containment), *tuned(low, containment, ratio, hashes, miss), miss / 2) for i in range(steps)] for low in range(lows)]
+    step = F.least(F.lit(steps), F.greatest(F.lit(1), F.ceil((F.col("x") / F.col("q") - 1) / (1 / ratio - 1) * steps))).cast("int")
+    rest = rest.filter(F.col("count") >= F.element_at(F.element_at(F.array(*(F.array(*map(F.lit, row)) for row in table)), F.col("low") + 1), step)).select("u", "v")
     more = checked(rest)
     links = links.union(more).distinct()
     comp = components(links).withColumnRenamed("node", "id")
