@@ -9,7 +9,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: A side is broadcast only if its written size is at most this many bytes.
@@ -24,6 +24,23 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def keyed(docs: DataFrame) -> DataFrame:
+    """(row, doc_id, th, text): each row of docs as a struct, so that no name of its columns clashes with ours, with its
+    id, a hash of its text and its text, null as empty."""
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    return docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("th"), text.alias("text"))
+
+
+def unpacked(rows: DataFrame, docs: DataFrame, text: Column | None = None) -> DataFrame:
+    """The rows of docs again, with another text if one is given; a column n_chars then says its length."""
+    row = F.col("row")
+    if text is not None:
+        row = row.withField("text", text)
+        if "n_chars" in docs.columns:
+            row = row.withField("n_chars", F.char_length(text).cast(docs.schema["n_chars"].dataType))
+    return rows.select(row.alias("row")).select("row.*")
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share. Only a local session, as in tests, may lack the setting."""
     named = spark.conf.get("spark.checkpoint.dir", None)

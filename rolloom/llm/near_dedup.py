@@ -14,15 +14,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rolloom.llm.common import components, flat, grams, hash_spans, mix, slices, small, stored, word_bounds
+from rolloom.llm.common import components, flat, grams, hash_spans, keyed, mix, slices, small, stored, word_bounds
 
-WORDS, CONTAINMENT, RATIO = 3, 0.7, 0.75
+WORDS, CONTAINMENT, RATIO = 3, 0.7, 0.6
 #: Hash values of a signature, and with what probability a pair at the threshold may be missed by the index.
-HASHES, MISS = 144, 0.02
+HASHES, MISS = 144, 0.01
 SEED = 6
 #: Ids at or above this stand for documents without one.
 NAMELESS = 1 << 62
@@ -87,9 +86,7 @@ def _sign(hashes: int, words: int, seed: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "text"):
-            texts = b.column(1)
-            body, boff = flat(texts)
-            digest = [xxhash.xxh3_128_hexdigest(body[boff[i] : boff[i + 1]].tobytes()) for i in range(len(texts))]
+            texts = b.column(2)
             h, off = shingles(texts, words)
             size = np.diff(off)
             some = np.flatnonzero(size)
@@ -98,7 +95,7 @@ def _sign(hashes: int, words: int, seed: int):
                 h = mix(h)
                 for k in range(hashes):
                     sig[some, k] = np.minimum.reduceat(h * factor[k] >> np.uint64(32), off[some]).astype("<u4")
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(digest), pa.array(size.astype(np.int32)), pa.array([x.tobytes() for x in sig], pa.binary())], names=["doc_id", "digest", "size", "sig"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(size.astype(np.int32)), pa.array([x.tobytes() for x in sig], pa.binary())], names=["doc_id", "digest", "size", "sig"])
 
     return run
 
@@ -161,7 +158,7 @@ def link(docs: DataFrame, containment: float = CONTAINMENT, ratio: float = RATIO
     different components and that meet in as many bands as linked sets of their sizes would. A pair at the
     threshold is missed with a probability of at most 1.5 x miss, a closer one much less.
     """
-    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    slim = keyed(docs).select("doc_id", F.md5("text").alias("digest"), "text")
     signed = stored(slim.mapInArrow(_sign(hashes, words, SEED), "doc_id long, digest string, size int, sig binary"))
     nameless = F.lit(NAMELESS) + F.pmod(F.xxhash64("digest"), F.lit(NAMELESS - 1))
     classes = signed.groupBy("digest").agg(F.coalesce(F.min("doc_id"), nameless).alias("id"), F.count("*").alias("n"), F.first("size").alias("size"), F.first("sig").alias("sig"))
@@ -180,7 +177,7 @@ def link(docs: DataFrame, containment: float = CONTAINMENT, ratio: float = RATIO
         lost = classes.filter(F.col("id") >= NAMELESS).select("id", "digest")
         own = named.join(who.withColumnRenamed("id", "doc_id"), "doc_id", "left_semi").select(F.col("doc_id").alias("id"), "text")
         if not lost.isEmpty():
-            extra = slim.filter("doc_id is null").mapInArrow(_digests, "digest string, text string").join(lost, "digest").select("id", "text")
+            extra = slim.filter("doc_id is null").join(lost, "digest").select("id", "text")
             own = own.union(extra.join(who, "id", "left_semi"))
         own = stored(own.groupBy("id").agg(F.first("text").alias("text")))
         both = pairs.join(own.select(F.col("id").alias("v"), F.col("text").alias("text_b")), "v").join(own.select(F.col("id").alias("u"), F.col("text").alias("text_a")), "u")
@@ -220,26 +217,10 @@ def link(docs: DataFrame, containment: float = CONTAINMENT, ratio: float = RATIO
     )
 
 
-def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        t = b.column(b.schema.get_field_index("text"))
-        yield pa.RecordBatch.from_arrays([pa.array([xxhash.xxh3_128_hexdigest(x or "") for x in t.to_pylist()], pa.string()), t], names=["digest", "text"])
-
-
 def one_of_each(docs: DataFrame, **how) -> DataFrame:
     """docs without all but the kept document of each component, with the columns of docs; cases as in link().
     Equal rows of a kept document are one."""
-    kept = link(docs, **how).filter("kept").select("doc_id", "digest").distinct().select(F.col("doc_id").alias("_id"), F.col("digest").alias("_digest"))
-    own = docs.withColumn("_text", F.coalesce(F.col("text").cast("string"), F.lit("")))
-    ids = own.join(kept.select("_id").distinct(), F.col("doc_id").cast("long").eqNullSafe(F.col("_id")), "left_semi")
-    tagged = ids.mapInArrow(_tag, ids.drop("_text").withColumn("_digest", F.lit("")).schema)
-    both = tagged.withColumnRenamed("_digest", "_d").join(kept, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.col("_d") == F.col("_digest")), "left_semi")
-    return both.dropDuplicates(["doc_id", "_d"]).select(*docs.columns)
-
-
-def _tag(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        at = b.schema.get_field_index("_text")
-        d = [xxhash.xxh3_128_hexdigest(x or "") for x in b.column(at).to_pylist()]
-        cols = [*(c for i, c in enumerate(b.columns) if i != at), pa.array(d, pa.string())]
-        yield pa.RecordBatch.from_arrays(cols, names=[*(n for i, n in enumerate(b.schema.names) if i != at), "_digest"])
+    kept = link(docs, **how).filter("kept").select(F.col("doc_id").alias("_id"), F.col("digest").alias("_digest")).distinct()
+    own = keyed(docs).withColumn("digest", F.md5("text"))
+    both = own.join(kept, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("digest") == F.col("_digest")), "left_semi")
+    return unpacked(both.groupBy("doc_id", "digest").agg(F.first("row").alias("row")), docs)
