@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from rolloom.llm.common import flat, slices, small, stored
+from rolloom.llm.common import flat, keyed, slices, small, stored, unpacked
 
 #: The models are fitted on at most so many labelled texts of each language, of at most so many characters each.
 TRAIN_TEXTS, TRAIN_CHARS, MAX_LANGUAGES = 400, 20_000, 64
@@ -163,8 +163,8 @@ def identify(docs: DataFrame, declared: str | Column = "lang", host: str | Colum
 def in_language(docs: DataFrame, **how) -> DataFrame:
     """docs without those that identify() rejects, with the columns of docs; cases as there."""
     bad = small(stored(identify(docs, **how).filter("not kept").select(F.col("doc_id").alias("_id"), F.col("th").alias("_th")).distinct()))
-    own = docs.withColumn("_h", F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))))
-    return own.join(bad, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.col("_h") == F.col("_th")), "left_anti").select(*docs.columns)
+    own = keyed(docs)
+    return unpacked(own.join(bad, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("th") == F.col("_th")), "left_anti"), docs)
 
 
 def page_text(html: Column) -> Column:

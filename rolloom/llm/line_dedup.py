@@ -13,7 +13,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rolloom.llm.common import small, stored
+from rolloom.llm.common import keyed, small, stored, unpacked
 
 #: A line on so many sites is boilerplate.
 MIN_SITES = 8
@@ -79,18 +79,16 @@ def boilerplate(docs: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
 
 
 def _marked(docs: DataFrame, min_sites: int) -> DataFrame:
-    """docs with _gone: positions of the lines to remove, null if there are none."""
+    """keyed(docs) with _gone: positions of the lines to remove, null if there are none."""
     found = small(stored(boilerplate(docs, min_sites).select("h1", "h2", "first")))
     hits = _lines(docs, True).join(found, ["h1", "h2"]).filter(F.col("first").isNotNull() & ~F.col("doc_id").eqNullSafe(F.col("first")))
     hits = hits.groupBy("doc_id", "th").agg(F.collect_set("at").alias("_gone")).select(F.col("doc_id").alias("_id"), F.col("th").alias("_th"), "_gone")
     hits = small(stored(hits))
-    own = docs.withColumn("_h", F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))))
-    return own.join(hits, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.col("_h") == F.col("_th")), "left").drop("_id", "_th", "_h")
+    return keyed(docs).join(hits, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("th") == F.col("_th")), "left").drop("_id", "_th")
 
 
 def _kept() -> Column:
-    lines = F.split(F.col("text").cast("string"), "\n")
-    return F.when(F.col("_gone").isNull(), F.col("text").cast("string")).otherwise(F.array_join(F.filter(lines, lambda line, i: ~F.array_contains("_gone", i)), "\n"))
+    return F.when(F.col("_gone").isNull(), F.col("text")).otherwise(F.array_join(F.filter(F.split("text", "\n"), lambda line, i: ~F.array_contains("_gone", i)), "\n"))
 
 
 def remove_boilerplate(docs: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
@@ -100,18 +98,14 @@ def remove_boilerplate(docs: DataFrame, min_sites: int = MIN_SITES) -> DataFrame
     with the smallest doc_id that has it, so that no content is lost altogether. Null text stays null. Null
     source: a site of its own. Null doc_id: never the first; if no document with the line has an id, it stays.
     Repeated rows: equal results. Empty table: no rows. A text that loses all lines is empty, its row stays. If
-    there is a column n_chars, it is kept up to date.
+    there is a column n_chars, it is brought up to date where lines went.
     """
-    out = _marked(docs, min_sites).withColumn("text", _kept())
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("_gone").isNull(), F.col("n_chars")).otherwise(F.char_length("text").cast(docs.schema["n_chars"].dataType)))
-    return out.select(*docs.columns)
+    out = _marked(docs, min_sites)
+    same, cut = out.filter("_gone is null"), out.filter("_gone is not null")
+    return unpacked(same, docs).unionByName(unpacked(cut, docs, _kept()))
 
 
 def digest(docs: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
     """(doc_id, n_lines, n_removed, kept_sha256), a row for each row of docs; null text: as empty."""
     out = _marked(docs, min_sites)
-    return out.select(
-        F.col("doc_id").cast("long").alias("doc_id"), F.size(F.split(F.coalesce(F.col("text").cast("string"), F.lit("")), "\n")).cast("long").alias("n_lines"),
-        F.coalesce(F.size("_gone"), F.lit(0)).cast("long").alias("n_removed"), F.sha2(F.coalesce(_kept(), F.lit("")), 256).alias("kept_sha256"),
-    )
+    return out.select("doc_id", F.size(F.split("text", "\n")).cast("long").alias("n_lines"), F.coalesce(F.size("_gone"), F.lit(0)).cast("long").alias("n_removed"), F.sha2(_kept(), 256).alias("kept_sha256"))

@@ -14,8 +14,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
-from rolloom.llm.common import mix, ranked, small, stored
+from rolloom.llm.common import keyed, mix, ranked, small, stored, unpacked
 
 BLOCK = 1024
 #: Slots of an output shard, on average.
@@ -170,11 +171,10 @@ def mixed(docs: DataFrame, block: int = BLOCK, seed: int = SEED) -> DataFrame:
 
 
 def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """For each document and pass over its source the words that are taken, in the order of the text, as rows like the document's."""
+    """For each document and pass over its source the words that are taken, in the order of the text."""
     for b in batches:
-        names = b.schema.names
         rows, text = [], []
-        for i, (t, takes) in enumerate(zip(b.column(names.index("text")).to_pylist(), b.column(names.index("takes")).to_pylist())):
+        for i, (t, takes) in enumerate(zip(b.column(1).to_pylist(), b.column(2).to_pylist())):
             words = t.encode().split()
             by: dict[tuple[int, int], list[tuple[int, int]]] = {}
             for x in takes:
@@ -182,9 +182,7 @@ def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for k in sorted(by):
                 rows.append(i)
                 text.append(b" ".join(w for lo, hi in sorted(by[k]) for w in words[lo:hi]).decode())
-        out = b.take(pa.array(rows, pa.int64())).drop_columns(["takes"])
-        at = out.schema.get_field_index("text")
-        yield pa.RecordBatch.from_arrays([pa.array(text, pa.string()) if j == at else c for j, c in enumerate(out.columns)], names=out.schema.names)
+        yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(rows, pa.int64())), pa.array(text, pa.string())], names=["row", "mixed"])
 
 
 def mixed_documents(docs: DataFrame, block: int = BLOCK, seed: int = SEED) -> DataFrame:
@@ -194,11 +192,12 @@ def mixed_documents(docs: DataFrame, block: int = BLOCK, seed: int = SEED) -> Da
     start = F.col("block") * block - F.col("off")
     takes = taken.select(F.col("doc_id").alias("d2"), F.col("th").alias("h2"), F.struct("turn", "off", (start + F.col("a")).alias("lo"), (start + F.col("b")).alias("hi")).alias("x"))
     takes = takes.groupBy("d2", "h2").agg(F.collect_list("x").alias("takes"))
-    own = docs.withColumns({"text": F.col("text").cast("string"), "th": F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))})
-    both = own.join(takes, F.col("doc_id").cast("long").eqNullSafe(F.col("d2")) & (F.col("th") == F.col("h2")))
-    # equal rows have one list of takes between them
-    both = both.withColumn("n", F.row_number().over(Window.partitionBy("d2", "h2").orderBy(F.lit(1)))).filter("n = 1").select(*docs.columns, "takes")
-    return both.mapInArrow(_words, own.drop("th").schema)
+    own = keyed(docs)
+    # equal ids and texts have one list of takes between them
+    once = own.groupBy("doc_id", "th").agg(F.first("row").alias("row"), F.first("text").alias("text"))
+    both = once.join(takes, F.col("doc_id").eqNullSafe(F.col("d2")) & (F.col("th") == F.col("h2"))).select("row", "text", "takes")
+    out = both.mapInArrow(_words, StructType([both.schema["row"], StructField("mixed", StringType())]))
+    return unpacked(out, docs, F.col("mixed"))
 
 
 def packed(docs: DataFrame, block: int = BLOCK, seed: int = SEED) -> DataFrame:
