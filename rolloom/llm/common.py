@@ -12,8 +12,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: A side is broadcast only if its written size is at most this many bytes.
-BROADCAST_BYTES = 8 << 20
+#: A side is broadcast only if it was written and has at most so many bytes and rows.
+BROADCAST_BYTES, BROADCAST_ROWS = 8 << 20, 500_000
 #: Vectorised steps look at about so many bytes of text at a time, whatever the size of Arrow's batches.
 SLICE_BYTES = 1 << 20
 
@@ -76,8 +76,8 @@ def bytes_stored(df: DataFrame) -> int:
 
 
 def small(df: DataFrame) -> DataFrame:
-    """A stored table, marked for broadcast if its size was measured to be within BROADCAST_BYTES; else joined by shuffle."""
-    return F.broadcast(df) if bytes_stored(df) <= BROADCAST_BYTES else df
+    """A stored table, marked for broadcast if its size was measured to be within the bounds; else joined by shuffle."""
+    return F.broadcast(df) if bytes_stored(df) <= BROADCAST_BYTES and df.count() <= BROADCAST_ROWS else df
 
 
 # ---------------------------------------------------------------- text in Arrow batches

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rolloom.llm.common import components, flat, grams, hash_spans, keyed, mix, slices, small, stored, word_bounds
+from rolloom.llm.common import components, flat, grams, hash_spans, keyed, mix, slices, small, stored, unpacked, word_bounds
 
 WORDS, CONTAINMENT, RATIO = 3, 0.7, 0.6
 #: Hash values of a signature, and with what probability a pair at the threshold may be missed by the index.

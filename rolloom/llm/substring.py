@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from rolloom.llm.common import BROADCAST_BYTES, bytes_stored, flat, grams, slices, stored, words_of
+from rolloom.llm.common import flat, grams, slices, small, stored, words_of
 
 DEPTH, GRAM = 13, 5
 #: Most runs in a group that one task sorts at once, about 100 bytes each.
@@ -222,7 +222,7 @@ def remove_repeats(docs: DataFrame, texts: bool = False, group: int = GROUP) ->
     seen = seen.select("a", "b", "proven", F.min("b").over(by).alias("lo"), F.max("b").over(by).alias("hi")).filter("proven or lo < hi")
     keys = stored(seen.select(F.when(F.col("proven"), F.col("b")).otherwise(F.col("a")).alias("key"), F.when(F.col("proven"), F.col("a")).otherwise(F.col("b")).alias("th")))
     hot = stored(keys.groupBy("key").count().filter(F.col("count") > group).select("key", F.lit(True).alias("hot")))
-    keys = keys.join(F.broadcast(hot) if bytes_stored(hot) <= BROADCAST_BYTES else hot, "key", "left")
+    keys = keys.join(small(hot), "key", "left")
     by_text = keys.groupBy("th").agg(F.collect_set("key").alias("keys"), F.collect_set(F.when(F.col("hot"), F.col("key"))).alias("hot"))
     wanted = firsts.select("doc_id", "th").join(by_text, "th")
     chosen = stored(slim.join(wanted, ["doc_id", "th"]).select("doc_id", "text", "keys", "hot", "th"))
