@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -17,10 +18,36 @@ BROADCAST_BYTES, BROADCAST_ROWS = 8 << 20, 500_000
 #: Vectorised steps look at about so many bytes of text at a time, whatever the size of Arrow's batches.
 SLICE_BYTES = 1 << 20
 
+#: Most rows of an Arrow batch: texts are long, and a batch stands in the executor's memory and in the worker's.
+BATCH_ROWS = 1000
+
 _fallback: list[str] = []
 
 
+def _frugal() -> None:
+    """Python workers stay from stage to stage; what they have freed should go back to the system."""
+    pa.set_memory_pool(pa.system_memory_pool())
+    try:
+        libc = ctypes.CDLL("libc.so.6")
+        libc.mallopt(-3, 8 << 20)  # larger blocks are mapped by themselves
+        libc.mallopt(-1, 16 << 20)  # more than this at the heap's end goes back
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
+_frugal()
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Limits the session's Arrow batches, unless they are smaller already."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(spark.conf.get(name))
+    if now <= 0 or now > BATCH_ROWS:
+        spark.conf.set(name, str(BATCH_ROWS))
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
