@@ -114,7 +114,8 @@ def record_meta(*columns: str) -> Column:
 
 
 def write(rows: DataFrame, target: str | Path, to: str = "jsonl", card: str | None = None) -> int:
-    """Rows as one JSON-lines file or a Parquet directory, with a card beside; returns their number.
+    """Rows as one JSON-lines file, with a card beside, or as Parquet in the directory's data, with the card in it; returns
+    their number.
 
     A Parquet export of no rows is an error. The one file is streamed through the driver partition by partition.
     """
@@ -124,7 +125,7 @@ def write(rows: DataFrame, target: str | Path, to: str = "jsonl", card: str | No
         n = rows.count()
         if not n:
             raise RuntimeError("no rows to export")
-        rows.write.mode("overwrite").parquet(str(target))
+        rows.write.mode("overwrite").parquet(str(target / "data"))
         if card:
             (target / "README.md").write_text(card, encoding="utf-8")
         return n

@@ -22,7 +22,7 @@ def from_files(spark: SparkSession, folder: str, glob: str | None = None, suffix
         reader = reader.option("pathGlobFilter", glob)
     files = reader.load(folder).filter(F.col("path").rlike(r"(?i)\.(" + "|".join(suffixes) + r")$"))
     path = F.regexp_replace("path", "^file:/*", "/")
-    text = F.replace(F.decode("content", "UTF-8"), F.lit("�"), F.lit(""))
+    text = F.replace(F.make_valid_utf8(F.col("content").cast("string")), F.lit("\ufffd"), F.lit(""))
     return files.select(
         stable_id(path).alias("source_id"), F.substring(text, 1, max_chars).alias("body"),
         F.create_map(F.lit("path"), path, F.lit("name"), F.element_at(F.split(path, "/"), -1)).alias("metadata"),
