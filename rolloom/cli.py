@@ -33,7 +33,7 @@ class {cls}(Domain):
         return chat("TASK:propose. ...", item["body"])
 
     def validate(self, candidate):
-        return []
+        return []  # texts on what is wrong
 
     def solver_prompt(self, candidate):
         return chat("TASK:solve. ...", str(candidate["payload"]))
@@ -106,18 +106,14 @@ def export_run(spark, run_dir: str, fmt: str, to: str = "jsonl", out: str | None
         if fmt == "parquet":
             return export.write(raw.drop("payload"), out or f"{run_dir}/exports/accepted", "parquet")
         path = Path(out or f"{run_dir}/exports/accepted.jsonl")
-        path.parent.mkdir(parents=True, exist_ok=True)
-        n = 0
-        with path.open("w") as f:
-            for r in raw.select("payload").toLocalIterator():
-                f.write(r["payload"] + "\n")
-                n += 1
-        return n
+        path.parent.mkdir(exist_ok=True, parents=True)
+        with open(path, "w", encoding="utf-8") as f:
+            return sum(bool(f.write(r["payload"] + "\n")) for r in raw.select("payload").toLocalIterator())
     c = settings.load_snapshot(f"{run_dir}/config.snapshot.yaml")
     domain = domains.build(c.domain.name, c.domain.path, c.domain.params)
     verifiable = (c.acceptance.mode or domain.mode) == "verifiable"
     guards = replace(guards, verifiable=verifiable)
-    needs = fmt == "dpo" or (fmt == "sft" and guards.completion == "best-strong")
+    needs = (fmt, guards.completion if fmt == "sft" else "") in (("dpo", ""), ("sft", "best-strong"))
     static = {
         "mode": F.lit("verifiable" if verifiable else c.acceptance.mode or domain.mode),
         "models": F.to_json(F.create_map(*(F.lit(x) for r in ("challenger", "weak", "strong", "judge", *(["audit"] if c.audit.enabled else [])) for x in (r, c.model(r).provider_model)))),
@@ -136,7 +132,7 @@ def main(args: list[str] | None = None, spark=None) -> int:
         if target.exists():
             print(f"{target} exists", file=sys.stderr)
             return 1
-        target.parent.mkdir(parents=True, exist_ok=True)
+        target.parent.mkdir(exist_ok=True, parents=True)
         target.write_text(TEMPLATE.format(name=a.name, cls=camel(a.name)))
         print(target)
         return 0

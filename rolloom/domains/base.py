@@ -68,7 +68,7 @@ class Domain(ABC):
 
 
 def chat(system: str, user: str) -> Messages:
-    return [{"role": "system", "content": system}, {"role": "user", "content": user}]
+    return [dict(role=r, content=c) for r, c in (("system", system), ("user", user))]
 
 
 def rubric(*criteria: tuple[str, str, int]) -> list[dict]:

@@ -112,7 +112,11 @@ def unfenced(text: Column | str) -> Column:
 
 
 #: The patterns of the default safety filter; digits and word characters beyond ASCII count, as does a final line end.
-PII = (("SSN", r"(?dU)\b\d{3}-\d{2}-\d{4}\b"), ("credit-card-like", r"(?dU)\b(?:\d[ -]*?){13,19}\b"), ("email", r"(?dU)\b[\w.+-]+@[\w-]+\.[\w.-]+\b"))
+PII = (
+    ("SSN", r"(?dU)\b\d\d\d-\d\d-\d\d\d\d\b"),
+    ("credit-card-like", r"(?dU)\b(?:\d[-\x20]*?){13,19}\b"),
+    ("email", r"(?dU)\b[-+.\w]+@[-\w]+\.[-.\w]+\b"),
+)
 
 
 def pii_reasons(text: Column | str) -> Column:

@@ -111,7 +111,8 @@ def candidate(text: str, most: int) -> dict:
             w = int(c.get("weight", 1))
         except (TypeError, ValueError, OverflowError):
             w = 1
-        rubric.append({"id": str(c.get("id") or f"c{i + 1}"), "description": str(c.get("description") or "").strip() or f"criterion {i + 1}", "weight": max(1, min(most, w))})
+        about, n = str(c.get("description") or "").strip(), i + 1
+        rubric.append({"weight": max(1, min(most, w)), "id": str(c.get("id") or "") or f"c{n}", "description": about or f"criterion {n}"})
     return {"payload": payload, "rubric": rubric, "reference_output": reference}
 
 

@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-import importlib
-import importlib.util
 import inspect
 import re
 from collections.abc import Callable
+from importlib import import_module
+from importlib import util as loading
 from pathlib import Path
 
+from rolloom.functions.columns import PII
+
 Filter = Callable[[str], tuple[bool, list[str]]]
 
-_PATTERNS = (("SSN", re.compile(r"\b\d{3}-\d{2}-\d{4}\b")), ("credit-card-like", re.compile(r"\b(?:\d[ -]*?){13,19}\b")), ("email", re.compile(r"\b[\w.+-]+@[\w-]+\.[\w.-]+\b")))
+_PATTERNS = tuple((name, re.compile(p.removeprefix("(?dU)"))) for name, p in PII)
 
 
 def default_filter(text: str) -> tuple[bool, list[str]]:
@@ -28,11 +30,11 @@ def load_object(spec: str):
     if where.endswith(".py"):
         if not Path(where).exists():
             raise FileNotFoundError(where)
-        found = importlib.util.spec_from_file_location(f"rolloom_user_{Path(where).stem}", where)
-        module = importlib.util.module_from_spec(found)
+        found = loading.spec_from_file_location(f"rolloom_user_{Path(where).stem}", where)
+        module = loading.module_from_spec(found)
         found.loader.exec_module(module)
     else:
-        module = importlib.import_module(where)
+        module = import_module(where)
     return getattr(module, name)
 
 
@@ -42,8 +44,11 @@ def load_filter(spec: str | None) -> Filter:
     f = load_object(spec)
     if not callable(f):
         raise TypeError(f"{spec} can't be called")
+    takes = inspect.signature(f)
     try:
-        inspect.signature(f).bind("")
-    except TypeError as e:
-        raise TypeError(f"{spec} must take one text") from e
-    return f
+        takes.bind("some text")
+    except TypeError:
+        why = f"{spec} must take one text"
+    else:
+        return f
+    raise TypeError(why)

@@ -6,14 +6,14 @@ import hashlib
 import json
 import math
 import random
-from dataclasses import asdict, dataclass, replace
+from dataclasses import asdict, dataclass, field, replace
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from rolloom.functions.columns import stable_id
 
-ROLES = ("challenger", "quality", "judge", "solver", "reflector", "audit")
+ROLES = tuple("audit challenger judge quality reflector solver".split())
 
 
 # ---------------------------------------------------------------- over tables
@@ -73,11 +73,11 @@ class Harness:
     audit: tuple[str, ...] = ()
     rubric_max_weight: int = 7
     require_self_test: bool = False
-    parent_id: str | None = None
     iteration: int = 0
-    rationale: str = ""
-    train_score: float | None = None
+    parent_id: str | None = None
     val_score: float | None = None
+    train_score: float | None = None
+    rationale: str = ""
 
     @property
     def harness_id(self) -> str:
@@ -91,7 +91,7 @@ class Harness:
         """Of the rules and knobs alone."""
         return _digest("harness", self._content())
 
-    def rules_for(self, role: str) -> list[str]:
+    def rules_for(self, role: str, /) -> list[str]:
         """A solver's role is weak or strong; the loop judge has the judge's rules."""
         own = {"weak": "solver", "strong": "solver", "loop_judge": "judge"}.get(role, role)
         rules = list(getattr(self, own, ()))
@@ -148,10 +148,11 @@ class Record:
     harness: Harness
     accepted: bool
     train_score: float = 0.0
-    val_scores: list[float] | None = None
+    val_scores: list[float] = field(default_factory=list)
 
     @property
-    def val_mean(self) -> float | None:
+    def val_mean(self):
+        """Of all validations so far; null before the first."""
         if self.val_scores:
             return math.fsum(self.val_scores) / len(self.val_scores)
         return self.harness.val_score

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from rolloom.functions.columns import rounded
 
-FORMATS = ("sft", "dpo", "grpo")
+FORMATS = ("dpo", "grpo", "sft")
 
 
 @dataclass(frozen=True)
@@ -24,9 +24,9 @@ class Guards:
 
     verifiable: bool = False
     completion: str = "reference"  # or best-strong
-    min_score: float = 0.75
+    min_margin: float = 0.3
     min_chosen: float = 0.75
-    min_margin: float = 0.30
+    min_score: float = 0.75
 
 
 def attempts(records: DataFrame, truncated: DataFrame | None = None) -> DataFrame:
@@ -129,12 +129,11 @@ def write(rows: DataFrame, target: str | Path, to: str = "jsonl", card: str | No
         if card:
             (target / "README.md").write_text(card, encoding="utf-8")
         return n
-    target.parent.mkdir(parents=True, exist_ok=True)
-    n = 0
-    with target.open("w", encoding="utf-8") as f:
-        for r in rows.select(F.to_json(F.struct("*")).alias("j")).toLocalIterator():
-            f.write(r["j"] + "\n")
-            n += 1
+    n, lines = 0, rows.select(F.to_json(F.struct("*")).alias("j"))
+    target.parent.mkdir(exist_ok=True, parents=True)
+    with open(target, mode="w", encoding="utf-8") as out:
+        for n, r in enumerate(lines.toLocalIterator(), 1):  # noqa: B007
+            print(r["j"], file=out)
     if card:
         target.with_suffix(".README.md").write_text(card, encoding="utf-8")
     return n

@@ -18,16 +18,16 @@ from rolloom.functions.columns import exact_mean, fixed, reasons, rounded
 class Limits:
     """Acceptance thresholds. An average at strong_avg_max is already too high; all others may be met exactly."""
 
-    weak_avg_max: float = 0.65
-    weak_max_max: float = 0.75
-    forbid_weak_zero: bool = True
-    strong_avg_min: float = 0.60
+    min_gap: float = 0.2
     strong_avg_max: float = 0.95
-    min_gap: float = 0.20
+    weak_avg_max: float = 0.65
     require_quality_passed: bool = True
+    strong_avg_min: float = 0.6
+    verifiable_strong_min_correct: int = 3
+    weak_max_max: float = 0.75
     rubric_max_weight: int = 7
     verifiable_weak_max_correct: int = 1
-    verifiable_strong_min_correct: int = 3
+    forbid_weak_zero: bool = True
 
 
 def report(scores: DataFrame, *keys: str) -> DataFrame:

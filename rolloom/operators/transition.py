@@ -13,8 +13,9 @@ from dataclasses import dataclass, field
 from statistics import mean, pstdev
 from typing import Any
 
-from rolloom.domains.base import Domain, chat
+from rolloom.domains.base import Domain, chat, lines
 from rolloom.functions import replies
+from rolloom.functions.columns import RULE_HEAD
 from rolloom.operators.evolve import SEED, Harness
 from rolloom.sources.config import RunConfig
 
@@ -147,10 +148,11 @@ class Machine:
     def _with_rules(messages: list[dict], rules: list[str]) -> list[dict]:
         if not rules:
             return messages
-        block = "Further rules:\n" + "\n".join(f"- {r}" for r in rules)
-        if messages and messages[0]["role"] == "system":
-            return [{"role": "system", "content": f"{messages[0]['content']}\n\n{block}"}, *messages[1:]]
-        return [{"role": "system", "content": block}, *messages]
+        block = RULE_HEAD + lines(rules)
+        first, *rest = messages or [{"role": "user", "content": ""}]
+        if first["role"] != "system":
+            return [first | {"role": "system", "content": block}, *messages]
+        return [first | {"content": f"{first['content']}\n\n{block}"}, *rest]
 
     def _solvers(self, item: dict, *roles: str) -> list[dict]:
         n = {"weak": self.config.loop.weak_samples, "strong": self.config.loop.strong_samples}
@@ -319,7 +321,8 @@ class Machine:
         if check["passed"]:
             return self._decide(out, r, grounding, audited=True)
         failures = check["failures"] or ["unspecified"]
-        r = r | {"accepted": False, "rationale": None, "reasons": [f"audit:{f}" for f in failures]}
+        reasons = ["audit:" + f for f in failures]
+        r = r | {"accepted": False, "rationale": None, "reasons": reasons}
         self._decide(out, r, grounding, feedback=[f"the audit failed: {f}" for f in failures], reflect=False, audited=True)
 
     def _decide(self, out: Outcome, r: dict, grounding: dict, feedback: list[str] | None = None, reflect: bool = True, audited: bool = False) -> None:

@@ -94,7 +94,8 @@ class MockBatch:
         for raw in self.held.pop(batch_id)[0]:
             r = json.loads(raw)
             text = self.handler(None, r["body"]["messages"])
-            out.append(json.dumps({"custom_id": r["custom_id"], "response": {"status_code": 200, "body": {"model": r["body"]["model"], "choices": [{"message": {"content": text}}], "usage": {"prompt_tokens": 1, "completion_tokens": 1}}}}))
+            body = dict(model=r["body"]["model"], usage=dict(prompt_tokens=1, completion_tokens=1), choices=[dict(message=dict(content=text))])
+            out.append(json.dumps(dict(custom_id=r["custom_id"], response=dict(status_code=200, body=body))))
         return out
 
 
@@ -120,7 +121,8 @@ class OpenAIBatch:
         return self._client.batches.create(input_file_id=file.id, endpoint="/v1/chat/completions", completion_window=self.window).id
 
     def is_complete(self, batch_id: str) -> bool:
-        return self._client.batches.retrieve(batch_id).status in self.ENDED
+        status = self._client.batches.retrieve(batch_id).status
+        return status in self.ENDED
 
     def fetch(self, batch_id: str) -> list[str]:
         b = self._client.batches.retrieve(batch_id)
@@ -134,15 +136,15 @@ class AnthropicBatch:
     name = "anthropic"
     encode = staticmethod(messages_request)
     decode = staticmethod(messages_reply)
-    URL = "https://api.anthropic.com/v1/messages/batches"
+    VERSION = "2023-06-01"
+    KEY, URL = "ANTHROPIC_API_KEY", "https://api.anthropic.com/v1/messages/batches"
 
     def _call(self, url: str, body: dict | None = None) -> str:
         import urllib.request
 
-        key = os.environ.get("ANTHROPIC_API_KEY")
-        if not key:
-            raise RuntimeError("ANTHROPIC_API_KEY isn't set")
-        head = {"x-api-key": key, "anthropic-version": "2023-06-01", "content-type": "application/json"}
+        if not (key := os.getenv(self.KEY)):
+            raise RuntimeError(f"{self.KEY} isn't set")
+        head = {"content-type": "application/json", "x-api-key": key} | {"anthropic-version": self.VERSION}
         with urllib.request.urlopen(urllib.request.Request(url, None if body is None else json.dumps(body).encode(), head), timeout=120) as f:
             return f.read().decode()
 
@@ -150,7 +152,8 @@ class AnthropicBatch:
         return json.loads(self._call(self.URL, {"requests": [json.loads(x) for x in lines]}))["id"]
 
     def is_complete(self, batch_id: str) -> bool:
-        return json.loads(self._call(f"{self.URL}/{batch_id}"))["processing_status"] == "ended"
+        status = json.loads(self._call(f"{self.URL}/{batch_id}"))["processing_status"]
+        return status == "ended"
 
     def fetch(self, batch_id: str) -> list[str]:
         return [x for x in self._call(f"{self.URL}/{batch_id}/results").splitlines() if x.strip()]

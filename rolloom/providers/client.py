@@ -72,7 +72,7 @@ class Client:
     def __post_init__(self):
         self.buckets: dict[str, Bucket] = {}
 
-    def complete(self, role: str, model: str, messages: list[dict], json_mode: bool = False, temperature: float | None = None, max_tokens: int | None = None) -> dict:
+    def complete(self, role: str, model: str, messages: list[dict], json_mode: bool = False, temperature: float | None = None, max_tokens: int | None = None):
         """{model, text, prompt_tokens, completion_tokens, cost_usd, duration_ms}."""
         begun = time.monotonic()
         if model.startswith("mock/"):

@@ -2,16 +2,16 @@
 
 from __future__ import annotations
 
-import hashlib
 import json
 import re
 from collections.abc import Callable
+from hashlib import sha256
 
 Handler = Callable[[str | None, list[dict]], str]
 
 #: Words of our prompts by which a request without a role is recognised, in this order.
 TAGS = (("challenger", "TASK:propose"), ("quality", "TASK:check"), ("judge", "TASK:score"), ("loop_judge", "TASK:decide"), ("reflector", "TASK:reflect"), ("weak", "TASK:solve"))
-_ROUND = re.compile(r"ROUND[=:\s]+(\d+)")
+_ROUND = re.compile(r"ROUND[\s:=]+([0-9]+)")
 _handlers: dict[str, Handler] = {}
 
 
@@ -42,13 +42,17 @@ def round_of(messages: list[dict]) -> int:
     return int(m[1]) if m else 1
 
 
+def say(**reply) -> str:
+    return json.dumps(reply)
+
+
 def _bit(text: str, n: int) -> int:
-    return int(hashlib.sha256(text.encode()).hexdigest(), 16) % n
+    return int(sha256(text.encode()).hexdigest(), 16) % n
 
 
 def proposal(messages: list[dict], **payload) -> str:
     own = payload or {"question": f"Which detail matters, {_bit(joined(messages), 10**6)}?", "context": "As the source has it.", "reasoning_skills": ["reading"]}
-    return json.dumps({"payload": own, "reference_output": "the detail of the source", "rubric": [{"id": "c1", "description": "names it", "weight": 5}, {"id": "c2", "description": "says why", "weight": 3}]})
+    return say(payload=own, rubric=[dict(weight=w, id=i, description=d) for i, d, w in (("c1", "names it", 5), ("c2", "says why", 3))], reference_output="the detail of the source")
 
 
 @register("default")
@@ -58,17 +62,17 @@ def default(role: str | None, messages: list[dict]) -> str:
     if role == "challenger":
         return proposal(messages)
     if role in ("quality", "audit"):
-        return json.dumps({"passed": True, "failures": [], "notes": ""})
+        return say(notes="", passed=True, failures=[])
     if role in ("weak", "strong"):
         return f"{role} answer {_bit(text, 1000)}"
     if role == "judge":
         total = 0.85 if "strong answer" in text else 0.4
-        return json.dumps({"per_criterion": {"c1": total, "c2": total}, "total": total, "failure_modes": []})
+        return say(total=total, failure_modes=[], per_criterion=dict.fromkeys(("c1", "c2"), total))
     if role == "loop_judge":
-        return json.dumps({"verdict": "accept", "reason": "a clear gap", "suggestion": "", "suitability": "high"})
+        return say(verdict="accept", reason="a clear gap", suggestion="", suitability="high")
     if role == "reflector":
-        return json.dumps({"feedback": ["be specific"], "new_angle": "the exception"})
-    return json.dumps({"rationale": "one more rule", "challenger_rules_add": [f"Ask about rare detail {_bit(text, 100)}."]})
+        return say(new_angle="the exception", feedback=["name the detail"])
+    return say(challenger_rules_add=[f"Ask about rare detail {_bit(text, 100)}."], rationale="one more rule")
 
 
 register("scripted")(default)
@@ -77,7 +81,7 @@ register("scripted")(default)
 @register("reject")
 def reject(role: str | None, messages: list[dict]) -> str:
     """Weak answers are as good as strong ones."""
-    return json.dumps({"per_criterion": {}, "total": 0.9, "failure_modes": ["same"]}) if role_of(role, messages) == "judge" else default(role, messages)
+    return say(total=0.9, failure_modes=["same"]) if role_of(role, messages) == "judge" else default(role, messages)
 
 
 @register("second_round")
@@ -97,9 +101,9 @@ def failing(role: str | None, messages: list[dict]) -> str:
 def metaopt(role: str | None, messages: list[dict]) -> str:
     """Quality passes only with a rule on rare details."""
     if role_of(role, messages) == "quality":
-        return json.dumps({"passed": "rare" in joined(messages) or _bit(joined(messages), 3) == 0, "failures": ["generic: any reader knows"], "notes": ""})
+        return say(passed="rare" in joined(messages) or not _bit(joined(messages), 3), failures=["generic: any reader knows"])
     if role == "meta_mutator":
-        return json.dumps({"rationale": "generic questions", "quality_rules_add": ["Let rare details pass."]})
+        return say(quality_rules_add=["Let rare details pass."], rationale="generic questions")
     return default(role, messages)
 
 

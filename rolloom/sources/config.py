@@ -13,13 +13,17 @@ import yaml
 from rolloom.operators.scoring import Limits
 
 
+def _empty():
+    return field(default_factory=dict)
+
+
 @dataclass(frozen=True)
 class Model:
-    provider_model: str = "mock/scripted"
-    temperature: float | None = None
     max_tokens: int = 8192
+    provider_model: str = "mock/" + "scripted"
+    extra: dict = _empty()
     top_p: float = 1.0
-    extra: dict = field(default_factory=dict)
+    temperature: float | None = None
 
 
 @dataclass(frozen=True)
@@ -33,24 +37,24 @@ class Acceptance(Limits):
 
 @dataclass(frozen=True)
 class Audit:
-    enabled: bool = False
-    include_evidence: bool = True
     grounding_chars: int = 4000
+    include_evidence: bool = True
+    enabled: bool = False
 
 
 @dataclass(frozen=True)
 class Loop:
+    short_circuit_strong: bool = True
     max_rounds: int = 20
-    weak_samples: int = 4
     strong_samples: int = 4
-    short_circuit_strong: bool = True
+    weak_samples: int = 4
 
 
 @dataclass(frozen=True)
 class Domain:
     name: str | None = None
+    params: dict = _empty()
     path: str | None = None
-    params: dict = field(default_factory=dict)
 
     def __post_init__(self):
         if not (self.name or self.path):
@@ -65,15 +69,15 @@ class Safety:
 
 @dataclass(frozen=True)
 class Dispatch:
+    mode: str = "local"
     concurrency: int = 4
     batch_size: int = 10_000
+    batch_completion_window: str = "24h"
+    batch_provider: str = "openai"
+    items_per_advance: int = 50
+    max_request_failures: int = 3
     poll_interval_s: float = 5.0
     shutdown_grace_s: float = 5.0
-    max_request_failures: int = 3
-    items_per_advance: int = 50
-    mode: str = "local"
-    batch_provider: str = "openai"
-    batch_completion_window: str = "24h"
 
     def __post_init__(self):
         if self.mode not in ("local", "batch"):
@@ -82,64 +86,69 @@ class Dispatch:
 
 @dataclass(frozen=True)
 class Evolution:
+    boltzmann_temp: float = 0.1
     enabled: bool = False
+    inner_max_rounds: int = 3
     max_iterations: int = 20
-    boltzmann_temp: float = 0.1
+    inner_max_examples_per_run: int = 8
+    max_val_reevals: int = 5
+    output_subdir: str = "metaopt"
     train_size: int = 6
-    val_size: int = 4
     val_seed: int = 1
-    max_val_reevals: int = 5
-    mutator: Model | None = None
+    val_size: int = 4
     seed_harness_path: str | None = None
-    inner_max_examples_per_run: int = 8
-    inner_max_rounds: int = 3
-    output_subdir: str = "metaopt"
+    mutator: Model | None = None
+
+
+#: Which setting names the model of a role; all others are the judge's.
+MODELS = dict(challenger="challenger", weak="weak_solver", strong="strong_solver", reflector="orchestrator", audit="auditor")
 
 
 @dataclass(frozen=True)
 class RunConfig:
     domain: Domain
-    run_id: str | None = None
-    output_dir: str = "outputs"
-    loop: Loop = field(default_factory=Loop)
     acceptance: Acceptance = field(default_factory=Acceptance)
     audit: Audit = field(default_factory=Audit)
-    orchestrator: Model = field(default_factory=Model)
+    auditor: Model | None = None
+    budget_usd: float | None = None
     challenger: Model = field(default_factory=Model)
-    weak_solver: Model = field(default_factory=Model)
-    strong_solver: Model = field(default_factory=Model)
+    dispatcher: Dispatch = field(default_factory=Dispatch)
     judge: Model = field(default_factory=Model)
-    auditor: Model | None = None
+    loop: Loop = field(default_factory=Loop)
     max_examples: int = 10
-    request_timeout_s: int = 60
     max_retries: int = 3
-    safety: Safety = field(default_factory=Safety)
-    resume: bool = True
-    dispatcher: Dispatch = field(default_factory=Dispatch)
-    budget_usd: float | None = None
-    prices: dict = field(default_factory=dict)  # model: [USD per million prompt tokens, per million completion tokens]
-    rate_limits: dict = field(default_factory=dict)  # model or glob: requests a minute
     metaopt: Evolution = field(default_factory=Evolution)
+    orchestrator: Model = field(default_factory=Model)
+    output_dir: str = "outputs"
+    prices: dict = _empty()  # model or glob: [USD per million prompt tokens, per million completion tokens]
+    rate_limits: dict = _empty()  # model or glob: requests a minute
+    request_timeout_s: int = 60
+    resume: bool = True
+    run_id: str | None = None
+    safety: Safety = field(default_factory=Safety)
+    strong_solver: Model = field(default_factory=Model)
+    weak_solver: Model = field(default_factory=Model)
 
     def __post_init__(self):
-        if self.audit.enabled and self.auditor is not None and self.dispatcher.mode == "batch":
-            own = self.auditor.provider_model.split("/", 1)[0]
-            if own != self.dispatcher.batch_provider:
-                raise ValueError(f"the auditor's provider {own!r} isn't the batch provider {self.dispatcher.batch_provider!r}")
+        """In batch mode all requests go to one provider, the auditor's too."""
+        d = self.dispatcher
+        if d.mode == "batch" and self.audit.enabled and self.auditor:
+            own = self.auditor.provider_model.partition("/")[0]
+            if own != d.batch_provider:
+                raise ValueError(f"the auditor's provider {own!r} isn't the batch provider {d.batch_provider!r}")
 
     def model(self, role: str) -> Model:
         """The model that plays a role."""
-        name = {"challenger": "challenger", "weak": "weak_solver", "strong": "strong_solver", "reflector": "orchestrator", "audit": "auditor"}.get(role, "judge")
-        return getattr(self, name) or self.judge
+        return getattr(self, MODELS.get(role, "judge")) or self.judge
 
 
-_VAR = re.compile(r"\$\{([A-Za-z_][A-Za-z0-9_]*)(?::([^}]*))?\}")
+_VAR = re.compile(r"[$][{](?P<name>[A-Za-z_]\w*)(?::(?P<other>[^}]*))?[}]", re.ASCII)
 
 
 def interpolate(value: Any) -> Any:
     """Environment variables into all strings; one that is unset and has no default stays as it is written."""
     if isinstance(value, str):
-        return _VAR.sub(lambda m: os.environ.get(m[1], m[0] if m[2] is None else m[2]), value)
+        return _VAR.sub(lambda m: os.environ.get(m["name"], m[0] if m["other"] is None else m["other"]), value)
     if isinstance(value, dict):
         return {k: interpolate(v) for k, v in value.items()}
     return [interpolate(v) for v in value] if isinstance(value, list) else value
