@@ -22,6 +22,8 @@ from rolloom.llm.common import components, flat, grams, hash_spans, keyed, mix,
 WORDS, CONTAINMENT, RATIO = 3, 0.7, 0.6
 #: Hash values of a signature, and with what probability a pair at the threshold may be missed by the index.
 HASHES, MISS = 144, 0.01
+#: Standard deviations that a pair's estimate may be below the threshold; 2.5 miss 0.6 % of pairs right at it.
+SLACK = 2.5
 SEED = 6
 #: Ids at or above this stand for documents without one.
 NAMELESS = 1 << 62
@@ -95,7 +97,7 @@ def _sign(hashes: int, words: int, seed: int):
                 h = mix(h)
                 for k in range(hashes):
                     sig[some, k] = np.minimum.reduceat(h * factor[k] >> np.uint64(32), off[some]).astype("<u4")
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(size.astype(np.int32)), pa.array([x.tobytes() for x in sig], pa.binary())], names=["doc_id", "digest", "size", "sig"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(size.astype(np.int32)), pa.array([x.tobytes() for x in sig], pa.binary()), pa.array([x.tobytes() for x in sig.astype(np.uint8)], pa.binary())], names=["doc_id", "digest", "size", "sig", "sketch"])
 
     return run
 
@@ -108,15 +110,20 @@ def _bands(containment: float, ratio: float, hashes: int, miss: float):
             ids, size = b.column(0).to_numpy(), b.column(1).to_numpy()
             sig = np.frombuffer(b"".join(b.column(2).to_pylist()), "<u4").reshape(len(ids), hashes)
             part = partition(size, ratio)
+            keys, who, lows = [], [], []
             for p in np.unique(part).tolist():
                 at = np.flatnonzero(part == p)
                 for low in range(max(p - 1, 0), p + 1):
                     bands, rows = tuned(low, containment, ratio, hashes, miss)
-                    for band in range(bands):
-                        key = np.full(len(at), (low << 20 | band) * 16 + rows, np.uint64)
-                        for r in range(rows):
-                            key = mix(key * np.uint64(0x9E3779B97F4A7C15) + sig[at, band * rows + r])
-                        yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(ids[at]), pa.array(size[at]), pa.array(np.full(len(at), low, np.int32))], names=["key", "id", "size", "low"])
+                    key = ((low << 20 | np.arange(bands, dtype=np.uint64)) * np.uint64(16) + np.uint64(rows))[:, None] + np.zeros(len(at), np.uint64)
+                    for r in range(rows):
+                        key = mix(key * np.uint64(0x9E3779B97F4A7C15) + sig[at, r : bands * rows : rows].T)
+                    keys.append(key.ravel())
+                    who.append(np.tile(at, bands))
+                    lows.append(np.full(key.size, low, np.int32))
+            if keys:
+                at = np.concatenate(who)
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(ids[at]), pa.array(size[at]), pa.array(np.concatenate(lows))], names=["key", "id", "size", "low"])
 
     return run
 
@@ -127,6 +134,23 @@ def contained(a: np.ndarray, b: np.ndarray, containment: float, ratio: float) ->
     return q > 0 and q >= ratio * x and len(np.intersect1d(a, b, assume_unique=True)) >= containment * q
 
 
+def _likely(containment: float, hashes: int, slack: float):
+    """Pairs (u, v) whose sketches, a byte of each hash value, agree as often as linked sets of their sizes would, less
+    `slack` standard deviations."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            n = b.num_rows
+            x, y = (np.frombuffer(b"".join(b.column(i).to_pylist()), np.uint8).reshape(n, hashes) for i in (4, 5))
+            p, q = (b.column(i).to_numpy().astype(float) for i in (2, 3))
+            s = containment / (1 + np.maximum(p, q) / np.minimum(p, q) - containment)
+            seen = ((x == y).mean(axis=1) - 1 / 256) / (1 - 1 / 256)
+            mask = pa.array(seen >= s - slack * np.sqrt(s * (1 - s) / hashes))
+            yield pa.RecordBatch.from_arrays([b.column(0).filter(mask), b.column(1).filter(mask)], names=["u", "v"])
+
+    return run
+
+
 def _check(containment: float, ratio: float, words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "text_b", 1 << 18):
@@ -156,12 +180,12 @@ def link(docs: DataFrame, containment: float = CONTAINMENT, ratio: float = RATIO
 
     In each bucket of the index every class is checked against one; then those pairs of a bucket that this left in
     different components and that meet in as many bands as linked sets of their sizes would. A pair at the
-    threshold is missed with a probability of at most 1.5 x miss, a closer one much less.
+    threshold is missed with a probability of at most 2.5 x miss, a closer one much less.
     """
     slim = keyed(docs).select("doc_id", F.md5("text").alias("digest"), "text")
-    signed = stored(slim.mapInArrow(_sign(hashes, words, SEED), "doc_id long, digest string, size int, sig binary"))
+    signed = stored(slim.mapInArrow(_sign(hashes, words, SEED), "doc_id long, digest string, size int, sig binary, sketch binary"))
     nameless = F.lit(NAMELESS) + F.pmod(F.xxhash64("digest"), F.lit(NAMELESS - 1))
-    classes = signed.groupBy("digest").agg(F.coalesce(F.min("doc_id"), nameless).alias("id"), F.count("*").alias("n"), F.first("size").alias("size"), F.first("sig").alias("sig"))
+    classes = signed.groupBy("digest").agg(F.coalesce(F.min("doc_id"), nameless).alias("id"), F.count("*").alias("n"), F.first("size").alias("size"), F.first("sig").alias("sig"), F.first("sketch").alias("sketch"))
     classes = stored(classes)
 
     bands = classes.filter("size > 0").select("id", "size", "sig").mapInArrow(_bands(containment, ratio, hashes, miss), "key long, id long, size int, low int")
@@ -170,8 +194,11 @@ def link(docs: DataFrame, containment: float = CONTAINMENT, ratio: float = RATIO
     near = lambda a, b: F.least(a, b) >= ratio * F.greatest(a, b)
 
     def checked(pairs: DataFrame) -> DataFrame:
-        """The links among pairs (u, v)."""
-        pairs = stored(pairs)
+        """The links among pairs (u, v): by their sketches first, then by their texts."""
+        own = classes.select("id", "size", "sketch")
+        one, two = (own.select(F.col("id").alias(k), F.col("size").alias(f"size_{k}"), F.col("sketch").alias(f"sketch_{k}")) for k in "uv")
+        both = pairs.join(two, "v").join(one, "u").select("u", "v", "size_u", "size_v", "sketch_u", "sketch_v")
+        pairs = stored(both.mapInArrow(_likely(containment, hashes, SLACK), "u long, v long"))
         who = small(stored(pairs.select(F.col("u").alias("id")).union(pairs.select(F.col("v"))).distinct()))
         named = slim.select(F.coalesce("doc_id", F.lit(-1)).alias("doc_id"), "text")
         lost = classes.filter(F.col("id") >= NAMELESS).select("id", "digest")
@@ -190,24 +217,25 @@ def link(docs: DataFrame, containment: float = CONTAINMENT, ratio: float = RATIO
     comp = components(links)
     placed = members.join(comp.withColumnRenamed("node", "id"), "id", "left").select("key", "id", "size", "low", F.coalesce("component", "id").alias("component"), "pivot")
     open_ = placed.groupBy("key").agg(F.min("component").alias("c"), F.max("component").alias("d")).filter("c < d").select("key")
-    placed = stored(placed.join(open_, "key", "left_semi").filter("id <> pivot"))
     # two sets meet in a number of bands; too few for their sizes' threshold, and they aren't linked
-    part = lambda size: F.floor(F.log(size.cast("double")) / -math.log(ratio) + 1e-9)
-    a, b = F.col("a.size"), F.col("b.size")
-    meet = F.expr("a.key = b.key and a.id < b.id and a.component <> b.component") & near(a, b) & (F.least(part(a), part(b)) == F.col("a.low"))
-    rest = placed.alias("a").join(placed.alias("b"), meet).groupBy(F.col("a.id").alias("u"), F.col("b.id").alias("v"), F.least(a, b).alias("q"), F.greatest(a, b).alias("x"), F.col("a.low").alias("low")).count()
+    placed = stored(placed.join(open_, "key", "left_semi").filter("id <> pivot"))
     lows = int(partition(np.array([signed.agg(F.max("size")).first()[0] or 1]), ratio)[0]) + 1
     steps = 16
     table = [[least_bands(jaccard(1 + (1 / ratio - 1) * (i + 1) / steps, containment), *tuned(low, containment, ratio, hashes, miss), miss / 2) for i in range(steps)] for low in range(lows)]
-    step = F.least(F.lit(steps), F.greatest(F.lit(1), F.ceil((F.col("x") / F.col("q") - 1) / (1 / ratio - 1) * steps))).cast("int")
-    rest = rest.filter(F.col("count") >= F.element_at(F.element_at(F.array(*(F.array(*map(F.lit, row)) for row in table)), F.col("low") + 1), step)).select("u", "v")
+    part = lambda size: F.floor(F.log(size.cast("double")) / -math.log(ratio) + 1e-9)
+    a, b = F.col("a.size"), F.col("b.size")
+    step = F.least(F.lit(steps), F.greatest(F.lit(1), F.ceil((F.greatest(a, b) / F.least(a, b) - 1) / (1 / ratio - 1) * steps))).cast("int")
+    need = F.element_at(F.element_at(F.array(*(F.array(*map(F.lit, row)) for row in table)), F.col("a.low") + 1), step)
+    meet = F.expr("a.key = b.key and a.id < b.id and a.component <> b.component") & near(a, b) & (F.least(part(a), part(b)) == F.col("a.low"))
+    rest = placed.alias("a").join(placed.alias("b"), meet).groupBy(F.col("a.id").alias("u"), F.col("b.id").alias("v"), need.alias("need")).count()
+    rest = rest.filter("count >= need").select("u", "v")
     more = checked(rest)
     links = links.union(more).distinct()
     comp = components(links).withColumnRenamed("node", "id")
 
     both_ways = links.union(links.select("v", "u"))
     counts = both_ways.join(classes.select(F.col("id").alias("v"), "n"), "v").groupBy("u").agg(F.sum("n").alias("links")).withColumnRenamed("u", "id")
-    known = classes.drop("sig").join(comp, "id", "left").join(counts, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    known = classes.drop("sig", "sketch").join(comp, "id", "left").join(counts, "id", "left").withColumn("component", F.coalesce("component", "id"))
     best = known.groupBy("component").agg(F.max(F.struct("size", (-F.col("id")).alias("less"))).alias("b")).select("component", (-F.col("b.less")).alias("best"))
     known = known.join(best, "component").select("digest", "id", "component", "best", (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
     out = signed.select("doc_id", "digest").join(known, "digest")
@@ -220,7 +248,8 @@ def link(docs: DataFrame, containment: float = CONTAINMENT, ratio: float = RATIO
 def one_of_each(docs: DataFrame, **how) -> DataFrame:
     """docs without all but the kept document of each component, with the columns of docs; cases as in link().
     Equal rows of a kept document are one."""
-    kept = link(docs, **how).filter("kept").select(F.col("doc_id").alias("_id"), F.col("digest").alias("_digest")).distinct()
-    own = keyed(docs).withColumn("digest", F.md5("text"))
-    both = own.join(kept, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("digest") == F.col("_digest")), "left_semi")
-    return unpacked(both.groupBy("doc_id", "digest").agg(F.first("row").alias("row")), docs)
+    named = F.coalesce("doc_id", F.lit(-1 << 63)).alias("id")
+    kept = link(docs, **how).filter("kept").select(named, "digest").distinct()
+    # join and grouping have the same keys, so that texts are shuffled once
+    both = keyed(docs).select("row", named, F.md5("text").alias("digest")).join(kept, ["id", "digest"], "left_semi")
+    return unpacked(both.groupBy("id", "digest").agg(F.first("row").alias("row")), docs)
