@@ -190,12 +190,12 @@ def mixed_documents(docs: DataFrame, block: int = BLOCK, seed: int = SEED) -> Da
     those words, joined by single spaces. Documents of which nothing is taken are gone. Cases: as in mixed()."""
     _, _, taken = _drawn(docs, block, seed)
     start = F.col("block") * block - F.col("off")
-    takes = taken.select(F.col("doc_id").alias("d2"), F.col("th").alias("h2"), F.struct("turn", "off", (start + F.col("a")).alias("lo"), (start + F.col("b")).alias("hi")).alias("x"))
-    takes = takes.groupBy("d2", "h2").agg(F.collect_list("x").alias("takes"))
-    own = keyed(docs)
-    # equal ids and texts have one list of takes between them
-    once = own.groupBy("doc_id", "th").agg(F.first("row").alias("row"), F.first("text").alias("text"))
-    both = once.join(takes, F.col("doc_id").eqNullSafe(F.col("d2")) & (F.col("th") == F.col("h2"))).select("row", "text", "takes")
+    named = F.coalesce("doc_id", F.lit(-1 << 63)).alias("id")
+    takes = taken.select(named, "th", F.struct("turn", "off", (start + F.col("a")).alias("lo"), (start + F.col("b")).alias("hi")).alias("x"))
+    takes = takes.groupBy("id", "th").agg(F.collect_list("x").alias("takes"))
+    # equal ids and texts have one list of takes between them; grouping and join have the same keys, so that texts are shuffled once
+    once = keyed(docs).select(named, "th", "row").groupBy("id", "th").agg(F.first("row").alias("row"))
+    both = once.join(takes, ["id", "th"]).select("row", F.coalesce(F.col("row.text").cast("string"), F.lit("")).alias("text"), "takes")
     out = both.mapInArrow(_words, StructType([both.schema["row"], StructField("mixed", StringType())]))
     return unpacked(out, docs, F.col("mixed"))
 
