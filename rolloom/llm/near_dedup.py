@@ -25,6 +25,8 @@ HASHES, MISS = 144, 0.01
 #: Standard deviations that a pair's estimate may be below the threshold; 2.5 miss 0.6 % of pairs right at it.
 SLACK = 2.5
 SEED = 6
+#: Classes, and bytes of their texts, of a component that are counted as one block; larger components are cut.
+BLOCK, BLOCK_BYTES = 1024, 4 << 20
 #: Ids at or above this stand for documents without one.
 NAMELESS = 1 << 62
 
@@ -168,20 +170,81 @@ def _check(containment: float, ratio: float, words: int):
     return run
 
 
-def link(docs: DataFrame, containment: float = CONTAINMENT, ratio: float = RATIO, words: int = WORDS, hashes: int = HASHES, miss: float = MISS) -> DataFrame:
+def _count(containment: float, ratio: float, words: int):
+    """(u, n): n documents that u's class links with, over the pairs of two blocks of a component, each pair once.
+
+    Input: (component, lo, hi, chunk, id, n, text), the rows of a pair of blocks one after the other.
+    """
+
+    def solve(t: pa.Table) -> Iterator[pa.RecordBatch]:
+        lo, hi = t.column(1)[0].as_py(), t.column(2)[0].as_py()
+        chunk, ids, n = (t.column(i).to_numpy() for i in (3, 4, 5))
+        found = [(shingles(b.column(6), words)) for b in t.to_batches()]
+        h = np.concatenate([x for x, _ in found])
+        size = np.concatenate([np.diff(off) for _, off in found])
+        doc = np.repeat(np.arange(len(ids)), size)
+        _, term, df = np.unique(h, return_inverse=True, return_counts=True)
+        some = df[term] > 1  # others are in no intersection
+        doc, term = doc[some], term[some]
+        by = np.argsort(term, kind="stable")
+        doc, term = doc[by], np.unique(term[by], return_inverse=True)[1]
+        a, b = np.flatnonzero(chunk == lo), np.flatnonzero(chunk == hi)
+        both = np.zeros((len(a), len(b)), np.int64)
+        terms = int(term[-1]) + 1 if len(term) else 0
+        width = max(1, min(terms, (1 << 22) // len(ids)))
+        for at in range(0, terms, width):
+            i, j = np.searchsorted(term, [at, at + width])
+            x = np.zeros((len(ids), width), np.float32)
+            x[doc[i:j], term[i:j] - at] = 1
+            both += (x[a] @ x[b].T).astype(np.int64)
+        p, q = np.minimum(size[a][:, None], size[b]), np.maximum(size[a][:, None], size[b])
+        linked = (p > 0) & (p >= ratio * q) & (both >= containment * p)
+        if lo == hi:
+            linked &= ~np.eye(len(a), dtype=bool)
+        links = np.zeros(len(ids), np.int64)
+        links[a] += (linked * n[b]).sum(axis=1)
+        if lo != hi:
+            links[b] += (linked * n[a][:, None]).sum(axis=0)
+        some = np.flatnonzero(links)
+        yield pa.RecordBatch.from_arrays([pa.array(ids[some]), pa.array(links[some])], names=["u", "n"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest: list[pa.RecordBatch] = []
+        for b in batches:
+            if not b.num_rows:
+                continue
+            k, lo, hi = (b.column(i).to_numpy() for i in range(3))
+            cut = np.flatnonzero((k[1:] != k[:-1]) | (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1])) + 1
+            for i, j in zip([0, *cut.tolist()], [*cut.tolist(), b.num_rows]):
+                if rest and any(rest[0].column(c)[0].as_py() != x[i] for c, x in enumerate((k, lo, hi))):
+                    yield from solve(pa.Table.from_batches(rest))
+                    rest = []
+                rest.append(b.slice(i, j - i))
+        if rest:
+            yield from solve(pa.Table.from_batches(rest))
+
+    return run
+
+
+def link(docs: DataFrame, containment: float = CONTAINMENT, ratio: float = RATIO, words: int = WORDS, hashes: int = HASHES, miss: float = MISS, block: int = BLOCK) -> DataFrame:
     """(doc_id, digest, component_id, n_links, kept), a row for each row of docs.
 
     Documents of equal text are one class. component_id: the smallest doc_id reachable by links. n_links: other
-    documents of the class, and those of classes whose link was checked and holds; links between classes that
-    earlier links have joined needn't be checked. kept: the document of its component with most shingles, of
+    documents of the class, and all of the component's other classes that link with it, each pair compared. kept: the document of its component with most shingles, of
     these with the smallest id. Null text: as empty. Texts without words: linked to equal texts only. Null
     doc_id: in classes and links like others, but no component's number if it has an id. Repeated rows: equal
     results. Empty table: no rows. Other columns are ignored.
 
     In each bucket of the index every class is checked against one; then those pairs of a bucket that this left in
     different components and that meet in as many bands as linked sets of their sizes would. A pair at the
-    threshold is missed with a probability of at most 2.5 x miss, a closer one much less.
+    threshold is missed with a probability of at most 2.5 x miss, a closer one much less. Counts don't depend on the
+    index: within a component all pairs are compared, block by block.
     """
+    return _link(docs, containment, ratio, words, hashes, miss, block).select("doc_id", "digest", "component_id", "n_links", "kept")
+
+
+def _link(docs: DataFrame, containment: float = CONTAINMENT, ratio: float = RATIO, words: int = WORDS, hashes: int = HASHES, miss: float = MISS, block: int | None = None) -> DataFrame:
+    """link(), with n_links only if a block is given: what is kept doesn't depend on it."""
     slim = keyed(docs).select("doc_id", F.md5("text").alias("digest"), "text")
     signed = stored(slim.mapInArrow(_sign(hashes, words, SEED), "doc_id long, digest string, size int, sig binary, sketch binary"))
     nameless = F.lit(NAMELESS) + F.pmod(F.xxhash64("digest"), F.lit(NAMELESS - 1))
@@ -199,17 +262,20 @@ def link(docs: DataFrame, containment: float = CONTAINMENT, ratio: float = RATIO
         one, two = (own.select(F.col("id").alias(k), F.col("size").alias(f"size_{k}"), F.col("sketch").alias(f"sketch_{k}")) for k in "uv")
         both = pairs.join(two, "v").join(one, "u").select("u", "v", "size_u", "size_v", "sketch_u", "sketch_v")
         pairs = stored(both.mapInArrow(_likely(containment, hashes, SLACK), "u long, v long"))
-        who = small(stored(pairs.select(F.col("u").alias("id")).union(pairs.select(F.col("v"))).distinct()))
+        own = stored(texts(small(stored(pairs.select(F.col("u").alias("id")).union(pairs.select(F.col("v"))).distinct()))))
+        both = pairs.join(own.select(F.col("id").alias("v"), F.col("text").alias("text_b")), "v").join(own.select(F.col("id").alias("u"), F.col("text").alias("text_a")), "u")
+        both = both.select("u", "v", "text_a", "text_b")
+        return stored(both.mapInArrow(_check(containment, ratio, words), "u long, v long"))
+
+    def texts(who: DataFrame) -> DataFrame:
+        """(id, text) of the classes in who."""
         named = slim.select(F.coalesce("doc_id", F.lit(-1)).alias("doc_id"), "text")
         lost = classes.filter(F.col("id") >= NAMELESS).select("id", "digest")
         own = named.join(who.withColumnRenamed("id", "doc_id"), "doc_id", "left_semi").select(F.col("doc_id").alias("id"), "text")
         if not lost.isEmpty():
             extra = slim.filter("doc_id is null").join(lost, "digest").select("id", "text")
             own = own.union(extra.join(who, "id", "left_semi"))
-        own = stored(own.groupBy("id").agg(F.first("text").alias("text")))
-        both = pairs.join(own.select(F.col("id").alias("v"), F.col("text").alias("text_b")), "v").join(own.select(F.col("id").alias("u"), F.col("text").alias("text_a")), "u")
-        both = both.select("u", "v", "text_a", "text_b")
-        return stored(both.mapInArrow(_check(containment, ratio, words), "u long, v long"))
+        return own.groupBy("id").agg(F.first("text").alias("text"))
 
     sizes = classes.select(F.col("id").alias("pivot"), F.col("size").alias("pivot_size"))
     stars = members.filter("id <> pivot").select("id", "pivot", "size").distinct().join(sizes, "pivot").filter(near(F.col("size"), F.col("pivot_size"))).select(F.col("pivot").alias("u"), F.col("id").alias("v"))
@@ -233,8 +299,19 @@ def link(docs: DataFrame, containment: float = CONTAINMENT, ratio: float = RATIO
     links = links.union(more).distinct()
     comp = components(links).withColumnRenamed("node", "id")
 
-    both_ways = links.union(links.select("v", "u"))
-    counts = both_ways.join(classes.select(F.col("id").alias("v"), "n"), "v").groupBy("u").agg(F.sum("n").alias("links")).withColumnRenamed("u", "id")
+    counts = slim.sparkSession.createDataFrame([], "id long, links long")
+    if block:
+        comp = stored(comp)
+        grouped = stored(texts(small(stored(comp.select("id")))).join(comp, "id").join(classes.select("id", "n"), "id"))
+        shape = grouped.groupBy("component").agg(F.greatest(F.ceil(F.count("*") / block), F.ceil(F.sum(F.octet_length("text").cast("long")) / BLOCK_BYTES)).cast("int").alias("chunks"))
+        hot = small(stored(shape.filter("chunks > 1")))
+        grouped = grouped.join(hot, "component", "left")
+        chunks = F.coalesce("chunks", F.lit(1))
+        grouped = grouped.withColumn("chunk", F.pmod(F.xxhash64("id"), chunks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), chunks - 1)))
+        grouped = grouped.select("component", F.least("chunk", "other").alias("lo"), F.greatest("chunk", "other").alias("hi"), "chunk", "id", "n", "text")
+        pair = ["component", "lo", "hi"]
+        counts = grouped.repartition(*pair).sortWithinPartitions(*pair).mapInArrow(_count(containment, ratio, words), "u long, n long")
+        counts = counts.groupBy(F.col("u").alias("id")).agg(F.sum("n").alias("links"))
     known = classes.drop("sig", "sketch").join(comp, "id", "left").join(counts, "id", "left").withColumn("component", F.coalesce("component", "id"))
     best = known.groupBy("component").agg(F.max(F.struct("size", (-F.col("id")).alias("less"))).alias("b")).select("component", (-F.col("b.less")).alias("best"))
     known = known.join(best, "component").select("digest", "id", "component", "best", (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
@@ -249,7 +326,7 @@ def one_of_each(docs: DataFrame, **how) -> DataFrame:
     """docs without all but the kept document of each component, with the columns of docs; cases as in link().
     Equal rows of a kept document are one."""
     named = F.coalesce("doc_id", F.lit(-1 << 63)).alias("id")
-    kept = link(docs, **how).filter("kept").select(named, "digest").distinct()
+    kept = _link(docs, **how).filter("kept").select(named, "digest").distinct()
     # join and grouping have the same keys, so that texts are shuffled once
     both = keyed(docs).select("row", named, F.md5("text").alias("digest")).join(kept, ["id", "digest"], "left_semi")
     return unpacked(both.groupBy("id", "digest").agg(F.first("row").alias("row")), docs)

@@ -88,3 +88,27 @@ def test_tuning():
     sizes = np.arange(1, 5000)
     part = nd.partition(sizes, nd.RATIO)
     assert all(nd.bound(int(p), nd.RATIO) <= n for n, p in zip(sizes, part))
+
+
+def test_counts_all_links(docs):
+    """Groups of many near copies: each document counts all that it links with, also across blocks."""
+    rng = random.Random(7)
+    rows = []
+    for _ in range(3):
+        words = [f"w{rng.randrange(3000)}" for _ in range(120)]
+        for _ in range(20):
+            copy = list(words)
+            for _ in range(rng.choice([1, 2, 4, 6])):
+                copy[rng.randrange(len(copy))] = f"w{rng.randrange(3000)}"
+            rows.append((len(rows), " ".join(copy)))
+    rows += [(100 + k, rows[k][1]) for k in range(5)]
+    sets = brute(rows)[1]
+    want = {}
+    for a, (i, text) in enumerate(rows):
+        want[i] = 0
+        for b, (_, other) in enumerate(rows):
+            q, x = sorted((len(sets[a]), len(sets[b])))
+            want[i] += a != b and (text == other or q >= nd.RATIO * x and len(sets[a] & sets[b]) >= nd.CONTAINMENT * q)
+    assert max(want.values()) >= 19
+    for how in ({}, {"block": 6}):
+        assert {r.doc_id: r.n_links for r in nd.link(docs(rows), **how).collect()} == want
