@@ -1,34 +1,50 @@
 """Operator 6: near-duplicate documents, by a containment ensemble of MinHash indexes.
 
-A document is the set of its word shingles. Two documents are linked if the smaller set is at least `ratio` times
-the larger and at least `containment` of it is in the larger. Documents are partitioned by set size, each
-partition reaching up to 1 / ratio times its least size, so that links join a partition with itself or the next.
-For sizes q <= x the containment is worth a Jaccard similarity of at least containment / (1 + x / q - containment);
-bands and rows are tuned for each partition and the next one to the least such similarity between them.
+A document is the set of its word shingles. Two documents are linked if at least `containment` of the smaller set
+is in the larger, whatever their sizes. Documents are partitioned by set size, STEPS partitions to an octave. For
+sizes q <= x that containment is worth a Jaccard similarity of at least containment / (1 + x / q - containment):
+the threshold of a pair of partitions, from which follows how many bands of the index it takes (`tuned`).
+
+Beyond a size ratio of 1 / RATIO the threshold is lower than bands of a signature can tell from chance. There the
+smaller set's LOW least hash values are looked up in the partitions of larger sets, the rarest of them only: so
+many that a linked set has one of them at least (exactly, if the set has LOW shingles or fewer; else as a random
+sample of it). How rare a value is, is counted by partition, so values that hold no larger set cost nothing.
+
+Links of sets of similar size are near copies and make components; a document in a larger one is a part of it.
+Parts don't join components, as a common phrase would make all documents with it one.
 """
 
 from __future__ import annotations
 
+import hashlib
 import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rolloom.llm.common import components, flat, grams, hash_spans, keyed, mix, slices, small, stored, unpacked, word_bounds
 
-WORDS, CONTAINMENT, RATIO = 3, 0.7, 0.6
-#: Hash values of a signature, and with what probability a pair at the threshold may be missed by the index.
-HASHES, MISS = 144, 0.01
-#: Standard deviations that a pair's estimate may be below the threshold; 2.5 miss 0.6 % of pairs right at it.
-SLACK = 2.5
+WORDS, CONTAINMENT = 3, 0.7
+#: Sets of which the smaller has at least this share of the larger's size are compared by bands, others by lookups.
+RATIO = 0.5
+#: Size partitions to an octave.
+STEPS = 4
+#: Hash values of a signature, of a band, and with what probability a pair at the threshold may be missed by the bands.
+HASHES, ROWS, MISS = 128, 2, 0.002
+#: Standard deviations that a pair's estimate may be below the threshold.
+SLACK = 3.5
+#: Hash values of a set that are looked up in larger ones, how many of them a linked set has at least (but for a
+#: probability of 3e-4), and bits of the table that tells which values are looked up at all.
+LOW, LOW_FOUND, FILTER_BITS = 24, 9, 27
+#: Shingles that a part of a larger document has at least to be dropped for it.
+PART = 8
 SEED = 6
 #: Classes, and bytes of their texts, of a component that are counted as one block; larger components are cut.
 BLOCK, BLOCK_BYTES = 1024, 4 << 20
-#: Ids at or above this stand for documents without one.
-NAMELESS = 1 << 62
+_NO_ID = -1 << 63
 
 _BREAK = np.ones(256, bool)
 _BREAK[128:] = False
@@ -53,13 +69,13 @@ def shingles(texts: pa.Array, words: int = WORDS) -> tuple[np.ndarray, np.ndarra
     return np.concatenate(out or [np.zeros(0, np.uint64)]), np.concatenate([[0], np.cumsum(np.concatenate(sizes or [np.zeros(0, np.int64)]))])
 
 
-def partition(size: np.ndarray, ratio: float) -> np.ndarray:
+def partition(size: np.ndarray) -> np.ndarray:
     """Numbers of the size partitions: the p-th begins at bound(p)."""
-    return np.floor(np.log(np.maximum(size, 1)) / -math.log(ratio) + 1e-9).astype(np.int64)
+    return np.floor(np.log2(np.maximum(size, 1)) * STEPS + 1e-9).astype(np.int64)
 
 
-def bound(p: int, ratio: float) -> int:
-    return math.ceil(ratio**-p - 1e-6)
+def bound(p: int) -> int:
+    return math.ceil(2 ** (p / STEPS) - 1e-6)
 
 
 def jaccard(most: float, containment: float) -> float:
@@ -67,11 +83,10 @@ def jaccard(most: float, containment: float) -> float:
     return containment / (1 + most - containment)
 
 
-def tuned(p: int, containment: float, ratio: float, hashes: int = HASHES, miss: float = MISS) -> tuple[int, int]:
-    """(bands, rows) for partitions p and p + 1: as many rows as the miss rate allows."""
-    s = jaccard(min(1 / ratio, max(bound(p + 2, ratio) - 1, 1) / bound(p, ratio)), containment)
-    rows = max([r for r in range(2, 9) if (1 - s**r) ** (hashes // r) <= miss] or [2])
-    return hashes // rows, rows
+def tuned(apart: int, containment: float = CONTAINMENT, ratio: float = RATIO, hashes: int = HASHES, miss: float = MISS) -> int:
+    """Bands for pairs of partitions that are `apart` steps apart: as few as the miss rate allows."""
+    s = jaccard(min(1 / ratio, 2 ** ((apart + 1) / STEPS)), containment)
+    return min(hashes // ROWS, math.ceil(math.log(miss) / math.log(1 - s**ROWS)))
 
 
 def least_bands(s: float, bands: int, rows: int, miss: float) -> int:
@@ -84,6 +99,19 @@ def least_bands(s: float, bands: int, rows: int, miss: float) -> int:
     return bands
 
 
+def looked_up(size: int | Column, containment: float = CONTAINMENT):
+    """How many of a set's LOW least hash values, at least, must be looked up for one of them to be in each linked set."""
+    if isinstance(size, Column):
+        return F.when(size <= LOW, size - F.ceil(size * containment - 1e-9) + 1).otherwise(LOW - LOW_FOUND + 1)
+    return size - math.ceil(size * containment - 1e-9) + 1 if size <= LOW else LOW - LOW_FOUND + 1
+
+
+def _class(h: np.ndarray, text: str) -> int:
+    """The number of a set, or, if it is empty, of its text."""
+    raw = b"s" + h.tobytes() if len(h) else b"t" + text.encode()
+    return int.from_bytes(hashlib.blake2b(raw, digest_size=8).digest(), "little", signed=True)
+
+
 def _sign(hashes: int, words: int, seed: int):
     rng = np.random.Generator(np.random.PCG64(seed))
     factor = rng.integers(0, 1 << 63, hashes, np.uint64) * np.uint64(2) + np.uint64(1)
@@ -94,51 +122,53 @@ def _sign(hashes: int, words: int, seed: int):
             h, off = shingles(texts, words)
             size = np.diff(off)
             some = np.flatnonzero(size)
+            cls = [_class(h[off[i] : off[i + 1]], "" if size[i] else texts[i].as_py()) for i in range(len(texts))]
             sig = np.zeros((len(texts), hashes), "<u4")
             if len(some):
                 h = mix(h)
                 for k in range(hashes):
                     sig[some, k] = np.minimum.reduceat(h * factor[k] >> np.uint64(32), off[some]).astype("<u4")
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(size.astype(np.int32)), pa.array([x.tobytes() for x in sig], pa.binary()), pa.array([x.tobytes() for x in sig.astype(np.uint8)], pa.binary())], names=["doc_id", "digest", "size", "sig", "sketch"])
+            low = [np.sort(h[off[i] : off[i + 1]])[:LOW].view(np.int64) for i in range(len(texts))]
+            yield pa.RecordBatch.from_arrays(
+                [b.column(0), b.column(1), pa.array(cls, pa.int64()), pa.array(size.astype(np.int32)), pa.array([x.tobytes() for x in sig], pa.binary()), pa.array(low, pa.list_(pa.int64()))],
+                names=["doc_id", "th", "cls", "size", "sig", "low"],
+            )
 
     return run
 
 
-def _bands(containment: float, ratio: float, hashes: int, miss: float):
-    """(key, id, size, low) for each band of partition `low` and the next: a document is in two such pairs."""
+def _bands(hashes: int, seed: int):
+    """(key, cls, size) for each band; the key's last six bits are the band's number."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bands = hashes // ROWS
+        start = (np.arange(bands, dtype=np.uint64) + np.uint64(seed << 8))[None, :]
         for b in batches:
-            ids, size = b.column(0).to_numpy(), b.column(1).to_numpy()
-            sig = np.frombuffer(b"".join(b.column(2).to_pylist()), "<u4").reshape(len(ids), hashes)
-            part = partition(size, ratio)
-            keys, who, lows = [], [], []
-            for p in np.unique(part).tolist():
-                at = np.flatnonzero(part == p)
-                for low in range(max(p - 1, 0), p + 1):
-                    bands, rows = tuned(low, containment, ratio, hashes, miss)
-                    key = ((low << 20 | np.arange(bands, dtype=np.uint64)) * np.uint64(16) + np.uint64(rows))[:, None] + np.zeros(len(at), np.uint64)
-                    for r in range(rows):
-                        key = mix(key * np.uint64(0x9E3779B97F4A7C15) + sig[at, r : bands * rows : rows].T)
-                    keys.append(key.ravel())
-                    who.append(np.tile(at, bands))
-                    lows.append(np.full(key.size, low, np.int32))
-            if keys:
-                at = np.concatenate(who)
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(ids[at]), pa.array(size[at]), pa.array(np.concatenate(lows))], names=["key", "id", "size", "low"])
+            n = b.num_rows
+            sig = np.frombuffer(b"".join(b.column(2).to_pylist()), "<u4").reshape(n, hashes)
+            key = np.repeat(mix(start), n, axis=0)
+            for r in range(ROWS):
+                key = mix(key * np.uint64(0x9E3779B97F4A7C15) + sig[:, r : bands * ROWS : ROWS])
+            key = key & ~np.uint64(63) | np.arange(bands, dtype=np.uint64)
+            at = np.repeat(np.arange(n), bands)
+            yield pa.RecordBatch.from_arrays([pa.array(key.ravel().view(np.int64)), b.column(0).take(pa.array(at)), b.column(1).take(pa.array(at))], names=["key", "cls", "size"])
 
     return run
 
 
-def contained(a: np.ndarray, b: np.ndarray, containment: float, ratio: float) -> bool:
-    """Are these sorted sets linked?"""
-    q, x = sorted((len(a), len(b)))
-    return q > 0 and q >= ratio * x and len(np.intersect1d(a, b, assume_unique=True)) >= containment * q
+def _sketches(hashes: int):
+    """(cls, size, sketch): a byte of each hash value."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sig = np.frombuffer(b"".join(b.column(2).to_pylist()), "<u4").reshape(b.num_rows, hashes).astype(np.uint8)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([x.tobytes() for x in sig], pa.binary())], names=["cls", "size", "sketch"])
+
+    return run
 
 
 def _likely(containment: float, hashes: int, slack: float):
-    """Pairs (u, v) whose sketches, a byte of each hash value, agree as often as linked sets of their sizes would, less
-    `slack` standard deviations."""
+    """Pairs (u, v) whose sketches agree as often as linked sets of their sizes would, less `slack` standard deviations."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -153,27 +183,90 @@ def _likely(containment: float, hashes: int, slack: float):
     return run
 
 
-def _check(containment: float, ratio: float, words: int):
+def contained(a: np.ndarray, b: np.ndarray, containment: float) -> bool:
+    """Are these sorted sets linked?"""
+    q = min(len(a), len(b))
+    return q > 0 and len(np.intersect1d(a, b, assume_unique=True)) >= containment * q - 1e-9
+
+
+def _check(containment: float, words: int):
+    """The pairs (u, v) that are linked; neighbouring rows of one u read its text once."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, mine = None, None
         for b in slices(batches, "text_b", 1 << 18):
             ones, many = b.column(0), b.column(1)
             left, right = b.column(2), b.column(3)
             h, off = shingles(right, words)
-            keep, last, mine = [], None, None
+            keep = []
             for i, (u, t) in enumerate(zip(ones.to_pylist(), left)):
                 if u != last:
                     last, mine = u, shingles(pa.array([t.as_py()], pa.string()), words)[0]
-                keep.append(contained(mine, h[off[i] : off[i + 1]], containment, ratio))
+                keep.append(contained(mine, h[off[i] : off[i + 1]], containment))
             mask = pa.array(keep, pa.bool_())
             yield pa.RecordBatch.from_arrays([ones.filter(mask), many.filter(mask)], names=["u", "v"])
 
     return run
 
 
+def _wanted(shared, ratio: float, words: int):
+    """(key, part, cls): the shingles of each text that smaller sets may look up. A task does not repeat what it
+    has said of a set, so that copies don't add up."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = shared.value
+        seen: set[int] = set()
+        for b in slices(batches, "text"):
+            h, off = shingles(b.column(0), words)
+            size = np.diff(off)
+            cls = np.array([_class(h[off[i] : off[i + 1]], "") if size[i] else 0 for i in range(len(size))], np.int64)
+            if len(seen) > 1 << 20:
+                seen.clear()
+            new = np.zeros(len(size), bool)
+            for i in np.flatnonzero(size > 1 / ratio).tolist():
+                if int(cls[i]) not in seen:
+                    seen.add(int(cls[i]))
+                    new[i] = True
+            key = mix(h)
+            doc = np.repeat(np.arange(len(size)), size)
+            bit = (key & np.uint64((1 << FILTER_BITS) - 1)).astype(np.int64)
+            at = np.flatnonzero(new[doc] & (table[bit >> 6] >> (bit & 63).astype(np.uint64) & np.uint64(1)).astype(bool))
+            part = partition(size).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(key[at].view(np.int64)), pa.array(part[doc[at]]), pa.array(cls[doc[at]])], names=["key", "part", "cls"])
+
+    return run
+
+
+def _inside(containment: float, ratio: float, words: int):
+    """(u, v, sure): u is, or if not sure may be, in v. Input: (v, u, size, low, text), the row with v's text first.
+
+    Of a set of LOW shingles or fewer all are seen; a larger one is judged by its LOW least, which are a sample.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, have = None, np.zeros(0, np.uint64)
+        for b in slices(batches, "text"):
+            us, vs, sure = [], [], []
+            for v, u, size, low, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), b.column(3), b.column(4)):
+                if u is None:
+                    now, have = v, np.sort(mix(shingles(pa.array([text.as_py()], pa.string()), words)[0]))
+                    continue
+                if v != now or size >= ratio * len(have):
+                    continue
+                x = low.values.to_numpy().view(np.uint64)
+                at = np.searchsorted(have, x)
+                n = int((have[np.minimum(at, len(have) - 1)] == x).sum())
+                if n >= (containment * size - 1e-9 if size <= LOW else LOW_FOUND):
+                    us.append(u), vs.append(v), sure.append(size <= LOW)
+            yield pa.RecordBatch.from_arrays([pa.array(us, pa.int64()), pa.array(vs, pa.int64()), pa.array(sure, pa.bool_())], names=["u", "v", "sure"])
+
+    return run
+
+
 def _count(containment: float, ratio: float, words: int):
-    """(u, n): n documents that u's class links with, over the pairs of two blocks of a component, each pair once.
+    """(u, n): n documents of similar size that class u links with, over the pairs of two blocks of a component, each pair once.
 
-    Input: (component, lo, hi, chunk, id, n, text), the rows of a pair of blocks one after the other.
+    Input: (component, lo, hi, chunk, cls, n, text), the rows of a pair of blocks one after the other.
     """
 
     def solve(t: pa.Table) -> Iterator[pa.RecordBatch]:
@@ -198,7 +291,7 @@ def _count(containment: float, ratio: float, words: int):
             x[doc[i:j], term[i:j] - at] = 1
             both += (x[a] @ x[b].T).astype(np.int64)
         p, q = np.minimum(size[a][:, None], size[b]), np.maximum(size[a][:, None], size[b])
-        linked = (p > 0) & (p >= ratio * q) & (both >= containment * p)
+        linked = (p > 0) & (p >= ratio * q) & (both >= containment * p - 1e-9)
         if lo == hi:
             linked &= ~np.eye(len(a), dtype=bool)
         links = np.zeros(len(ids), np.int64)
@@ -226,107 +319,164 @@ def _count(containment: float, ratio: float, words: int):
     return run
 
 
-def link(docs: DataFrame, containment: float = CONTAINMENT, ratio: float = RATIO, words: int = WORDS, hashes: int = HASHES, miss: float = MISS, block: int = BLOCK) -> DataFrame:
-    """(doc_id, digest, component_id, n_links, kept), a row for each row of docs.
-
-    Documents of equal text are one class. component_id: the smallest doc_id reachable by links. n_links: other
-    documents of the class, and all of the component's other classes that link with it, each pair compared. kept: the document of its component with most shingles, of
-    these with the smallest id. Null text: as empty. Texts without words: linked to equal texts only. Null
-    doc_id: in classes and links like others, but no component's number if it has an id. Repeated rows: equal
-    results. Empty table: no rows. Other columns are ignored.
-
-    In each bucket of the index every class is checked against one; then those pairs of a bucket that this left in
-    different components and that meet in as many bands as linked sets of their sizes would. A pair at the
-    threshold is missed with a probability of at most 2.5 x miss, a closer one much less. Counts don't depend on the
-    index: within a component all pairs are compared, block by block.
-    """
-    return _link(docs, containment, ratio, words, hashes, miss, block).select("doc_id", "digest", "component_id", "n_links", "kept")
-
-
-def _link(docs: DataFrame, containment: float = CONTAINMENT, ratio: float = RATIO, words: int = WORDS, hashes: int = HASHES, miss: float = MISS, block: int | None = None) -> DataFrame:
-    """link(), with n_links only if a block is given: what is kept doesn't depend on it."""
-    slim = keyed(docs).select("doc_id", F.md5("text").alias("digest"), "text")
-    signed = stored(slim.mapInArrow(_sign(hashes, words, SEED), "doc_id long, digest string, size int, sig binary, sketch binary"))
-    nameless = F.lit(NAMELESS) + F.pmod(F.xxhash64("digest"), F.lit(NAMELESS - 1))
-    classes = signed.groupBy("digest").agg(F.coalesce(F.min("doc_id"), nameless).alias("id"), F.count("*").alias("n"), F.first("size").alias("size"), F.first("sig").alias("sig"), F.first("sketch").alias("sketch"))
-    classes = stored(classes)
-
-    bands = classes.filter("size > 0").select("id", "size", "sig").mapInArrow(_bands(containment, ratio, hashes, miss), "key long, id long, size int, low int")
-    shared = bands.groupBy("key").agg(F.min("id").alias("pivot"), F.max("id").alias("last")).filter("pivot < last").select("key", "pivot")
-    members = stored(bands.hint("merge").join(shared, "key").select("key", "id", "size", "low", "pivot"))
-    near = lambda a, b: F.least(a, b) >= ratio * F.greatest(a, b)
-
-    def checked(pairs: DataFrame) -> DataFrame:
-        """The links among pairs (u, v): by their sketches first, then by their texts."""
-        own = classes.select("id", "size", "sketch")
-        one, two = (own.select(F.col("id").alias(k), F.col("size").alias(f"size_{k}"), F.col("sketch").alias(f"sketch_{k}")) for k in "uv")
+def _part(size: Column) -> Column:
+    return F.floor(F.log2(size.cast("double")) * STEPS + 1e-9).cast("int")
+
+
+class _Index:
+    """The classes of a table, one for each set of shingles, and what links them."""
+
+    def __init__(self, docs: DataFrame, containment: float, ratio: float, words: int, hashes: int, miss: float):
+        self.containment, self.ratio, self.words, self.hashes, self.miss = containment, ratio, words, hashes, miss
+        self.slim = keyed(docs).select("doc_id", "th", "text")
+        self.signed = stored(self.slim.mapInArrow(_sign(hashes, words, SEED), "doc_id long, th long, cls long, size int, sig binary, low array<long>"))
+        first = F.min(F.struct(F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("id"), "th"))
+        classes = self.signed.groupBy("cls").agg(first.alias("f"), F.count("*").alias("n"), F.first("size").alias("size"), F.first("sig").alias("sig"), F.first("low").alias("low"))
+        self.classes = stored(classes.select("cls", F.nullif("f.id", F.lit((1 << 63) - 1)).alias("id"), "f.th", "n", "size", "sig", "low"))
+
+    def texts(self, who: DataFrame) -> DataFrame:
+        """(cls, text) of the classes in who (cls)."""
+        named = F.coalesce("doc_id", F.lit(_NO_ID)).alias("did")
+        which = small(stored(self.classes.join(who, "cls", "left_semi").select("cls", F.coalesce("id", F.lit(_NO_ID)).alias("did"), "th")))
+        own = self.slim.select(named, "th", "text").join(which, ["did", "th"])
+        return own.groupBy("cls").agg(F.first("text").alias("text"))
+
+    def checked(self, pairs: DataFrame) -> DataFrame:
+        """The links among pairs (u, v), by their texts."""
+        own = stored(self.texts(small(stored(pairs.select(F.col("u").alias("cls")).union(pairs.select("v")).distinct()))))
+        both = pairs.join(own.select(F.col("cls").alias("v"), F.col("text").alias("text_b")), "v").join(own.select(F.col("cls").alias("u"), F.col("text").alias("text_a")), "u")
+        return stored(both.select("u", "v", "text_a", "text_b").mapInArrow(_check(self.containment, self.words), "u long, v long"))
+
+    def likely(self, pairs: DataFrame) -> DataFrame:
+        """Those of pairs (u, v) that their sketches don't rule out."""
+        own = self.classes.select("cls", "size", "sig").mapInArrow(_sketches(self.hashes), "cls long, size int, sketch binary")
+        one, two = (own.select(F.col("cls").alias(k), F.col("size").alias(f"size_{k}"), F.col("sketch").alias(f"sketch_{k}")) for k in "uv")
         both = pairs.join(two, "v").join(one, "u").select("u", "v", "size_u", "size_v", "sketch_u", "sketch_v")
-        pairs = stored(both.mapInArrow(_likely(containment, hashes, SLACK), "u long, v long"))
-        own = stored(texts(small(stored(pairs.select(F.col("u").alias("id")).union(pairs.select(F.col("v"))).distinct()))))
-        both = pairs.join(own.select(F.col("id").alias("v"), F.col("text").alias("text_b")), "v").join(own.select(F.col("id").alias("u"), F.col("text").alias("text_a")), "u")
-        both = both.select("u", "v", "text_a", "text_b")
-        return stored(both.mapInArrow(_check(containment, ratio, words), "u long, v long"))
-
-    def texts(who: DataFrame) -> DataFrame:
-        """(id, text) of the classes in who."""
-        named = slim.select(F.coalesce("doc_id", F.lit(-1)).alias("doc_id"), "text")
-        lost = classes.filter(F.col("id") >= NAMELESS).select("id", "digest")
-        own = named.join(who.withColumnRenamed("id", "doc_id"), "doc_id", "left_semi").select(F.col("doc_id").alias("id"), "text")
-        if not lost.isEmpty():
-            extra = slim.filter("doc_id is null").join(lost, "digest").select("id", "text")
-            own = own.union(extra.join(who, "id", "left_semi"))
-        return own.groupBy("id").agg(F.first("text").alias("text"))
-
-    sizes = classes.select(F.col("id").alias("pivot"), F.col("size").alias("pivot_size"))
-    stars = members.filter("id <> pivot").select("id", "pivot", "size").distinct().join(sizes, "pivot").filter(near(F.col("size"), F.col("pivot_size"))).select(F.col("pivot").alias("u"), F.col("id").alias("v"))
-    links = checked(stars)
-    comp = components(links)
-    placed = members.join(comp.withColumnRenamed("node", "id"), "id", "left").select("key", "id", "size", "low", F.coalesce("component", "id").alias("component"), "pivot")
-    open_ = placed.groupBy("key").agg(F.min("component").alias("c"), F.max("component").alias("d")).filter("c < d").select("key")
-    # two sets meet in a number of bands; too few for their sizes' threshold, and they aren't linked
-    placed = stored(placed.join(open_, "key", "left_semi").filter("id <> pivot"))
-    lows = int(partition(np.array([signed.agg(F.max("size")).first()[0] or 1]), ratio)[0]) + 1
-    steps = 16
-    table = [[least_bands(jaccard(1 + (1 / ratio - 1) * (i + 1) / steps, containment), *tuned(low, containment, ratio, hashes, miss), miss / 2) for i in range(steps)] for low in range(lows)]
-    part = lambda size: F.floor(F.log(size.cast("double")) / -math.log(ratio) + 1e-9)
-    a, b = F.col("a.size"), F.col("b.size")
-    step = F.least(F.lit(steps), F.greatest(F.lit(1), F.ceil((F.greatest(a, b) / F.least(a, b) - 1) / (1 / ratio - 1) * steps))).cast("int")
-    need = F.element_at(F.element_at(F.array(*(F.array(*map(F.lit, row)) for row in table)), F.col("a.low") + 1), step)
-    meet = F.expr("a.key = b.key and a.id < b.id and a.component <> b.component") & near(a, b) & (F.least(part(a), part(b)) == F.col("a.low"))
-    rest = placed.alias("a").join(placed.alias("b"), meet).groupBy(F.col("a.id").alias("u"), F.col("b.id").alias("v"), need.alias("need")).count()
-    rest = rest.filter("count >= need").select("u", "v")
-    more = checked(rest)
-    links = links.union(more).distinct()
-    comp = components(links).withColumnRenamed("node", "id")
-
-    counts = slim.sparkSession.createDataFrame([], "id long, links long")
-    if block:
-        comp = stored(comp)
-        grouped = stored(texts(small(stored(comp.select("id")))).join(comp, "id").join(classes.select("id", "n"), "id"))
+        return stored(both.mapInArrow(_likely(self.containment, self.hashes, SLACK), "u long, v long"))
+
+    def copies(self) -> DataFrame:
+        """Links (u, v) of sets of similar size, enough to make their components."""
+        ratio, containment = self.ratio, self.containment
+        near = lambda a, b: F.least(a, b) >= ratio * F.greatest(a, b)
+        bands = self.classes.filter("size > 0").select("cls", "size", "sig").mapInArrow(_bands(self.hashes, SEED), "key long, cls long, size int")
+        shared = bands.groupBy("key").agg(F.min("cls").alias("pivot"), F.max("cls").alias("last")).filter("pivot < last").select("key", "pivot")
+        members = stored(bands.hint("merge").join(shared, "key").select("key", "cls", "size", "pivot"))
+        sizes = self.classes.select(F.col("cls").alias("pivot"), F.col("size").alias("pivot_size"))
+        stars = members.filter("cls <> pivot").select("cls", "pivot", "size").distinct().join(sizes, "pivot").filter(near(F.col("size"), F.col("pivot_size")))
+        links = self.checked(self.likely(stars.select(F.col("pivot").alias("u"), F.col("cls").alias("v"))))
+        comp = components(links).withColumnRenamed("node", "cls")
+        placed = members.join(comp, "cls", "left").select("key", "cls", "size", F.coalesce("component", "cls").alias("component"), "pivot")
+        open_ = placed.groupBy("key").agg(F.min("component").alias("c"), F.max("component").alias("d")).filter("c < d").select("key")
+        placed = stored(placed.join(open_, "key", "left_semi").filter("cls <> pivot").withColumn("part", _part(F.col("size"))))
+        # two sets meet in a number of bands; too few for their sizes' threshold, and they aren't linked
+        steps, most = 16, math.ceil(math.log2(1 / ratio) * STEPS - 1e-9)
+        tune = [tuned(d, containment, ratio, self.hashes, self.miss) for d in range(most + 1)]
+        least = [[least_bands(jaccard(1 + (1 / ratio - 1) * (i + 1) / steps, containment), n, ROWS, self.miss / 2) for i in range(steps)] for n in tune]
+        a, b = F.col("a.size"), F.col("b.size")
+        step = F.least(F.lit(steps), F.greatest(F.lit(1), F.ceil((F.greatest(a, b) / F.least(a, b) - 1) / (1 / ratio - 1) * steps))).cast("int")
+        apart = F.abs(F.col("a.part") - F.col("b.part")) + 1
+        need = F.element_at(F.element_at(F.array(*(F.array(*map(F.lit, row)) for row in least)), apart), step)
+        meet = F.expr("a.key = b.key and a.cls < b.cls and a.component <> b.component") & near(a, b)
+        meet &= F.col("a.key").bitwiseAND(F.lit(63)) < F.element_at(F.array(*map(F.lit, tune)), apart)
+        rest = placed.alias("a").join(placed.alias("b"), meet).groupBy(F.col("a.cls").alias("u"), F.col("b.cls").alias("v"), need.alias("need")).count()
+        more = self.checked(self.likely(rest.filter("count >= need").select("u", "v")))
+        return links.union(more).distinct()
+
+    def parts(self) -> DataFrame:
+        """Links (u, v) of sets u with sets v that are more than 1 / ratio times as large."""
+        spark = self.slim.sparkSession
+        sets = self.classes.filter("size > 0").select("cls", "size", "low")
+        asked = stored(sets.select("cls", "size", _part(F.col("size")).alias("part"), F.explode("low").alias("key")))
+        bit = F.col("key").bitwiseAND(F.lit((1 << FILTER_BITS) - 1))
+        words = asked.select(F.shiftright(bit, 6).alias("w"), F.call_function("shiftleft", F.lit(1).cast("long"), bit.bitwiseAND(F.lit(63)).cast("int")).alias("b")).groupBy("w").agg(F.bit_or("b").alias("b"))
+        got = words.toArrow()  # at most 2 ** (FILTER_BITS - 6) rows, whatever the corpus
+        table = np.zeros(1 << (FILTER_BITS - 6), np.uint64)
+        table[got.column("w").to_numpy()] = got.column("b").to_numpy().view(np.uint64)
+        held = stored(self.slim.select("text").mapInArrow(_wanted(spark.sparkContext.broadcast(table), self.ratio, self.words), "key long, part int, cls long"))
+        rare = held.groupBy("key", "part").count().groupBy("key").agg(F.collect_list(F.struct("part", "count")).alias("at"))
+        above = F.filter("at", lambda x: x.part >= F.col("part") + math.floor(math.log2(1 / self.ratio) * STEPS))
+        cost = F.aggregate("above", F.lit(0).cast("long"), lambda s, x: s + x["count"])
+        found = asked.join(rare, "key").withColumn("above", above).filter(F.size("above") > 0)
+        found = found.groupBy("cls", "size").agg(F.array_sort(F.collect_list(F.struct(cost.alias("cost"), "key", F.transform("above", lambda x: x.part).alias("parts")))).alias("keys"))
+        # values that no larger set has are the rarest
+        take = looked_up(F.col("size"), self.containment) - (F.least(F.col("size"), F.lit(LOW)) - F.size("keys"))
+        found = found.filter(take > 0).select("cls", F.explode(F.slice("keys", F.lit(1), take.cast("int"))).alias("k"))
+        found = found.select(F.col("cls").alias("u"), "k.key", F.explode("k.parts").alias("part"))
+        pairs = stored(found.join(held.withColumnRenamed("cls", "v"), ["key", "part"]).filter("u <> v").select("u", "v").distinct())
+        own = self.texts(small(stored(pairs.select(F.col("v").alias("cls")).distinct()))).select(F.col("cls").alias("v"), F.lit(None).cast("long").alias("u"), F.lit(None).cast("int").alias("size"), F.lit(None).cast("array<long>").alias("low"), "text")
+        ask = pairs.join(sets.withColumnRenamed("cls", "u"), "u").select("v", "u", "size", "low", F.lit(None).cast("string").alias("text"))
+        seen = stored(own.unionByName(ask).repartition("v").sortWithinPartitions("v", F.col("u").asc_nulls_first()).mapInArrow(_inside(self.containment, self.ratio, self.words), "u long, v long, sure boolean"))
+        return stored(seen.filter("sure").select("u", "v").union(self.checked(seen.filter("not sure").select("u", "v"))))
+
+    def counted(self, comp: DataFrame, block: int) -> DataFrame:
+        """(cls, links): links with documents of similar size, within each component of comp (cls, component)."""
+        grouped = stored(self.texts(small(stored(comp.select("cls")))).join(comp, "cls").join(self.classes.select("cls", "n"), "cls"))
         shape = grouped.groupBy("component").agg(F.greatest(F.ceil(F.count("*") / block), F.ceil(F.sum(F.octet_length("text").cast("long")) / BLOCK_BYTES)).cast("int").alias("chunks"))
         hot = small(stored(shape.filter("chunks > 1")))
         grouped = grouped.join(hot, "component", "left")
         chunks = F.coalesce("chunks", F.lit(1))
-        grouped = grouped.withColumn("chunk", F.pmod(F.xxhash64("id"), chunks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), chunks - 1)))
-        grouped = grouped.select("component", F.least("chunk", "other").alias("lo"), F.greatest("chunk", "other").alias("hi"), "chunk", "id", "n", "text")
+        grouped = grouped.withColumn("chunk", F.pmod(F.xxhash64("cls"), chunks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), chunks - 1)))
+        grouped = grouped.select("component", F.least("chunk", "other").alias("lo"), F.greatest("chunk", "other").alias("hi"), "chunk", "cls", "n", "text")
         pair = ["component", "lo", "hi"]
-        counts = grouped.repartition(*pair).sortWithinPartitions(*pair).mapInArrow(_count(containment, ratio, words), "u long, n long")
-        counts = counts.groupBy(F.col("u").alias("id")).agg(F.sum("n").alias("links"))
-    known = classes.drop("sig", "sketch").join(comp, "id", "left").join(counts, "id", "left").withColumn("component", F.coalesce("component", "id"))
-    best = known.groupBy("component").agg(F.max(F.struct("size", (-F.col("id")).alias("less"))).alias("b")).select("component", (-F.col("b.less")).alias("best"))
-    known = known.join(best, "component").select("digest", "id", "component", "best", (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
-    out = signed.select("doc_id", "digest").join(known, "digest")
-    return out.select(
-        "doc_id", "digest", F.when(F.col("component") < NAMELESS, F.col("component")).alias("component_id"), "n_links",
-        ((F.col("id") == F.col("best")) & F.coalesce(F.col("doc_id") == F.col("id"), F.col("id") >= NAMELESS)).alias("kept"),
-    )
+        counts = grouped.repartition(*pair).sortWithinPartitions(*pair).mapInArrow(_count(self.containment, self.ratio, self.words), "u long, n long")
+        return counts.groupBy(F.col("u").alias("cls")).agg(F.sum("n").alias("links"))
+
+
+def link(docs: DataFrame, containment: float = CONTAINMENT, ratio: float = RATIO, words: int = WORDS, hashes: int = HASHES, miss: float = MISS, block: int = BLOCK) -> DataFrame:
+    """(doc_id, th, component_id, n_links, part_of, kept), a row for each row of docs; th: a hash of its text.
+
+    Documents with equal sets of shingles are one class. component_id: the smallest doc_id that can be reached by
+    links of similar size (`ratio`). n_links: all documents that are linked with this one, of any size. part_of: the
+    smallest doc_id of the largest class, more than 1 / ratio times as large, that has this one in it, or null. kept:
+    of each component the document with most shingles, of these with the smallest id; documents of PART shingles or
+    more that are parts don't count, so that a component of parts has none: its text stands in the larger ones.
+
+    Null text: as empty. Texts without words: linked to equal texts only. Null doc_id: in classes and links like
+    others, but no component's number if it has an id. One id with different texts: each has its own class. Repeated
+    rows: equal results. Empty table: no rows. Other columns are ignored.
+
+    Counts of similar sizes don't depend on the index: within a component all pairs are compared, block by block. A
+    pair at the threshold may be missed with a probability of about 1.5 x miss, a closer one much less.
+    """
+    return _link(docs, containment, ratio, words, hashes, miss, block, True)
+
+
+def _link(docs: DataFrame, containment: float = CONTAINMENT, ratio: float = RATIO, words: int = WORDS, hashes: int = HASHES, miss: float = MISS, block: int | None = None, parts: bool = False) -> DataFrame:
+    """link(); without a block n_links isn't counted, without parts there are none: what is kept of copies doesn't depend on it."""
+    index = _Index(docs, containment, ratio, words, hashes, miss)
+    comp = components(index.copies()).withColumnRenamed("node", "cls")
+    known = index.classes.select("cls", "id", "th", "n", "size")
+    nothing = lambda schema: docs.sparkSession.createDataFrame([], schema)
+    counts = nothing("cls long, links long")
+    if block:
+        comp = stored(comp)
+        counts = index.counted(comp, block)
+    inside = nothing("cls long, part_of long, part boolean")
+    if parts:
+        far = index.parts()
+        of = known.select(F.col("cls").alias("v"), F.col("id").alias("vid"), F.col("n").alias("vn"), F.col("size").alias("vsize"))
+        both = far.join(of, "v").join(known.select(F.col("cls").alias("u"), F.col("n").alias("un")), "u")
+        counts = counts.union(both.groupBy(F.col("u").alias("cls")).agg(F.sum("vn"))).union(both.groupBy(F.col("v").alias("cls")).agg(F.sum("un")))
+        counts = counts.groupBy("cls").agg(F.sum("links").alias("links"))
+        inside = both.groupBy(F.col("u").alias("cls")).agg(F.max(F.struct("vsize", (-F.coalesce("vid", F.lit(1 << 62))).alias("less"))).alias("b"))
+        inside = inside.select("cls", F.nullif(-F.col("b.less"), F.lit(1 << 62)).alias("part_of"), F.lit(True).alias("part"))
+    known = known.join(comp, "cls", "left").join(counts, "cls", "left").join(inside, "cls", "left").withColumn("component", F.coalesce("component", "cls"))
+    order = F.struct("size", (-F.coalesce("id", F.lit(1 << 62))).alias("less"), "cls")
+    stays = F.coalesce("part", F.lit(False)) & (F.col("size") >= PART)
+    best = known.groupBy("component").agg(F.min("id").alias("component_id"), F.max(F.when(~stays, order)).alias("b")).select("component", "component_id", F.col("b.cls").alias("best"))
+    known = known.join(best, "component").select("cls", "id", F.col("th").alias("first"), "component_id", "best", "part_of", (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
+    out = index.signed.select("doc_id", "th", "cls").join(known, "cls")
+    kept = F.coalesce(F.col("cls") == F.col("best"), F.lit(False)) & F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("th") == F.col("first"))
+    return out.select("doc_id", "th", "component_id", "n_links", "part_of", kept.alias("kept"))
 
 
 def one_of_each(docs: DataFrame, **how) -> DataFrame:
     """docs without all but the kept document of each component, with the columns of docs; cases as in link().
-    Equal rows of a kept document are one."""
-    named = F.coalesce("doc_id", F.lit(-1 << 63)).alias("id")
-    kept = _link(docs, **how).filter("kept").select(named, "digest").distinct()
+
+    Parts of larger documents stay (unless parts=True): only near copies are dropped. Equal rows of a kept document are one.
+    """
+    named = F.coalesce("doc_id", F.lit(_NO_ID)).alias("id")
+    kept = _link(docs, **how).filter("kept").select(named, "th").distinct()
     # join and grouping have the same keys, so that texts are shuffled once
-    both = keyed(docs).select("row", named, F.md5("text").alias("digest")).join(kept, ["id", "digest"], "left_semi")
-    return unpacked(both.groupBy("id", "digest").agg(F.first("row").alias("row")), docs)
+    both = keyed(docs).select("row", named, "th").join(kept, ["id", "th"], "left_semi")
+    return unpacked(both.groupBy("id", "th").agg(F.first("row").alias("row")), docs)

@@ -74,8 +74,8 @@ def op5_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query
 def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Null or repeated ids aside, kept marks one document of each component."""
-    return near_dedup.link(read(spark, sf_dir, "documents")).drop("digest")
+    """kept marks one document of each component of near copies, none where all are parts of larger documents."""
+    return near_dedup.link(read(spark, sf_dir, "documents")).drop("th")
 
 
 @_query

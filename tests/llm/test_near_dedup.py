@@ -1,16 +1,29 @@
 from __future__ import annotations
 
+import math
 import random
+from collections import defaultdict
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import functions as F
 
 from rolloom.llm import near_dedup as nd
 
 
-def brute(rows):
+def linked(a, b):
+    q = min(len(a), len(b))
+    return q > 0 and len(a & b) >= nd.CONTAINMENT * q - 1e-9
+
+
+def similar(a, b):
+    return min(len(a), len(b)) >= nd.RATIO * max(len(a), len(b))
+
+
+def brute(rows, parts=True):
+    """For each row: (group of its near copies, number of links at any ratio, is it in a larger one), and the sets."""
     h, off = nd.shingles(pa.array([t or "" for _, t in rows]))
-    sets = [set(h[off[k] : off[k + 1]].tolist()) for k in range(len(rows))]
+    sets = [frozenset(h[off[k] : off[k + 1]].tolist()) for k in range(len(rows))]
     up = list(range(len(rows)))
 
     def root(x):
@@ -18,16 +31,22 @@ def brute(rows):
             x = up[x]
         return x
 
+    links, part = [0] * len(rows), [False] * len(rows)
     for a in range(len(rows)):
         for b in range(a):
-            q, x = sorted((len(sets[a]), len(sets[b])))
-            if (rows[a][1] or "") == (rows[b][1] or "") or (q and q >= nd.RATIO * x and len(sets[a] & sets[b]) >= nd.CONTAINMENT * q):
-                ra, rb = root(a), root(b)
-                up[max(ra, rb)] = min(ra, rb)
-    groups = {}
+            same = (rows[a][1] or "") == (rows[b][1] or "")
+            if same or linked(sets[a], sets[b]):
+                links[a] += 1
+                links[b] += 1
+                if same or similar(sets[a], sets[b]):
+                    ra, rb = root(a), root(b)
+                    up[max(ra, rb)] = min(ra, rb)
+                else:
+                    part[min(a, b, key=lambda k: len(sets[k]))] = True
+    groups = defaultdict(list)
     for k in range(len(rows)):
-        groups.setdefault(root(k), []).append(k)
-    return {frozenset(g) for g in groups.values()}, sets
+        groups[root(k)].append(k)
+    return list(groups.values()), links, part, sets
 
 
 def make(seed):
@@ -42,52 +61,103 @@ def make(seed):
             for _ in range(int(len(copy) * rng.choice([0, 0.01, 0.03]))):
                 copy[rng.randrange(len(copy))] = rng.choice(vocabulary)
             rows.append((len(rows), " ".join(copy[: int(len(copy) * rng.choice([1, 1, 0.8]))])))
+        for _ in range(rng.choice([0, 0, 1])):
+            at = rng.randrange(len(words))
+            rows.append((len(rows), " ".join(words[at : at + rng.randint(3, 60)])))
     return rows
 
 
-def test_equals_brute_force(docs):
+def by_row(got, rows):
+    """The results in the order of rows."""
+    at = {}
+    for r in got:
+        assert at.setdefault((r.doc_id, r.th), r) == r
+    return at
+
+
+def test_equals_brute_force(spark, docs):
     rows = make(1)
-    rows += [(5000, None), (5001, ""), (5002, "..."), (5003, "one two"), (5004, "One, two!"), (5005, "long text " * 20_000), (5006, "long text " * 20_000), (None, rows[0][1]), (None, "no id at all here my friends"), (3, rows[3][1])]
+    rows += [(5000, None), (5001, ""), (5002, "..."), (5003, "one two"), (5004, "One, two!"), (5005, "long text " * 20_000), (5006, "long text " * 20_000), (None, rows[0][1]), (None, "no id at all here my friends"), (3, rows[3][1]), (3, "the same id with another text"), (2, rows[0][1])]
     got = nd.link(docs(rows)).collect()
     assert len(got) == len(rows)
-    groups, sets = brute(rows)
-    component = {(r.doc_id, r.digest): r for r in got}
-    import hashlib
-
-    key = [(i, hashlib.md5((t or "").encode()).hexdigest()) for i, t in rows]
+    groups, links, part, sets = brute(rows)
+    at = by_row(got, rows)
+    hashes = [r[0] for r in spark.createDataFrame([(k, t or "") for k, (_, t) in enumerate(rows)], "k long, t string").orderBy("k").select(F.xxhash64("t")).collect()]
+    mine = [at[(i, h)] for (i, _), h in zip(rows, hashes)]
+    assert [r.n_links for r in mine] == links
+    assert [r.part_of is not None for r in mine] == part and any(part)
     for g in groups:
-        mine = [component[key[k]] for k in g]
         ids = [rows[k][0] for k in g if rows[k][0] is not None]
-        assert {r.component_id for r in mine} == {min(ids, default=None)}, [rows[k] for k in g]
-        kept = [k for k in g if component[key[k]].kept]
-        assert len({key[k] for k in kept}) == 1 and len(sets[kept[0]]) == max(len(sets[k]) for k in g)
-        assert all((component[key[k]].n_links > 0) == (len(g) > 1) for k in g)
+        assert {mine[k].component_id for k in g} == {min(ids, default=None)}, [rows[k] for k in g]
+        free = [k for k in g if not (part[k] and len(sets[k]) >= nd.PART)]
+        kept = {(rows[k][0], rows[k][1]) for k in g if mine[k].kept}
+        assert len(kept) == (1 if free else 0)
+        assert all(len(sets[k]) == max(len(sets[f]) for f in free) for k in g if mine[k].kept)
     out = nd.one_of_each(docs(rows)).collect()
     assert len(out) == len(groups) and all(r.row == f"row{r.doc_id}" for r in out if r.doc_id is not None)
 
 
 def test_empty(docs):
     assert nd.link(docs([])).count() == 0 and nd.one_of_each(docs([])).count() == 0
+    assert [r.n_links for r in nd.link(docs([(1, None), (2, "a")])).collect()] == [0, 0]
+
+
+def test_passages_of_any_share_are_found(docs):
+    """Recall of links by size ratio, against brute force without a cut, at and above the threshold."""
+    rng = random.Random(11)
+    rows = []
+    for k in range(120):
+        words = [f"w{rng.randrange(5000)}" for _ in range(rng.choice([300, 1000, 3000]))]
+        rows.append((len(rows), " ".join(words)))
+        for share in (0.5, 0.4, 0.25, 0.1, 0.03, 0.01, 0.003):
+            n = max(3, int(len(words) * share))
+            at = rng.randrange(len(words) - n)
+            copy = words[at : at + n]
+            for _ in range(int(n * rng.choice([0, 0.03, 0.08]))):
+                copy[rng.randrange(n)] = f"x{rng.randrange(5000)}"
+            rows.append((len(rows), " ".join(copy)))
+    _, links, part, sets = brute(rows)
+    found, there = defaultdict(int), defaultdict(int)
+    got = {r.doc_id: r for r in nd.link(docs(rows)).collect()}
+    for i, (n, p) in enumerate(zip(links, part)):
+        band = round(-math.log2(len(sets[i]) / max(len(sets[i // 8 * 8]), 1)))
+        there[band] += n
+        found[band] += got[i].n_links
+        assert got[i].n_links <= n and (got[i].part_of is None or p)
+    assert all(found[b] >= 0.98 * there[b] for b in there), (found, there)
+    assert sum(there.values()) > 500
 
 
 def test_boilerplate_does_not_link(docs):
     rng = random.Random(5)
     shared = " ".join(f"b{i}" for i in range(12))
-    rows = [(i, shared + " " + " ".join(f"x{rng.randrange(10**6)}" for _ in range(30))) for i in range(150)]
-    assert all(r.n_links == 0 and r.kept for r in nd.link(docs(rows)).collect())
+    rows = [(i, shared + " " + " ".join(f"x{rng.randrange(10**6)}" for _ in range(30))) for i in range(150)] + [(1000, shared)]
+    got = {r.doc_id: r for r in nd.link(docs(rows)).collect()}
+    assert got[1000].n_links == 150 and not got[1000].kept and got[1000].part_of is not None
+    assert all(r.n_links == 1 and r.kept and r.component_id == i for i, r in got.items() if i < 1000)
+    assert len(nd.one_of_each(docs(rows)).collect()) == 151
 
 
 def test_tuning():
-    for p in range(20):
-        bands, rows = nd.tuned(p, nd.CONTAINMENT, nd.RATIO)
-        s = nd.jaccard(1 / nd.RATIO, nd.CONTAINMENT)
-        assert bands * rows <= nd.HASHES and (1 - s**rows) ** bands <= nd.MISS
-        c = nd.least_bands(s, bands, rows, nd.MISS / 2)
-        hits = np.random.default_rng(p).binomial(bands, s**rows, 20_000)
-        assert (hits < c).mean() <= nd.MISS
+    bands = [nd.tuned(d) for d in range(5)]
+    assert bands == sorted(bands) and len(set(bands)) > 2 and bands[-1] * nd.ROWS <= nd.HASHES
+    for d, n in enumerate(bands):
+        s = nd.jaccard(min(1 / nd.RATIO, 2 ** ((d + 1) / nd.STEPS)), nd.CONTAINMENT)
+        assert (1 - s**nd.ROWS) ** n <= nd.MISS * 1.1
+        c = nd.least_bands(s, n, nd.ROWS, nd.MISS / 2)
+        hits = np.random.default_rng(d).binomial(n, s**nd.ROWS, 200_000)
+        assert (hits < c).mean() <= nd.MISS * 1.1
     sizes = np.arange(1, 5000)
-    part = nd.partition(sizes, nd.RATIO)
-    assert all(nd.bound(int(p), nd.RATIO) <= n for n, p in zip(sizes, part))
+    part = nd.partition(sizes)
+    assert all(nd.bound(int(p)) <= n < nd.bound(int(p) + 1) or nd.bound(int(p)) == nd.bound(int(p) + 1) for n, p in zip(sizes, part))
+
+
+def test_lookups_suffice():
+    """Any linked set has one of the values looked up: always for small sets, but for a small share for larger ones."""
+    for n in range(1, nd.LOW + 1):
+        assert nd.looked_up(n) + math.ceil(nd.CONTAINMENT * n - 1e-9) == n + 1
+    have = np.random.default_rng(1).binomial(nd.LOW, nd.CONTAINMENT, 1_000_000)
+    assert (have < nd.LOW_FOUND).mean() < 5e-4 and nd.looked_up(nd.LOW + 1) + nd.LOW_FOUND == nd.LOW + 1
 
 
 def test_counts_all_links(docs):
@@ -102,13 +172,7 @@ def test_counts_all_links(docs):
                 copy[rng.randrange(len(copy))] = f"w{rng.randrange(3000)}"
             rows.append((len(rows), " ".join(copy)))
     rows += [(100 + k, rows[k][1]) for k in range(5)]
-    sets = brute(rows)[1]
-    want = {}
-    for a, (i, text) in enumerate(rows):
-        want[i] = 0
-        for b, (_, other) in enumerate(rows):
-            q, x = sorted((len(sets[a]), len(sets[b])))
-            want[i] += a != b and (text == other or q >= nd.RATIO * x and len(sets[a] & sets[b]) >= nd.CONTAINMENT * q)
+    want = {i: n for (i, _), n in zip(rows, brute(rows)[1])}
     assert max(want.values()) >= 19
     for how in ({}, {"block": 6}):
         assert {r.doc_id: r.n_links for r in nd.link(docs(rows), **how).collect()} == want
