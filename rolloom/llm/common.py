@@ -95,6 +95,14 @@ def stored(df: DataFrame) -> DataFrame:
     return out
 
 
+def dropped(*tables: DataFrame) -> None:
+    """Deletes what stored() wrote, once nothing that will run reads it."""
+    for df in tables:
+        spark = df.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(df._stored_at)  # noqa: SLF001
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def bytes_stored(df: DataFrame) -> int:
     """Size on disk of what stored() returned."""
     spark = df.sparkSession
@@ -264,7 +272,8 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
 
     now, before = contracted(edges.select("u", "v").filter("u <> v")), None
     for _ in range(rounds):
-        now = stored(star(star(now, True), False))
+        last, now = now, stored(star(star(now, True), False))
+        dropped(last)
         state = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if state == before:
             break

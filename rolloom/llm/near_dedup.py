@@ -6,9 +6,9 @@ sizes q <= x that containment is worth a Jaccard similarity of at least containm
 the threshold of a pair of partitions, from which follows how many bands of the index it takes (`tuned`).
 
 Beyond a size ratio of 1 / RATIO the threshold is lower than bands of a signature can tell from chance. There the
-smaller set's LOW least hash values are looked up in the partitions of larger sets, the rarest of them only: so
-many that a linked set has one of them at least (exactly, if the set has LOW shingles or fewer; else as a random
-sample of it). How rare a value is, is counted by partition, so values that hold no larger set cost nothing.
+smaller set's least hash values are looked up in the partitions of larger sets, the rarest of them only: so many
+that a linked set has one of them at least (exactly, if the set has LOW shingles or fewer and all are taken; else
+the SAMPLE least are a random sample of it). How rare a value is, is counted by partition, so values that hold no larger set cost nothing.
 
 Links of sets of similar size are near copies and make components; a document in a larger one is a part of it.
 Parts don't join components, as a common phrase would make all documents with it one.
@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rolloom.llm.common import components, flat, grams, hash_spans, keyed, mix, slices, small, stored, unpacked, word_bounds
+from rolloom.llm.common import components, dropped, flat, grams, hash_spans, keyed, mix, slices, small, stored, unpacked, word_bounds
 
 WORDS, CONTAINMENT = 3, 0.7
 #: Sets of which the smaller has at least this share of the larger's size are compared by bands, others by lookups.
@@ -36,9 +36,9 @@ STEPS = 4
 HASHES, ROWS, MISS = 128, 2, 0.002
 #: Standard deviations that a pair's estimate may be below the threshold.
 SLACK = 3.5
-#: Hash values of a set that are looked up in larger ones, how many of them a linked set has at least (but for a
-#: probability of 3e-4), and bits of the table that tells which values are looked up at all.
-LOW, LOW_FOUND, FILTER_BITS = 24, 9, 27
+#: Sets of up to LOW shingles are looked up whole in larger ones, others by their SAMPLE least hash values, of which a
+#: linked set has FOUND at least (but for a probability of 5e-4). Bits of the table that tells which values are looked up.
+LOW, SAMPLE, FOUND, FILTER_BITS = 64, 32, 13, 27
 #: Shingles that a part of a larger document has at least to be dropped for it.
 PART = 8
 SEED = 6
@@ -100,10 +100,10 @@ def least_bands(s: float, bands: int, rows: int, miss: float) -> int:
 
 
 def looked_up(size: int | Column, containment: float = CONTAINMENT):
-    """How many of a set's LOW least hash values, at least, must be looked up for one of them to be in each linked set."""
+    """How many of a set's least hash values, at least, must be looked up for one of them to be in each linked set."""
     if isinstance(size, Column):
-        return F.when(size <= LOW, size - F.ceil(size * containment - 1e-9) + 1).otherwise(LOW - LOW_FOUND + 1)
-    return size - math.ceil(size * containment - 1e-9) + 1 if size <= LOW else LOW - LOW_FOUND + 1
+        return F.when(size <= LOW, size - F.ceil(size * containment - 1e-9) + 1).otherwise(SAMPLE - FOUND + 1)
+    return size - math.ceil(size * containment - 1e-9) + 1 if size <= LOW else SAMPLE - FOUND + 1
 
 
 def _class(h: np.ndarray, text: str) -> int:
@@ -128,7 +128,7 @@ def _sign(hashes: int, words: int, seed: int):
                 h = mix(h)
                 for k in range(hashes):
                     sig[some, k] = np.minimum.reduceat(h * factor[k] >> np.uint64(32), off[some]).astype("<u4")
-            low = [np.sort(h[off[i] : off[i + 1]])[:LOW].view(np.int64) for i in range(len(texts))]
+            low = [np.sort(h[off[i] : off[i + 1]])[: LOW if size[i] <= LOW else SAMPLE].view(np.int64) for i in range(len(texts))]
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), b.column(1), pa.array(cls, pa.int64()), pa.array(size.astype(np.int32)), pa.array([x.tobytes() for x in sig], pa.binary()), pa.array(low, pa.list_(pa.int64()))],
                 names=["doc_id", "th", "cls", "size", "sig", "low"],
@@ -240,7 +240,7 @@ def _wanted(shared, ratio: float, words: int):
 def _inside(containment: float, ratio: float, words: int):
     """(u, v, sure): u is, or if not sure may be, in v. Input: (v, u, size, low, text), the row with v's text first.
 
-    Of a set of LOW shingles or fewer all are seen; a larger one is judged by its LOW least, which are a sample.
+    Of a set of LOW shingles or fewer all are seen; a larger one is judged by its SAMPLE least.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -256,7 +256,7 @@ def _inside(containment: float, ratio: float, words: int):
                 x = low.values.to_numpy().view(np.uint64)
                 at = np.searchsorted(have, x)
                 n = int((have[np.minimum(at, len(have) - 1)] == x).sum())
-                if n >= (containment * size - 1e-9 if size <= LOW else LOW_FOUND):
+                if n >= (containment * size - 1e-9 if size <= LOW else FOUND):
                     us.append(u), vs.append(v), sure.append(size <= LOW)
             yield pa.RecordBatch.from_arrays([pa.array(us, pa.int64()), pa.array(vs, pa.int64()), pa.array(sure, pa.bool_())], names=["u", "v", "sure"])
 
@@ -329,10 +329,12 @@ class _Index:
     def __init__(self, docs: DataFrame, containment: float, ratio: float, words: int, hashes: int, miss: float):
         self.containment, self.ratio, self.words, self.hashes, self.miss = containment, ratio, words, hashes, miss
         self.slim = keyed(docs).select("doc_id", "th", "text")
-        self.signed = stored(self.slim.mapInArrow(_sign(hashes, words, SEED), "doc_id long, th long, cls long, size int, sig binary, low array<long>"))
+        signed = stored(self.slim.mapInArrow(_sign(hashes, words, SEED), "doc_id long, th long, cls long, size int, sig binary, low array<long>"))
         first = F.min(F.struct(F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("id"), "th"))
-        classes = self.signed.groupBy("cls").agg(first.alias("f"), F.count("*").alias("n"), F.first("size").alias("size"), F.first("sig").alias("sig"), F.first("low").alias("low"))
+        classes = signed.groupBy("cls").agg(first.alias("f"), F.count("*").alias("n"), F.first("size").alias("size"), F.first("sig").alias("sig"), F.first("low").alias("low"))
         self.classes = stored(classes.select("cls", F.nullif("f.id", F.lit((1 << 63) - 1)).alias("id"), "f.th", "n", "size", "sig", "low"))
+        self.rows = stored(signed.select("doc_id", "th", "cls"))
+        dropped(signed)
 
     def texts(self, who: DataFrame) -> DataFrame:
         """(cls, text) of the classes in who (cls)."""
@@ -399,7 +401,7 @@ class _Index:
         found = asked.join(rare, "key").withColumn("above", above).filter(F.size("above") > 0)
         found = found.groupBy("cls", "size").agg(F.array_sort(F.collect_list(F.struct(cost.alias("cost"), "key", F.transform("above", lambda x: x.part).alias("parts")))).alias("keys"))
         # values that no larger set has are the rarest
-        take = looked_up(F.col("size"), self.containment) - (F.least(F.col("size"), F.lit(LOW)) - F.size("keys"))
+        take = looked_up(F.col("size"), self.containment) - (F.when(F.col("size") <= LOW, F.col("size")).otherwise(SAMPLE) - F.size("keys"))
         found = found.filter(take > 0).select("cls", F.explode(F.slice("keys", F.lit(1), take.cast("int"))).alias("k"))
         found = found.select(F.col("cls").alias("u"), "k.key", F.explode("k.parts").alias("part"))
         pairs = stored(found.join(held.withColumnRenamed("cls", "v"), ["key", "part"]).filter("u <> v").select("u", "v").distinct())
@@ -465,7 +467,7 @@ def _link(docs: DataFrame, containment: float = CONTAINMENT, ratio: float = RATI
     stays = F.coalesce("part", F.lit(False)) & (F.col("size") >= PART)
     best = known.groupBy("component").agg(F.min("id").alias("component_id"), F.max(F.when(~stays, order)).alias("b")).select("component", "component_id", F.col("b.cls").alias("best"))
     known = known.join(best, "component").select("cls", "id", F.col("th").alias("first"), "component_id", "best", "part_of", (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
-    out = index.signed.select("doc_id", "th", "cls").join(known, "cls")
+    out = index.rows.join(known, "cls")
     kept = F.coalesce(F.col("cls") == F.col("best"), F.lit(False)) & F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("th") == F.col("first"))
     return out.select("doc_id", "th", "component_id", "n_links", "part_of", kept.alias("kept"))
 
