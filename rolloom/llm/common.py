@@ -18,8 +18,8 @@ BROADCAST_BYTES, BROADCAST_ROWS = 8 << 20, 500_000
 #: Vectorised steps look at about so many bytes of text at a time, whatever the size of Arrow's batches.
 SLICE_BYTES = 1 << 20
 
-#: Most rows of an Arrow batch: texts are long, and a batch stands in the executor's memory and in the worker's.
-BATCH_ROWS = 1000
+#: Most rows and bytes of an Arrow batch: texts are long, and a batch stands in the executor's memory and in the worker's.
+BATCH_ROWS, BATCH_BYTES = 1000, 4 << 20
 
 _fallback: list[str] = []
 
@@ -44,6 +44,7 @@ def small_batches(spark: SparkSession) -> None:
     now = int(spark.conf.get(name))
     if now <= 0 or now > BATCH_ROWS:
         spark.conf.set(name, str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
