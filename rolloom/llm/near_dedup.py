@@ -37,8 +37,10 @@ HASHES, ROWS, MISS = 128, 2, 0.002
 #: Standard deviations that a pair's estimate may be below the threshold.
 SLACK = 3.5
 #: Sets of up to LOW shingles are looked up whole in larger ones, others by their SAMPLE least hash values, of which a
-#: linked set has FOUND at least (but for a probability of 5e-4). Bits of the table that tells which values are looked up.
-LOW, SAMPLE, FOUND, FILTER_BITS = 64, 32, 13, 27
+#: linked set has FOUND at least (but for a probability of 5e-4). 2 ** FILTER_BITS bytes tell which values are looked up.
+LOW, SAMPLE, FOUND, FILTER_BITS = 64, 32, 13, 25
+#: Bytes of the smaller sets that one task holds at once while larger ones pass by.
+SET_BYTES = 32 << 20
 #: Shingles that a part of a larger document has at least to be dropped for it.
 PART = 8
 SEED = 6
@@ -189,27 +191,82 @@ def contained(a: np.ndarray, b: np.ndarray, containment: float) -> bool:
     return q > 0 and len(np.intersect1d(a, b, assume_unique=True)) >= containment * q - 1e-9
 
 
-def _check(containment: float, words: int):
-    """The pairs (u, v) that are linked; neighbouring rows of one u read its text once."""
+def _sets(words: int):
+    """(cls, set): the shingles of each text, sorted."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, mine = None, None
-        for b in slices(batches, "text_b", 1 << 18):
-            ones, many = b.column(0), b.column(1)
-            left, right = b.column(2), b.column(3)
-            h, off = shingles(right, words)
-            keep = []
-            for i, (u, t) in enumerate(zip(ones.to_pylist(), left)):
-                if u != last:
-                    last, mine = u, shingles(pa.array([t.as_py()], pa.string()), words)[0]
-                keep.append(contained(mine, h[off[i] : off[i + 1]], containment))
-            mask = pa.array(keep, pa.bool_())
-            yield pa.RecordBatch.from_arrays([ones.filter(mask), many.filter(mask)], names=["u", "v"])
+        for b in slices(batches, "text"):
+            h, off = shingles(b.column(1), words)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([h[i:j].tobytes() for i, j in zip(off[:-1], off[1:])], pa.binary())], names=["cls", "set"])
+
+    return run
+
+
+def _numbered(sets: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(shingles of all sets with the set's number above their 52 bits, sizes)."""
+    body, off = flat(sets)
+    size = np.diff(off) // 8
+    return body.view(np.uint64) | np.repeat(np.arange(len(size), dtype=np.uint64), size) << np.uint64(52), size
+
+
+def _check(containment: float):
+    """The pairs (u, v) that are linked; input: (u, v, set_u, set_v)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for big in slices(batches, "set_v"):
+            for at in range(0, big.num_rows, 4096):
+                b = big.slice(at, 4096)
+                (x, p), (y, q) = _numbered(b.column(2)), _numbered(b.column(3))
+                least = np.minimum(p, q)
+                both = np.zeros(b.num_rows, np.int64)
+                if len(x) and len(y):
+                    hit = y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x
+                    both = np.bincount((x[hit] >> np.uint64(52)).astype(np.int64), minlength=b.num_rows)
+                mask = pa.array((least > 0) & (both >= containment * least - 1e-9))
+                yield pa.RecordBatch.from_arrays([b.column(0).filter(mask), b.column(1).filter(mask)], names=["u", "v"])
 
     return run
 
 
-def _wanted(shared, ratio: float, words: int):
+_PAGE = 1 << 16
+
+
+def _pages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(page, body): the table's slots, 255 where there is none. Input: (slot, part), sorted."""
+    page, body = -1, None
+    for b in batches:
+        slot, part = b.column(0).to_numpy(), b.column(1).to_numpy()
+        for k in np.unique(slot // _PAGE).tolist():
+            if k != page:
+                if body is not None:
+                    yield pa.RecordBatch.from_arrays([pa.array([page]), pa.array([body.tobytes()], pa.binary())], names=["page", "body"])
+                page, body = k, np.full(_PAGE, 255, np.uint8)
+            own = slot // _PAGE == k
+            body[slot[own] % _PAGE] = np.minimum(part[own], 254)
+    if body is not None:
+        yield pa.RecordBatch.from_arrays([pa.array([page]), pa.array([body.tobytes()], pa.binary())], names=["page", "body"])
+
+
+def table_of(asked: DataFrame) -> np.ndarray:
+    """For each of 2 ** FILTER_BITS slots the least partition that asks for a key there, from (key, part); 255 if none does.
+
+    The table has that many bytes whatever the corpus; a slot may stand for several keys.
+    """
+    slot = F.col("key").bitwiseAND(F.lit((1 << FILTER_BITS) - 1))
+    least = asked.select(slot.alias("slot"), "part").groupBy("slot").agg(F.min("part").alias("part"))
+    pages = least.repartition(F.shiftright("slot", 16)).sortWithinPartitions("slot").mapInArrow(_pages, "page long, body binary")
+    table = np.full(1 << FILTER_BITS, 255, np.uint8)
+    for r in pages.collect():
+        table[r["page"] * _PAGE : (r["page"] + 1) * _PAGE] = np.frombuffer(r["body"], np.uint8)
+    return table
+
+
+def _asked(table: np.ndarray, key: np.ndarray, part: np.ndarray, gap: int) -> np.ndarray:
+    """Which keys of sets of these partitions may a set at least `gap` partitions below ask for?"""
+    return table[(key & np.uint64((1 << FILTER_BITS) - 1)).astype(np.int64)].astype(np.int32) + gap <= part
+
+
+def _wanted(shared, gap: int, words: int):
     """(key, part, cls): the shingles of each text that smaller sets may look up. A task does not repeat what it
     has said of a set, so that copies don't add up."""
 
@@ -219,46 +276,58 @@ def _wanted(shared, ratio: float, words: int):
         for b in slices(batches, "text"):
             h, off = shingles(b.column(0), words)
             size = np.diff(off)
+            part = partition(size).astype(np.int32)
             cls = np.array([_class(h[off[i] : off[i + 1]], "") if size[i] else 0 for i in range(len(size))], np.int64)
             if len(seen) > 1 << 20:
                 seen.clear()
             new = np.zeros(len(size), bool)
-            for i in np.flatnonzero(size > 1 / ratio).tolist():
+            for i in np.flatnonzero(size).tolist():
                 if int(cls[i]) not in seen:
                     seen.add(int(cls[i]))
                     new[i] = True
             key = mix(h)
             doc = np.repeat(np.arange(len(size)), size)
-            bit = (key & np.uint64((1 << FILTER_BITS) - 1)).astype(np.int64)
-            at = np.flatnonzero(new[doc] & (table[bit >> 6] >> (bit & 63).astype(np.uint64) & np.uint64(1)).astype(bool))
-            part = partition(size).astype(np.int32)
+            at = np.flatnonzero(new[doc] & _asked(table, key, part[doc], gap))
             yield pa.RecordBatch.from_arrays([pa.array(key[at].view(np.int64)), pa.array(part[doc[at]]), pa.array(cls[doc[at]])], names=["key", "part", "cls"])
 
     return run
 
 
-def _inside(containment: float, ratio: float, words: int):
-    """(u, v, sure): u is, or if not sure may be, in v. Input: (v, u, size, low, text), the row with v's text first.
+def _still(shared, gap: int):
+    """The rows (key, part, cls) that are asked for."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield b.filter(pa.array(_asked(shared.value, b.column(0).to_numpy().view(np.uint64), b.column(1).to_numpy(), gap)))
+
+    return run
 
-    Of a set of LOW shingles or fewer all are seen; a larger one is judged by its SAMPLE least.
-    """
+
+def _inside(containment: float, ratio: float, words: int):
+    """(u, v): u is in v. Input by (part, block): first rows (u, set), then rows (v, us, text), us being candidates."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, have = None, np.zeros(0, np.uint64)
+        where, sets = None, {}
         for b in slices(batches, "text"):
-            us, vs, sure = [], [], []
-            for v, u, size, low, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), b.column(3), b.column(4)):
-                if u is None:
-                    now, have = v, np.sort(mix(shingles(pa.array([text.as_py()], pa.string()), words)[0]))
-                    continue
-                if v != now or size >= ratio * len(have):
+            us, vs = [], []
+            for part, block, u, body, v, asked, text in zip(*(c.to_pylist() for c in b.columns[:6]), b.column(6)):
+                if (part, block) != where:
+                    where, sets = (part, block), {}
+                if v is None:
+                    sets[u] = np.frombuffer(body, np.uint64)
                     continue
-                x = low.values.to_numpy().view(np.uint64)
-                at = np.searchsorted(have, x)
-                n = int((have[np.minimum(at, len(have) - 1)] == x).sum())
-                if n >= (containment * size - 1e-9 if size <= LOW else FOUND):
-                    us.append(u), vs.append(v), sure.append(size <= LOW)
-            yield pa.RecordBatch.from_arrays([pa.array(us, pa.int64()), pa.array(vs, pa.int64()), pa.array(sure, pa.bool_())], names=["u", "v", "sure"])
+                have = shingles(pa.array([text.as_py()], pa.string()), words)[0]
+                asked = [u for u in asked if len(sets[u]) < ratio * len(have)]
+                for i in range(0, len(asked), 256):
+                    own = [sets[u] for u in asked[i : i + 256]]
+                    x = np.concatenate(own)
+                    hit = have[np.minimum(np.searchsorted(have, x), len(have) - 1)] == x
+                    size = np.array([len(y) for y in own])
+                    n = np.add.reduceat(hit.astype(np.int64), np.cumsum(size) - size)
+                    ok = np.flatnonzero(n >= containment * size - 1e-9)
+                    us += [asked[i + k] for k in ok.tolist()]
+                    vs += [v] * len(ok)
+            yield pa.RecordBatch.from_arrays([pa.array(us, pa.int64()), pa.array(vs, pa.int64())], names=["u", "v"])
 
     return run
 
@@ -345,9 +414,12 @@ class _Index:
 
     def checked(self, pairs: DataFrame) -> DataFrame:
         """The links among pairs (u, v), by their texts."""
-        own = stored(self.texts(small(stored(pairs.select(F.col("u").alias("cls")).union(pairs.select("v")).distinct()))))
-        both = pairs.join(own.select(F.col("cls").alias("v"), F.col("text").alias("text_b")), "v").join(own.select(F.col("cls").alias("u"), F.col("text").alias("text_a")), "u")
-        return stored(both.select("u", "v", "text_a", "text_b").mapInArrow(_check(self.containment, self.words), "u long, v long"))
+        own = self.texts(small(stored(pairs.select(F.col("u").alias("cls")).union(pairs.select("v")).distinct())))
+        own = stored(own.mapInArrow(_sets(self.words), "cls long, set binary"))
+        both = pairs.join(own.select(F.col("cls").alias("v"), F.col("set").alias("set_v")), "v").join(own.select(F.col("cls").alias("u"), F.col("set").alias("set_u")), "u")
+        out = stored(both.select("u", "v", "set_u", "set_v").mapInArrow(_check(self.containment), "u long, v long"))
+        dropped(own)
+        return out
 
     def likely(self, pairs: DataFrame) -> DataFrame:
         """Those of pairs (u, v) that their sketches don't rule out."""
@@ -389,26 +461,33 @@ class _Index:
         spark = self.slim.sparkSession
         sets = self.classes.filter("size > 0").select("cls", "size", "low")
         asked = stored(sets.select("cls", "size", _part(F.col("size")).alias("part"), F.explode("low").alias("key")))
-        bit = F.col("key").bitwiseAND(F.lit((1 << FILTER_BITS) - 1))
-        words = asked.select(F.shiftright(bit, 6).alias("w"), F.call_function("shiftleft", F.lit(1).cast("long"), bit.bitwiseAND(F.lit(63)).cast("int")).alias("b")).groupBy("w").agg(F.bit_or("b").alias("b"))
-        got = words.toArrow()  # at most 2 ** (FILTER_BITS - 6) rows, whatever the corpus
-        table = np.zeros(1 << (FILTER_BITS - 6), np.uint64)
-        table[got.column("w").to_numpy()] = got.column("b").to_numpy().view(np.uint64)
-        held = stored(self.slim.select("text").mapInArrow(_wanted(spark.sparkContext.broadcast(table), self.ratio, self.words), "key long, part int, cls long"))
+        gap = math.floor(math.log2(1 / self.ratio) * STEPS)
+        share = lambda df: spark.sparkContext.broadcast(table_of(df))
+        held = stored(self.slim.select("text").mapInArrow(_wanted(share(asked), gap, self.words), "key long, part int, cls long"))
         rare = held.groupBy("key", "part").count().groupBy("key").agg(F.collect_list(F.struct("part", "count")).alias("at"))
-        above = F.filter("at", lambda x: x.part >= F.col("part") + math.floor(math.log2(1 / self.ratio) * STEPS))
+        above = F.filter("at", lambda x: x.part >= F.col("part") + gap)
         cost = F.aggregate("above", F.lit(0).cast("long"), lambda s, x: s + x["count"])
         found = asked.join(rare, "key").withColumn("above", above).filter(F.size("above") > 0)
-        found = found.groupBy("cls", "size").agg(F.array_sort(F.collect_list(F.struct(cost.alias("cost"), "key", F.transform("above", lambda x: x.part).alias("parts")))).alias("keys"))
+        found = found.groupBy("cls", "size", "part").agg(F.array_sort(F.collect_list(F.struct(cost.alias("cost"), "key", F.transform("above", lambda x: x.part).alias("parts")))).alias("keys"))
         # values that no larger set has are the rarest
         take = looked_up(F.col("size"), self.containment) - (F.when(F.col("size") <= LOW, F.col("size")).otherwise(SAMPLE) - F.size("keys"))
-        found = found.filter(take > 0).select("cls", F.explode(F.slice("keys", F.lit(1), take.cast("int"))).alias("k"))
+        found = stored(found.filter(take > 0).select("cls", F.col("part").alias("own"), F.explode(F.slice("keys", F.lit(1), take.cast("int"))).alias("k")))
+        held = held.mapInArrow(_still(share(found.select("k.key", F.col("own").alias("part"))), gap), "key long, part int, cls long")
         found = found.select(F.col("cls").alias("u"), "k.key", F.explode("k.parts").alias("part"))
         pairs = stored(found.join(held.withColumnRenamed("cls", "v"), ["key", "part"]).filter("u <> v").select("u", "v").distinct())
-        own = self.texts(small(stored(pairs.select(F.col("v").alias("cls")).distinct()))).select(F.col("cls").alias("v"), F.lit(None).cast("long").alias("u"), F.lit(None).cast("int").alias("size"), F.lit(None).cast("array<long>").alias("low"), "text")
-        ask = pairs.join(sets.withColumnRenamed("cls", "u"), "u").select("v", "u", "size", "low", F.lit(None).cast("string").alias("text"))
-        seen = stored(own.unionByName(ask).repartition("v").sortWithinPartitions("v", F.col("u").asc_nulls_first()).mapInArrow(_inside(self.containment, self.ratio, self.words), "u long, v long, sure boolean"))
-        return stored(seen.filter("sure").select("u", "v").union(self.checked(seen.filter("not sure").select("u", "v"))))
+        # the sets of a block of u go to each part of v once, not with each pair
+        own = self.texts(small(stored(pairs.select(F.col("u").alias("cls")).distinct()))).mapInArrow(_sets(self.words), "cls long, set binary")
+        own = stored(own.withColumnRenamed("cls", "u"))
+        blocks = max(1, -(-(own.agg(F.sum(F.octet_length("set").cast("long"))).first()[0] or 0) // SET_BYTES))
+        part = F.pmod(F.xxhash64("v"), F.lit(int(spark.conf.get("spark.sql.shuffle.partitions")))).cast("int").alias("part")
+        block = F.pmod(F.xxhash64("u"), F.lit(blocks)).cast("int").alias("block")
+        pairs = pairs.select("u", "v", part, block)
+        sets = pairs.select("part", "block", "u").distinct().join(own, "u").select("part", "block", "u", "set")
+        texts = self.texts(small(stored(pairs.select(F.col("v").alias("cls")).distinct()))).withColumnRenamed("cls", "v")
+        asked = pairs.groupBy("part", "block", "v").agg(F.collect_list("u").alias("us")).join(texts, "v").select("part", "block", "v", "us", "text")
+        both = sets.unionByName(asked, allowMissingColumns=True).select("part", "block", "u", "set", "v", "us", "text")
+        both = both.repartition("part", "block").sortWithinPartitions("part", "block", F.col("v").asc_nulls_first())
+        return stored(both.mapInArrow(_inside(self.containment, self.ratio, self.words), "u long, v long"))
 
     def counted(self, comp: DataFrame, block: int) -> DataFrame:
         """(cls, links): links with documents of similar size, within each component of comp (cls, component)."""
