@@ -38,7 +38,7 @@ HASHES, ROWS, MISS = 128, 2, 0.002
 SLACK = 3.5
 #: Sets of up to LOW shingles are looked up whole in larger ones, others by their SAMPLE least hash values, of which a
 #: linked set has FOUND at least (but for a probability of 5e-4). 2 ** FILTER_BITS bytes tell which values are looked up.
-LOW, SAMPLE, FOUND, FILTER_BITS = 64, 32, 13, 25
+LOW, SAMPLE, FOUND, FILTER_BITS = 64, 32, 13, 24
 #: Bytes of the smaller sets that one task holds at once while larger ones pass by.
 SET_BYTES = 32 << 20
 #: Shingles that a part of a larger document has at least to be dropped for it.
@@ -462,8 +462,9 @@ class _Index:
         sets = self.classes.filter("size > 0").select("cls", "size", "low")
         asked = stored(sets.select("cls", "size", _part(F.col("size")).alias("part"), F.explode("low").alias("key")))
         gap = math.floor(math.log2(1 / self.ratio) * STEPS)
-        share = lambda df: spark.sparkContext.broadcast(table_of(df))
-        held = stored(self.slim.select("text").mapInArrow(_wanted(share(asked), gap, self.words), "key long, part int, cls long"))
+        table = spark.sparkContext.broadcast(table_of(asked))
+        held = stored(self.slim.select("text").mapInArrow(_wanted(table, gap, self.words), "key long, part int, cls long"))
+        table.destroy()
         rare = held.groupBy("key", "part").count().groupBy("key").agg(F.collect_list(F.struct("part", "count")).alias("at"))
         above = F.filter("at", lambda x: x.part >= F.col("part") + gap)
         cost = F.aggregate("above", F.lit(0).cast("long"), lambda s, x: s + x["count"])
@@ -472,9 +473,12 @@ class _Index:
         # values that no larger set has are the rarest
         take = looked_up(F.col("size"), self.containment) - (F.when(F.col("size") <= LOW, F.col("size")).otherwise(SAMPLE) - F.size("keys"))
         found = stored(found.filter(take > 0).select("cls", F.col("part").alias("own"), F.explode(F.slice("keys", F.lit(1), take.cast("int"))).alias("k")))
-        held = held.mapInArrow(_still(share(found.select("k.key", F.col("own").alias("part"))), gap), "key long, part int, cls long")
+        table = spark.sparkContext.broadcast(table_of(found.select("k.key", F.col("own").alias("part"))))
+        all_held, held = held, held.mapInArrow(_still(table, gap), "key long, part int, cls long")
         found = found.select(F.col("cls").alias("u"), "k.key", F.explode("k.parts").alias("part"))
         pairs = stored(found.join(held.withColumnRenamed("cls", "v"), ["key", "part"]).filter("u <> v").select("u", "v").distinct())
+        table.destroy()
+        dropped(asked, all_held)
         # the sets of a block of u go to each part of v once, not with each pair
         own = self.texts(small(stored(pairs.select(F.col("u").alias("cls")).distinct()))).mapInArrow(_sets(self.words), "cls long, set binary")
         own = stored(own.withColumnRenamed("cls", "u"))
