@@ -46,14 +46,14 @@ def test_cases(docs, block):
         target[s] = r.target
         assert 0 <= r.taken <= 2 * r.size
     assert target == pytest.approx(water(sizes))
-    assert all(abs(taken[s] - target[s]) <= 1 for s in target)
+    assert all(abs(taken[s] - target[s]) <= 4 * block for s in target)
     again = mixing.mixed(df.repartition(7), block).collect()
     assert sorted(map(str, got)) == sorted(map(str, again))
     words = {r[0]: (r[1] or "").split() for r in rows}
     rows_out = mixing.mixed_documents(df, block).collect()
-    count = {}
+    count, columns = {}, set(df.columns)
     for r in rows_out:
-        assert r.asDict().keys() == df.first().asDict().keys() and r.n_chars == len(r.text) and r.th == (f"th{r.doc_id}" if r.doc_id is not None else None)
+        assert set(r.asDict()) == columns and r.n_chars == len(r.text) and r.th == (f"th{r.doc_id}" if r.doc_id is not None else None)
         assert set(r.text.split()) <= set(words[r.doc_id])
         count[r.doc_id] = count.get(r.doc_id, 0) + len(r.text.split())
     by_id = {}
@@ -80,4 +80,43 @@ def test_query(spark):
         sizes[s] = sizes.get(s, 0) + r.size
         taken[s] = taken.get(s, 0) + r.taken
         target[s] = r.target
-    assert target == pytest.approx(water(sizes)) and all(abs(taken[s] - target[s]) <= 1 for s in target)
+    assert target == pytest.approx(water(sizes)) and all(abs(taken[s] - target[s]) <= 3 * mixing.BLOCK for s in target)
+
+
+def test_shards_draw_their_counts(spark):
+    """Sums come near what is wanted, shards differ, and another draw gives other counts; without it there are none of these."""
+    want = {0: 1000.0, 1: 250.5, 2: 33.3, **{k: 0.7 for k in range(3, 203)}}
+    sources = spark.createDataFrame(list(want.items()), "sid long, slots double")
+    n = {}
+    for seed in (1, 2, 1):
+        rows = mixing.drawn(sources, 20, seed).collect()
+        n.setdefault(seed, []).append(sorted(map(tuple, rows)))
+    assert n[1][0] == n[1][1] != n[2][0]
+    by = {}
+    for sid, shard, k in n[1][0]:
+        by.setdefault(sid, {})[shard] = k
+    assert all(by[0][s] in range(50, 55) for s in range(20)) and len({by[1].get(s) for s in range(20)}) > 1
+    assert abs(sum(by[1].values()) - 250.5) < 15 and abs(sum(sum(x.values()) for x in by.values()) - sum(want.values())) <= 1
+    size = [sum(x.get(s, 0) for x in by.values()) for s in range(20)]
+    assert max(size) - min(size) <= 2
+    assert abs(sum(sum(by.get(k, {}).values()) for k in range(3, 203)) - 140) < 40
+
+
+def test_rows_follow_the_draw(docs):
+    rows = [(i, "w " * (20 + i % 60), "en", f"s{i % 7}") for i in range(300)]
+    df = docs(rows)
+    taken = [sorted((r.doc_id, r.taken) for r in mixing.mixed(df, 16, shard=shard).collect()) for shard in (4096, 40)]
+    assert taken[0] != taken[1]
+    blocks = mixing.packed(df, 16, shard=40).collect()
+    assert len({b.shard for b in blocks}) > 20
+    by = {}
+    for b in blocks:
+        by[b.sid, b.shard] = by.get((b.sid, b.shard), 0) + 1
+    assert len({by.get((0, s), 0) for s in range(20)}) > 1
+    words = {}
+    for b in blocks:
+        words[b.sid] = words.get(b.sid, 0) + len(b.text.split())
+    got = {}
+    for (i, t), r in zip(taken[1], taken[1]):
+        got[int(rows[i][3][1:])] = got.get(int(rows[i][3][1:]), 0) + r[1]
+    assert words == got
