@@ -48,6 +48,8 @@ def test_equals_brute_force(spark, block):
     same = [1.0] + [0.0] * 15
     rows += [(1000 + k, same, 1) for k in range(30)] + [(2000, [2.0] + [0.0] * 15, 1), (1001, same, 1)]
     rows += [(3000, None, 1), (3001, [], 1), (3002, [0.0] * 16, 1), (3003, [None] + [1.0] * 15, 1), (3004, [float("nan")] + [1.0] * 15, 1), (3005, [float("inf")] + [1.0] * 15, 1), (3006, same, None), (3007, same[:8], 1), (None, same, 1)]
+    near, far = [1.0, 0.1] + [0.0] * 14, [0.0] * 15 + [1.0]
+    rows += [(4000, same, 2), (4000, far, 2), (4001, near, 2), (4002, far[:14] + [0.1, 1.0], 2), (4003, far, 2)]  # one id, two vectors
     got = sorted((tuple(r) for r in embed_dedup.link(table(spark, rows), block=block).collect()), key=str)
     want = brute(rows)
     assert len(got) == len(want)
@@ -64,3 +66,11 @@ def test_tables_follow_the_size():
         bits, tables = embed_dedup.plan(n)
         p = (1 - math.acos(0.93) / math.pi) ** bits
         assert (1 - p) ** tables <= embed_dedup.MISS
+
+
+def test_rounding_is_bounded():
+    x = embed_dedup.unit([np.random.default_rng(k).standard_normal(64).tobytes() for k in range(200)])
+    y, off = embed_dedup.unrounded(embed_dedup.rounded(x))
+    assert (np.linalg.norm(x - y, axis=1) <= off).all() and off.max() < 0.02
+    p, q = off[:, None], off
+    assert (np.abs(x @ x.T - y @ y.T) <= p + q + p * q).all()
