@@ -1,9 +1,11 @@
 """Operator 1: personal data, and the terms that give it away.
 
 Patterns find the protected entities. How much a term says about an entity is estimated over the whole corpus
-from their co-occurrence: pmi(term; entity) / ic(entity), where ic = ln(N / df(entity)) is what knowing the
+from the documents they stand in: pmi(term; entity) / ic(entity), where ic = ln(N / df(entity)) is what knowing the
 entity is worth and pmi = ln(N df(term, entity) / (df(term) df(entity))) is what the term tells of it. At 1 the
-term discloses the entity outright. Terms at or over `remove_at` are removed, over `generalise_at` generalised.
+term discloses the entity outright. Terms at or over `remove_at` are removed, over `generalise_at` generalised,
+wherever in the corpus they stand. Terms are words, and numbers too. A single text is no evidence: each of its rare
+words would tell all about an entity that is named nowhere else. So a pair counts from `support` different texts on.
 """
 
 from __future__ import annotations
@@ -18,12 +20,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rolloom.llm.common import flat, hash_spans, slices, stored, word_bounds
+from rolloom.llm.common import flat, hash_spans, slices, small, stored, word_bounds
 
 KINDS = ("email", "ip", "card", "phone", "general", "removed")
-#: Terms on either side of an entity that are candidates.
-WINDOW = 8
-GENERALISE_AT, REMOVE_AT = 0.75, 0.9
+GENERALISE_AT, REMOVE_AT, SUPPORT = 0.75, 0.9, 2
+#: 2 ** TABLE_BITS bits tell a scan which terms may be flagged, whatever their number.
+TABLE_BITS = 23
 
 _DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _IP = re.compile(r"(?<![0-9])[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+")
@@ -34,7 +36,7 @@ _DOUBLED = (0, 2, 4, 6, 8, 1, 3, 5, 7, 9)
 
 _BREAK = np.ones(256, bool)
 _BREAK[128:] = False
-_BREAK[[*range(65, 91), *range(97, 123)]] = False
+_BREAK[[*range(48, 58), *range(65, 91), *range(97, 123)]] = False
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
@@ -74,9 +76,8 @@ def joined(spans: list[tuple[int, int, int]]) -> str:
 
 
 _SPAN = pa.list_(pa.struct([("s", pa.int32()), ("k", pa.int32()), ("x", pa.int32())]))
-_OCC = pa.list_(pa.struct([("e", pa.int64()), ("t", pa.int64()), ("s", pa.int32()), ("x", pa.int32())]))
-_SCHEMA = "doc_id long, th long, base array<struct<s:int,k:int,x:int>>, base_sha256 string, occ array<struct<e:long,t:long,s:int,x:int>>, term long, n long"
-_NAMES = ["doc_id", "th", "base", "base_sha256", "occ", "term", "n"]
+_SCHEMA = "doc_id long, th long, base array<struct<s:int,k:int,x:int>>, base_sha256 string, ents array<long>, term long, n long"
+_NAMES = ["doc_id", "th", "base", "base_sha256", "ents", "term", "n"]
 _NOTHING = hashlib.sha256(b"").hexdigest()
 
 
@@ -101,86 +102,148 @@ class _Counts:
             self.new, self.size = [], 0
 
 
+def _terms(texts: pa.Array) -> tuple[np.ndarray, ...]:
+    """(bytes, offsets of the texts in them, starts and ends of the terms, their hashes, offsets of the texts in these)."""
+    body, off = flat(texts)
+    starts, ends = word_bounds(body, off, _BREAK)
+    return body, off, starts, ends, hash_spans(_LOWER[body], starts, ends), np.searchsorted(starts, off)
+
+
+def _distinct(terms: np.ndarray, toff: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(text, term), each once."""
+    doc = np.repeat(np.arange(len(toff) - 1), np.diff(toff))
+    order = np.lexsort((terms, doc))
+    t, d = terms[order], doc[order]
+    first = np.ones(len(t), bool)
+    first[1:] = (t[1:] != t[:-1]) | (d[1:] != d[:-1])
+    return d[first], t[first]
+
+
+def _hash(text: str) -> int:
+    return xxhash.xxh64_intdigest(text) - (1 << 63)
+
+
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     counts = _Counts()
     for b in slices(batches, "text"):
         texts = b.column(1)
-        body, off = flat(texts)
-        starts, ends = word_bounds(body, off, _BREAK)
-        long = ends - starts >= 3
-        starts, ends = starts[long], ends[long]
-        terms = hash_spans(_LOWER[body], starts, ends)
-        doc = np.searchsorted(off, starts, "right") - 1
-        order = np.lexsort((terms, doc))
-        t, d = terms[order], doc[order]
-        first = np.ones(len(t), bool)
-        first[1:] = (t[1:] != t[:-1]) | (d[1:] != d[:-1])
-        counts.add(t[first])
+        body, off, _, _, terms, toff = _terms(texts)
+        counts.add(_distinct(terms, toff)[1])
         hit = np.concatenate([[0], np.cumsum((body == 64) | ((body >= 48) & (body <= 57)))])
         hit = hit[off[1:]] > hit[off[:-1]]
-        ths, bases, shas, occs = [], [], [], []
+        ths, bases, shas, ents = [], [], [], []
         for i in range(b.num_rows):
-            lo, hi = off[i], off[i + 1]
-            ths.append(xxhash.xxh64_intdigest(body[lo:hi].tobytes()) - (1 << 63))
+            ths.append(xxhash.xxh64_intdigest(body[off[i] : off[i + 1]].tobytes()) - (1 << 63))
             text = texts[i].as_py() if hit[i] else None
             spans = base_spans(text) if text else []
             bases.append([{"s": s, "k": k, "x": e} for s, k, e in spans])
             shas.append(hashlib.sha256(joined(spans).encode()).hexdigest() if spans else _NOTHING)
-            occ = []
-            if spans:
-                point = np.cumsum((body[lo:hi] & 0xC0) != 0x80)  # code points up to and with each byte
-                a, z = np.searchsorted(starts, (lo, hi))
-                ts, te = point[starts[a:z] - lo] - 1, point[ends[a:z] - lo - 1]
-                free = np.ones(z - a, bool)  # terms inside an entity are the entity
-                for s, _, e in spans:
-                    free[np.searchsorted(te, s, "right") : np.searchsorted(ts, e)] = False
-                at = np.flatnonzero(free)
-                ts, te, tt = ts[at], te[at], terms[a:z][at].view(np.int64)
-                for s, _, e in spans:
-                    who = xxhash.xxh64_intdigest(text[s:e].lower()) - (1 << 63)
-                    m = int(np.searchsorted(ts, s))
-                    occ += [{"e": who, "t": int(tt[j]), "s": int(ts[j]), "x": int(te[j])} for j in range(max(0, m - WINDOW), min(len(ts), m + WINDOW))]
-            occs.append(occ)
+            ents.append(sorted({_hash(text[s:e].lower()) for s, _, e in spans}))
         n = b.num_rows
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ths, pa.int64()), pa.array(bases, _SPAN), pa.array(shas), pa.array(occs, _OCC), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64())], names=_NAMES)
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ths, pa.int64()), pa.array(bases, _SPAN), pa.array(shas), pa.array(ents, pa.list_(pa.int64())), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64())], names=_NAMES)
     counts.merge()
     for i in range(0, len(counts.terms), 1 << 16):
         t, n = counts.terms[i : i + (1 << 16)].view(np.int64), counts.n[i : i + (1 << 16)]
-        none = [pa.nulls(len(t), k) for k in (pa.int64(), pa.int64(), _SPAN, pa.string(), _OCC)]
+        none = [pa.nulls(len(t), k) for k in (pa.int64(), pa.int64(), _SPAN, pa.string(), pa.list_(pa.int64()))]
         yield pa.RecordBatch.from_arrays([*none, pa.array(t), pa.array(n)], names=_NAMES)
 
 
-def find(docs: DataFrame, generalise_at: float = GENERALISE_AT, remove_at: float = REMOVE_AT) -> DataFrame:
+def _beside(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(th, term, ents): the distinct terms of each text, without those that are but parts of an entity, with the text's entities."""
+    for b in slices(batches, "text", 1 << 18):
+        texts = b.column(2)
+        body, off, starts, ends, terms, toff = _terms(texts)
+        free = np.ones(len(terms), bool)
+        for i, spans in enumerate(b.column(3).to_pylist()):
+            _free(body[off[i] : off[i + 1]], starts[toff[i] : toff[i + 1]] - off[i], ends[toff[i] : toff[i + 1]] - off[i], spans, free[toff[i] : toff[i + 1]])
+        kept = np.concatenate([[0], np.cumsum(free)])[toff]
+        d, t = _distinct(terms[free], kept)
+        for i in range(0, len(d), 1 << 14):
+            at = pa.array(d[i : i + (1 << 14)])
+            yield pa.RecordBatch.from_arrays([b.column(1).take(at), pa.array(t[i : i + (1 << 14)].view(np.int64)), b.column(4).take(at)], names=["th", "term", "ents"])
+
+
+def _free(body: np.ndarray, starts: np.ndarray, ends: np.ndarray, spans: list[dict], out: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Marks in `out` the terms inside entities; starts and ends of all terms in code points."""
+    point = np.cumsum((body & 0xC0) != 0x80)  # code points up to and with each byte
+    ts, te = (point[starts] - 1, point[ends - 1]) if len(starts) else (starts, ends)
+    for x in spans:
+        out[np.searchsorted(te, x["s"], "right") : np.searchsorted(ts, x["x"])] = False
+    return ts, te
+
+
+def _occurrences(shared):
+    """(doc_id, th, term, s, x) of the terms outside entities that may be flagged."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = shared.value
+        for b in slices(batches, "text"):
+            body, off, starts, ends, terms, toff = _terms(b.column(1))
+            bit = (terms & np.uint64((1 << TABLE_BITS) - 1)).astype(np.int64)
+            may = table[bit >> 3] >> (bit & 7).astype(np.uint8) & 1 == 1
+            out = []
+            for i in np.unique(np.searchsorted(toff, np.flatnonzero(may), "right") - 1).tolist():
+                lo, hi = toff[i], toff[i + 1]
+                text = b.column(1)[i].as_py()
+                free = np.ones(hi - lo, bool)
+                ts, te = _free(body[off[i] : off[i + 1]], starts[lo:hi] - off[i], ends[lo:hi] - off[i], [{"s": s, "x": x} for s, _, x in base_spans(text)], free)
+                at = np.flatnonzero(free & may[lo:hi])
+                doc, th = b.column(0)[i].as_py(), _hash(text)
+                out += [(doc, th, int(t), int(s), int(x)) for t, s, x in zip(terms[lo:hi][at].view(np.int64), ts[at], te[at])]
+            cols = list(zip(*out)) or [()] * 5
+            yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in cols[:3]), *(pa.array(c, pa.int32()) for c in cols[3:])], names=["doc_id", "th", "term", "s", "x"])
+
+    return run
+
+
+def disclosing(docs: DataFrame, found: DataFrame, generalise_at: float = GENERALISE_AT, remove_at: float = REMOVE_AT, support: int = SUPPORT) -> DataFrame:
+    """(term, k): hashes of the terms that disclose an entity, and whether they are generalised (4) or removed (5);
+    found: what _scan() found in docs."""
+    rows = found.filter("term is null")
+    total = float(max(rows.count(), 1))
+    ents = rows.filter(F.size("ents") > 0).select("doc_id", "th", F.explode("ents").alias("e"))
+    entities = ents.groupBy("e").agg(F.count("*").alias("df_e"), F.count_distinct("th").alias("texts")).filter(F.col("texts") >= support)
+    entities = stored(entities.select("e", "df_e"))
+    most = entities.agg(F.max("df_e")).first()[0]
+    if most is None:
+        return docs.sparkSession.createDataFrame([], "term long, k int")
+    # as df(term, entity) <= df(entity), only terms with df <= N ** (1 - g) * df(entity) ** g can reach the threshold g
+    bound = total ** (1 - generalise_at) * most**generalise_at * (1 + 1e-9)
+    df = found.filter("term is not null").groupBy("term").agg(F.sum("n").alias("df_t")).filter((F.col("df_t") <= bound) & (F.col("df_t") >= support))
+    named = stored(ents.join(entities.select("e"), "e", "left_semi").groupBy("doc_id", "th").agg(F.collect_set("e").alias("ents")))
+    spans = rows.select("doc_id", "th", "base").dropDuplicates(["doc_id", "th"])
+    named = named.join(spans, ["doc_id", "th"]).select(F.col("doc_id").alias("d2"), F.col("th").alias("h2"), "ents", "base")
+    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(_hashed, "doc_id long, text string, th long")
+    both = slim.join(named, F.col("doc_id").eqNullSafe(F.col("d2")) & (F.col("th") == F.col("h2"))).select("doc_id", "th", "text", "base", "ents")
+    pairs = both.mapInArrow(_beside, "th long, term long, ents array<long>").join(df, "term").select("th", "term", "df_t", F.explode("ents").alias("e"))
+    pairs = pairs.groupBy("e", "term", "df_t").agg(F.count("*").alias("n"), F.count_distinct("th").alias("texts")).filter(F.col("texts") >= support).join(entities, "e")
+    worth = F.log(F.lit(total) / F.col("df_e"))
+    told = F.log(F.lit(total) * F.col("n") / (F.col("df_t") * F.col("df_e")))
+    told = pairs.select("term", F.when(worth > 0, told / worth).otherwise(0.0).alias("disclosure")).groupBy("term").agg(F.max("disclosure").alias("disclosure"))
+    return told.filter(F.col("disclosure") >= generalise_at).select("term", F.when(F.col("disclosure") >= remove_at, 5).otherwise(4).alias("k"))
+
+
+def find(docs: DataFrame, generalise_at: float = GENERALISE_AT, remove_at: float = REMOVE_AT, support: int = SUPPORT) -> DataFrame:
     """(doc_id, th, base, base_sha256, spans: array of (s, k, x)), a row for each row of docs; th: a hash of the text.
 
-    base: matches of the patterns; spans: these and the disclosing terms within WINDOW terms of an entity, by
-    start, then kind. A pair of term and entity counts only if it stands in two different texts at least: copies
-    of one text are no evidence. Null text: as empty, no spans. Null doc_id: kept. Repeated rows: each has its
-    row, with equal results. Empty table: no rows. Other columns are ignored.
+    base: matches of the patterns; spans: these and the disclosing terms outside them, by start, then kind. A pair of
+    term and entity counts only if it stands in `support` different texts at least. Null text: as empty, no spans.
+    Null doc_id: kept. Repeated rows: each has its row and counts as a document, with equal results. Empty table: no
+    rows. Other columns are ignored.
     """
+    spark = docs.sparkSession
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     found = stored(slim.mapInArrow(_scan, _SCHEMA))
-    rows = found.filter("term is null").drop("term", "n")
-    df = found.filter("term is not null").groupBy("term").agg(F.sum("n").alias("df_t"))
-    total = rows.count()
-    with_any = rows.filter(F.size("occ") > 0)
-    pairs = with_any.select("th", F.explode(F.array_distinct(F.transform("occ", lambda o: F.struct(o.e.alias("e"), o.t.alias("t"))))).alias("p"))
-    pairs = pairs.groupBy("p.e", "p.t").agg(F.count("*").alias("n"), (F.min("th") != F.max("th")).alias("varied"))
-    entities = with_any.select(F.explode(F.array_distinct(F.transform("occ", lambda o: o.e))).alias("e")).groupBy("e").agg(F.count("*").alias("df_e"))
-    worth = F.log(F.lit(float(max(total, 1))) / F.col("df_e"))
-    told = F.log(F.lit(float(max(total, 1))) * F.col("n") / (F.col("df_t") * F.col("df_e")))
-    flagged = (
-        pairs.filter("varied").join(entities, "e").join(df.withColumnRenamed("term", "t"), "t")
-        .select("e", "t", F.when(worth > 0, told / worth).otherwise(0.0).alias("disclosure"))
-        .filter(F.col("disclosure") >= generalise_at)
-        .select("e", "t", F.when(F.col("disclosure") >= remove_at, 5).otherwise(4).alias("k"))
-    )
-    more = (
-        with_any.select("doc_id", "th", F.explode("occ").alias("o")).select("doc_id", "th", "o.*").join(flagged, ["e", "t"])
-        .groupBy("doc_id", "th", "s", "x").agg(F.max("k").alias("k"))
-        .groupBy("doc_id", "th").agg(F.collect_list(F.struct("s", "k", "x")).alias("more"))
-        .select(F.col("doc_id").alias("d2"), F.col("th").alias("h2"), "more")
-    )
+    rows = found.filter("term is null").select("doc_id", "th", "base", "base_sha256")
+    flagged = stored(disclosing(docs, found, generalise_at, remove_at, support))
+    if flagged.isEmpty():
+        return rows.withColumn("spans", F.col("base"))
+    bit = F.col("term").bitwiseAND(F.lit((1 << TABLE_BITS) - 1))
+    table = np.zeros(1 << (TABLE_BITS - 3), np.uint8)
+    for r in flagged.select(F.shiftright(bit, 3).alias("w"), F.call_function("shiftleft", F.lit(1), bit.bitwiseAND(F.lit(7)).cast("int")).alias("b")).groupBy("w").agg(F.bit_or("b").alias("b")).collect():  # at most a byte of the table each
+        table[r["w"]] = r["b"]
+    more = slim.mapInArrow(_occurrences(spark.sparkContext.broadcast(table)), "doc_id long, th long, term long, s int, x int").join(small(flagged), "term")
+    more = more.groupBy("doc_id", "th").agg(F.collect_set(F.struct("s", "k", "x")).alias("more")).select(F.col("doc_id").alias("d2"), F.col("th").alias("h2"), "more")
     out = rows.join(more, F.col("doc_id").eqNullSafe(F.col("d2")) & (F.col("th") == F.col("h2")), "left")
     spans = F.array_sort(F.concat("base", F.coalesce("more", F.array().cast("array<struct<s:int,k:int,x:int>>"))))
     return out.select("doc_id", "th", "base", "base_sha256", spans.alias("spans"))

@@ -1,8 +1,10 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import random
 import re
+from collections import Counter, defaultdict
 
 from rolloom.llm import pii
 from rolloom.llm.queries import QUERIES
@@ -54,17 +56,56 @@ def test_cases(docs):
     assert pii.digest(pii.find(docs([]))).count() == 0
 
 
-def test_terms_that_give_an_entity_away(docs):
-    near = [(i, f"Common words here zyxquartz knows ann@x.org well number {w}") for i, w in enumerate(["one", "two", "three"])]
-    other = [(100 + i, f"Common words here knows well number {i} filler") for i in range(400)]
-    rows = {r.doc_id: r for r in pii.digest(pii.find(docs(near + other))).collect()}
-    text = near[0][1]
-    at = text.index("zyxquartz")
-    assert f"removed:{at}:{at + 9}" in rows[0].spans.split(",")
-    assert not any("Common" == text[int(s.split(":")[1]) : int(s.split(":")[2])] for s in rows[0].spans.split(","))
-    assert all(rows[100 + i].spans == "" for i in range(400))
-    clean = {r.doc_id: r.text for r in pii.sanitise(docs(near + other)).collect()}
-    assert "zyxquartz" not in clean[0] and "ann@x.org" not in clean[0] and "<EMAIL>" in clean[0] and clean[100] == other[0][1]
+def disclosed(rows, generalise_at=pii.GENERALISE_AT, remove_at=pii.REMOVE_AT, support=pii.SUPPORT):
+    """All spans of each row, by counting every pair of term and entity in every document."""
+    docs, df, df_e, both = [], Counter(), Counter(), defaultdict(list)
+    for _, t in rows:
+        t = t or ""
+        spans = brute(t)
+        words = [(m.start(), m.end(), "".join(c.lower() if c.isascii() else c for c in m[0])) for m in re.finditer(r"[A-Za-z0-9\x80-\U0010ffff]+", t)]
+        free = [w for w in words if not any(w[0] < e and s < w[1] for s, _, e in spans)]
+        names = {t[s:e].lower() for s, _, e in spans}
+        docs.append((t, spans, free))
+        df.update({w for _, _, w in words})
+        df_e.update(names)
+        for e in names:
+            both[e, None].append(t)
+            for w in {w for _, _, w in free}:
+                both[e, w].append(t)
+    kind = {}
+    for (e, w), texts in both.items():
+        worth = math.log(len(rows) / df_e[e])
+        if w is None or len(set(texts)) < support or worth <= 0:
+            continue
+        told = math.log(len(rows) * len(texts) / (df[w] * df_e[e])) / worth
+        if told >= generalise_at:
+            kind[w] = max(kind.get(w, 0), 5 if told >= remove_at else 4)
+    return [pii.joined(sorted(spans + [(s, kind[w], e) for s, e, w in free if w in kind])) for _, spans, free in docs]
+
+
+def test_added_spans_equal_brute_force(docs):
+    rng = random.Random(9)
+    people = [(f"p{k}@mail.org", f"+49 30 1234 56{k:02d}", [f"Nym{k}", f"{k}77", "Straße" + "é" * k]) for k in range(12)]
+    common = [f"word{k}" for k in range(200)]
+    rows = []
+    for i in range(500):
+        words = [rng.choice(common) for _ in range(rng.randint(5, 40))]
+        for mail, phone, tells in rng.sample(people, rng.choice([0, 0, 1, 2])):
+            if rng.random() < 0.6:
+                words.insert(rng.randrange(len(words)), rng.choice([mail, phone]))
+            for t in tells:
+                if rng.random() < 0.7:
+                    words.insert(rng.randrange(len(words)), t)
+        rows.append((i, " ".join(words)))
+    rows += [(i, rows[i][1]) for i in range(5)] + [(900, None), (901, ""), (None, rows[7][1])]
+    df = docs(rows)
+    want = disclosed(rows)
+    assert sum("removed" in w or "general" in w for w in want) > 20
+    for how in ({}, {"generalise_at": 0.5, "remove_at": 0.6, "support": 3}):
+        got = pii.digest(pii.find(df, **how)).collect()
+        assert sorted((str(r.doc_id), r.spans) for r in got) == sorted((str(i), w) for (i, _), w in zip(rows, disclosed(rows, **how)))
+    clean = {r.doc_id: r.text for r in pii.sanitise(df).collect()}
+    assert all("@mail.org" not in (t or "") for t in clean.values())
 
 
 def test_query_equals_brute_force(spark):
