@@ -3,7 +3,7 @@
 A sketch has REGISTERS registers. Each holds its ranks as a bit set of 16, four registers to a 64-bit column, so
 that sketches merge by bitwise or inside the hash aggregation of Spark, within partitions first; the largest rank
 is HyperLogLog's register. No site is counted twice, and n occupied registers need n sites at least, so that
-many lines are decided by the sketch; the others near the threshold get an exact distinct count.
+many lines are decided by the sketch; all others that stand there often enough get an exact distinct count.
 """
 
 from __future__ import annotations
@@ -18,8 +18,8 @@ from rolloom.llm.common import keyed, small, stored, unpacked
 #: A line on so many sites is boilerplate.
 MIN_SITES = 8
 REGISTERS, RANKS = 32, 16
-#: Estimates from this share of the threshold on are counted exactly unless the sketch alone decides.
-SLACK = 0.33
+#: Copies of a table of boilerplate lines that is too large to broadcast, so that no line's occurrences meet in one task.
+SALT = 16
 
 
 def _sketch(site: Column) -> list[Column]:
@@ -61,34 +61,48 @@ def _lines(docs: DataFrame, positions: bool) -> DataFrame:
 
 def boilerplate(docs: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
     """(h1, h2, first, sites): hashes of the lines on at least min_sites sites, the smallest doc_id that has it, and
-    the exact number of sites where it was counted (else null, as the sketch decided)."""
+    the number of sites: exact where it was counted, else the sketch's estimate. Which lines these are is exact."""
     lines = _lines(docs, False)
     parts = [f"s{i}" for i in range(REGISTERS * RANKS // 64)]
     marked = lines.select("doc_id", "h1", "h2", *(c.alias(p) for p, c in zip(parts, _sketch(F.col("site")))))
     merged = marked.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.min("doc_id").alias("first"), *(F.bit_or(p).alias(p) for p in parts)).filter(F.col("n") >= min_sites)
     merged = merged.withColumn("r", _registers([F.col(p) for p in parts])).select("h1", "h2", "first", F.size(F.filter("r", lambda r: r > 0)).alias("taken"), estimate(F.col("r")).alias("guess"))
-    merged = stored(merged.filter(F.col("guess") >= SLACK * min_sites).withColumn("sure", (F.col("taken") >= min_sites) | (F.col("guess") >= 2.0 * min_sites)))
+    merged = stored(merged.withColumn("sure", F.col("taken") >= min_sites))
     near = merged.filter("not sure").select("h1", "h2", "first")
     if near.isEmpty():
         exact = near.withColumn("sites", F.lit(None).cast("long"))
     else:
-        near = small(stored(near))
-        exact = lines.join(near, ["h1", "h2"]).groupBy("h1", "h2", "first", "site").count().groupBy("h1", "h2", "first").agg(F.count("*").alias("sites"))
-    sure = merged.filter("sure").select("h1", "h2", "first", F.lit(None).cast("long").alias("sites"))
+        exact = _beside(lines, stored(near)).groupBy("h1", "h2", "first", "site").count().groupBy("h1", "h2", "first").agg(F.count("*").alias("sites"))
+    sure = merged.filter("sure").select("h1", "h2", "first", F.round("guess").cast("long").alias("sites"))
     return sure.unionByName(exact.filter(F.col("sites") >= min_sites))
 
 
+def _beside(lines: DataFrame, chosen: DataFrame) -> DataFrame:
+    """lines with the columns of a stored table of (h1, h2): broadcast if it is small, else copied for each salt, as the
+    lines in it are the frequent ones."""
+    side = small(chosen)
+    if side is not chosen:
+        return lines.join(side, ["h1", "h2"])
+    salts = F.explode(F.sequence(F.lit(0), F.lit(SALT - 1)))
+    return lines.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALT)).cast("int")).join(chosen.withColumn("salt", salts), ["h1", "h2", "salt"]).drop("salt")
+
+
 def _marked(docs: DataFrame, min_sites: int) -> DataFrame:
-    """keyed(docs) with _gone: positions of the lines to remove, null if there are none."""
-    found = small(stored(boilerplate(docs, min_sites).select("h1", "h2", "first")))
-    hits = _lines(docs, True).join(found, ["h1", "h2"]).filter(F.col("first").isNotNull() & ~F.col("doc_id").eqNullSafe(F.col("first")))
+    """(row, doc_id, _gone): the rows of docs as structs, with the positions of the lines to remove, null if there are none."""
+    found = stored(boilerplate(docs, min_sites).select("h1", "h2", "first"))
+    hits = _beside(_lines(docs, True), found).filter(F.col("first").isNotNull() & ~F.col("doc_id").eqNullSafe(F.col("first")))
     hits = hits.groupBy("doc_id", "th").agg(F.collect_set("at").alias("_gone")).select(F.col("doc_id").alias("_id"), F.col("th").alias("_th"), "_gone")
     hits = small(stored(hits))
-    return keyed(docs).join(hits, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("th") == F.col("_th")), "left").drop("_id", "_th")
+    rows = keyed(docs).select("row", "doc_id", "th")
+    return rows.join(hits, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("th") == F.col("_th")), "left").select("row", "doc_id", "_gone")
+
+
+def _text() -> Column:
+    return F.coalesce(F.col("row.text").cast("string"), F.lit(""))
 
 
 def _kept() -> Column:
-    return F.when(F.col("_gone").isNull(), F.col("text")).otherwise(F.array_join(F.filter(F.split("text", "\n"), lambda line, i: ~F.array_contains("_gone", i)), "\n"))
+    return F.when(F.col("_gone").isNull(), _text()).otherwise(F.array_join(F.filter(F.split(_text(), "\n"), lambda line, i: ~F.array_contains("_gone", i)), "\n"))
 
 
 def remove_boilerplate(docs: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
@@ -108,4 +122,4 @@ def remove_boilerplate(docs: DataFrame, min_sites: int = MIN_SITES) -> DataFrame
 def digest(docs: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
     """(doc_id, n_lines, n_removed, kept_sha256), a row for each row of docs; null text: as empty."""
     out = _marked(docs, min_sites)
-    return out.select("doc_id", F.size(F.split("text", "\n")).cast("long").alias("n_lines"), F.coalesce(F.size("_gone"), F.lit(0)).cast("long").alias("n_removed"), F.sha2(_kept(), 256).alias("kept_sha256"))
+    return out.select("doc_id", F.size(F.split(_text(), "\n")).cast("long").alias("n_lines"), F.coalesce(F.size("_gone"), F.lit(0)).cast("long").alias("n_removed"), F.sha2(_kept(), 256).alias("kept_sha256"))
