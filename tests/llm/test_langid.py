@@ -44,7 +44,17 @@ def test_cases(docs):
     assert len(out) == len(rows) - 3 and all(r.host == f"host{r.doc_id}" for r in out if r.doc_id is not None)
     assert langid.identify(docs([])).count() == 0 and langid.in_language(docs([])).count() == 0
     unlabelled = docs([(1, "some text", None, "a")])
-    assert [r.kept for r in langid.identify(unlabelled).collect()] == [False]
+    assert [r.kept for r in langid.identify(unlabelled).collect()] == [False] and langid.in_language(unlabelled).count() == 1
+
+
+def test_labels_are_normalised_and_none_is_dropped(docs):
+    rows = [(i, t, {"en": "EN", "de": "de-AT"}[lang] if i % 3 else lang, s) for i, t, lang, s in corpus()]
+    rows += [(1000 + i, f"zz{chr(97 + i % 26)}{chr(97 + i // 26)} " * 30, f"l{i}", "x") for i in range(90)]
+    model = langid.train(docs(rows))
+    assert len(model.languages) == 92 and {"en", "de"} <= set(model.languages)
+    assert all(t.size <= langid.MODEL_CELLS for t in model.tables)
+    got = {r.doc_id: r.language for r in langid.identify(docs(rows), model=model).collect()}
+    assert all(got[i] == lang for i, _, lang, _ in corpus())
 
 
 def test_posterior_equals_brute_force(docs):
@@ -56,15 +66,16 @@ def test_posterior_equals_brute_force(docs):
     df = docs(corpus())
     model = langid.train(df)
     rows = [(r.doc_id, r.text, r.lang, r.source) for r in df.collect()]
-    n, mean = model.scores(pa.array([r[1] for r in rows]))
+    th = {r.doc_id: r.th for r in langid.identify(df, model=model).collect()}
+    n, mean = model.scores(pa.array([r[1] for r in rows]), np.array([th[r[0]] for r in rows]))
     guess = mean.argmax(axis=1)
-    got = {r.doc_id: r.posterior for r in langid.identify(df, model=model).collect()}
+    got = {r.doc_id: r.posterior for r in langid.identify(df, model=model, reliable=0.9).collect()}
     for k, (i, _, lang, source) in enumerate(rows):
         others = [j for j in range(len(rows)) if j != k]
         prior = np.array([(sum(guess[j] == c for j in others) + 1) / (len(others) + 2) for c in range(2)])
         for level in (others, [j for j in others if rows[j][3] == source]):
             prior = np.array([(sum(guess[j] == c for j in level) + langid.SMOOTHING * prior[c]) / (len(level) + langid.SMOOTHING) for c in range(2)])
-        log = np.float32(mean[k] * min(n[k], langid.EVIDENCE)) + np.log(prior) + np.log([0.9 if model.languages[c] == lang else 0.1 for c in range(2)])
+        log = np.float32(mean[k] * n[k] / langid.OVERLAP) + np.log(prior) + np.log([0.9 if model.languages[c] == lang else 0.1 for c in range(2)])
         p = np.exp(log - log.max())
         assert math.isclose(got[i], p.max() / p.sum(), rel_tol=1e-6)
 
@@ -76,3 +87,5 @@ def test_pages(spark):
     assert len(got) == len(html) and sum(f'lang="{r.language}"' in html[r.page_id] for r in got) >= 0.9 * len(got)
     odd = spark.createDataFrame([(1, None, None), (2, "no url", "<p>x"), (None, "https://a.fr/x", "<html lang=fr><script>a<b</script>le chat")], "page_id long, url string, html string")
     assert langid.of_pages(odd).count() == 3
+    twice = odd.union(odd).selectExpr("*", "'x' as th", "1 as host", "'y' as language")
+    assert langid.of_pages(twice).count() == 6 and langid.of_pages(odd.limit(0)).count() == 0
