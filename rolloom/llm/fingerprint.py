@@ -26,18 +26,60 @@ _LAST = (1 << 63) - 1
 
 
 @lru_cache(maxsize=2)
-def _tables(samples: int, seed: int) -> tuple[np.ndarray, ...]:
-    """Two tables of 4096 rows each for the two halves of r, c (exponentials, whose sum is Gamma(2, 1)) and b."""
-    rng = np.random.Generator(np.random.PCG64([seed, samples]))
-    return tuple(x.astype(np.float32) for _ in range(2) for x in (rng.exponential(size=(4096, samples)), rng.exponential(size=(4096, samples)), rng.random((4096, samples))))
+def _steps(samples: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    at = np.arange(1, samples + 1, dtype=np.uint64) + np.uint64(seed << 16)
+    return mix(at) | np.uint64(1), mix(at + np.uint64(1 << 40)) | np.uint64(1)
+
+
+def _log(bits: np.ndarray) -> np.ndarray:
+    """Minus the logarithm of the uniform number that 32 bits make: an exponential one."""
+    return -np.log((bits.astype(np.float32) + np.float32(0.5)) * np.float32(2**-32))
 
 
 def _draw(h: np.ndarray, samples: int, seed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    r0, c0, b0, r1, c1, b1 = _tables(samples, seed)
-    i, j = (h & np.uint64(4095)).astype(np.int64), (h >> np.uint64(20) & np.uint64(4095)).astype(np.int64)
-    b = b0[i] + b1[j]
-    np.subtract(b, 1, out=b, where=b >= 1)
-    return r0[i] + r1[j], np.log(c0[i] + c1[j]), b
+    """(r, ln c, b) for each term and sample, from the term's hash and the sample's number alone. r and c are sums of two
+    exponentials each, Gamma(2, 1); 128 bits make the four and the last 20 of them, scrambled, b."""
+    one, two = _steps(samples, seed)
+    x, y = mix(h[:, None] * one), mix((h[:, None] ^ np.uint64(0x5851F42D4C957F2D)) * two)
+    x, y = x.view(np.uint32).reshape(*x.shape, 2), y.view(np.uint32).reshape(*y.shape, 2)
+    b = ((x[..., 0] * np.uint32(2654435761) ^ y[..., 1] * np.uint32(2246822519)) * np.uint32(3266489917) >> np.uint32(8)).astype(np.float32) * np.float32(2**-24)
+    return _log(x[..., 0]) + _log(x[..., 1]), np.log(_log(y[..., 0]) + _log(y[..., 1])), b
+
+
+class _Draws:
+    """The values of terms at weight 1, where t is 0; those of the terms seen last are kept, a bounded number of them."""
+
+    MOST = 1 << 15
+
+    def __init__(self, samples: int, seed: int):
+        self.samples, self.seed = samples, seed
+        self.terms, self.values = np.zeros(0, np.uint64), np.zeros((0, samples), np.float32)
+
+    def __call__(self, terms: np.ndarray) -> np.ndarray:
+        """terms: sorted."""
+        out = np.empty((len(terms), self.samples), np.float32)
+        at = np.searchsorted(self.terms, terms)
+        have = np.zeros(len(terms), bool)
+        if len(self.terms):
+            have = self.terms[np.minimum(at, len(self.terms) - 1)] == terms
+            out[have] = self.values[at[have]]
+        new = np.flatnonzero(~have)
+        for i in range(0, len(new), 256):
+            r, c, b = _draw(terms[new[i : i + 256]], self.samples, self.seed)
+            out[new[i : i + 256]] = c - r * (1 - b)
+        if len(new):
+            left = max(0, self.MOST - len(terms))
+            old = np.setdiff1d(np.arange(len(self.terms)), at[have], assume_unique=True)[:left]
+            most = min(len(terms), self.MOST)
+            merged = np.concatenate([self.terms[old], terms[:most]])
+            order = np.argsort(merged)
+            self.terms, self.values = merged[order], np.concatenate([self.values[old], out[:most]])[order]
+        return out
+
+
+@lru_cache(maxsize=2)
+def _draws(samples: int, seed: int) -> _Draws:
+    return _Draws(samples, seed)
 
 
 def fingerprints(texts: pa.Array, samples: int = SAMPLES, seed: int = SEED) -> np.ndarray:
@@ -54,11 +96,7 @@ def fingerprints(texts: pa.Array, samples: int = SAMPLES, seed: int = SEED) -> n
     at = np.flatnonzero(np.append(True, code[1:] != code[:-1]))
     weight = np.diff(np.append(at, len(code)))
     doc, term = np.divmod(code[at], len(vocabulary))
-    vocabulary = mix(vocabulary)
-    once = np.empty((len(vocabulary), samples), np.float32)  # the values at weight 1, where t is 0
-    for i in range(0, len(vocabulary), 256):
-        r, c, b = _draw(vocabulary[i : i + 256], samples, seed)
-        np.subtract(c, r * (1 - b), out=once[i : i + 256])
+    once = _draws(samples, seed)(vocabulary)
     many = weight > 1
     heavy, place = np.unique(term[many], return_inverse=True)
     r, c, b = _draw(vocabulary[heavy], samples, seed)
