@@ -129,8 +129,7 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         texts = b.column(1)
         body, off, _, _, terms, toff = _terms(texts)
         counts.add(_distinct(terms, toff)[1])
-        hit = np.concatenate([[0], np.cumsum((body == 64) | ((body >= 48) & (body <= 57)))])
-        hit = hit[off[1:]] > hit[off[:-1]]
+        hit = _hits(body, off)
         ths, bases, shas, ents = [], [], [], []
         for i in range(b.num_rows):
             ths.append(xxhash.xxh64_intdigest(body[off[i] : off[i + 1]].tobytes()) - (1 << 63))
@@ -148,19 +147,53 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*none, pa.array(t), pa.array(n)], names=_NAMES)
 
 
-def _beside(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(th, term, ents): the distinct terms of each text, without those that are but parts of an entity, with the text's entities."""
-    for b in slices(batches, "text", 1 << 18):
-        texts = b.column(2)
-        body, off, starts, ends, terms, toff = _terms(texts)
-        free = np.ones(len(terms), bool)
-        for i, spans in enumerate(b.column(3).to_pylist()):
-            _free(body[off[i] : off[i + 1]], starts[toff[i] : toff[i + 1]] - off[i], ends[toff[i] : toff[i + 1]] - off[i], spans, free[toff[i] : toff[i + 1]])
-        kept = np.concatenate([[0], np.cumsum(free)])[toff]
-        d, t = _distinct(terms[free], kept)
-        for i in range(0, len(d), 1 << 14):
-            at = pa.array(d[i : i + (1 << 14)])
-            yield pa.RecordBatch.from_arrays([b.column(1).take(at), pa.array(t[i : i + (1 << 14)].view(np.int64)), b.column(4).take(at)], names=["th", "term", "ents"])
+def _table(df: DataFrame, column: str) -> np.ndarray:
+    """A bit for each value of a column, by its last bits; of one size whatever the number of values."""
+    bit = F.col(column).bitwiseAND(F.lit((1 << TABLE_BITS) - 1))
+    table = np.zeros(1 << (TABLE_BITS - 3), np.uint8)
+    for r in df.select(F.shiftright(bit, 3).alias("w"), F.call_function("shiftleft", F.lit(1), bit.bitwiseAND(F.lit(7)).cast("int")).alias("b")).groupBy("w").agg(F.bit_or("b").alias("b")).collect():  # at most a byte of the table each
+        table[r["w"]] = r["b"]
+    return table
+
+
+def _in(table: np.ndarray, values: np.ndarray) -> np.ndarray:
+    bit = (values & np.uint64((1 << TABLE_BITS) - 1)).astype(np.int64)
+    return table[bit >> 3] >> (bit & 7).astype(np.uint8) & 1 == 1
+
+
+def _hits(body: np.ndarray, off: np.ndarray) -> np.ndarray:
+    """Which texts have a digit or an @, as all entities do?"""
+    hit = np.concatenate([[0], np.cumsum((body == 64) | ((body >= 48) & (body <= 57)))])
+    return hit[off[1:]] > hit[off[:-1]]
+
+
+def _beside(shared):
+    """(th, term, ents): of each text with entities in the table its distinct terms outside of entities, and those entities."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = shared.value
+        for b in slices(batches, "text", 1 << 18):
+            texts = b.column(1)
+            at, spans, ents = [], [], []
+            for i in np.flatnonzero(_hits(*flat(texts))).tolist():
+                text = texts[i].as_py()
+                own = base_spans(text)
+                names = np.array(sorted({_hash(text[s:e].lower()) for s, _, e in own}), np.int64)
+                names = names[_in(table, names.view(np.uint64))] if len(names) else names
+                if len(names):
+                    at.append(i), spans.append([{"s": s, "x": x} for s, _, x in own]), ents.append(names.tolist())
+            some = texts.take(pa.array(at, pa.int64()))
+            body, off, starts, ends, terms, toff = _terms(some)
+            free = np.ones(len(terms), bool)
+            for i, own in enumerate(spans):
+                _free(body[off[i] : off[i + 1]], starts[toff[i] : toff[i + 1]] - off[i], ends[toff[i] : toff[i + 1]] - off[i], own, free[toff[i] : toff[i + 1]])
+            d, t = _distinct(terms[free], np.concatenate([[0], np.cumsum(free)])[toff])
+            ths = np.array([_hash(x) for x in some.to_pylist()], np.int64)
+            for i in range(0, len(d), 1 << 14):
+                doc = d[i : i + (1 << 14)]
+                yield pa.RecordBatch.from_arrays([pa.array(ths[doc]), pa.array(t[i : i + (1 << 14)].view(np.int64)), pa.array([ents[k] for k in doc.tolist()], pa.list_(pa.int64()))], names=["th", "term", "ents"])
+
+    return run
 
 
 def _free(body: np.ndarray, starts: np.ndarray, ends: np.ndarray, spans: list[dict], out: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -179,8 +212,7 @@ def _occurrences(shared):
         table = shared.value
         for b in slices(batches, "text"):
             body, off, starts, ends, terms, toff = _terms(b.column(1))
-            bit = (terms & np.uint64((1 << TABLE_BITS) - 1)).astype(np.int64)
-            may = table[bit >> 3] >> (bit & 7).astype(np.uint8) & 1 == 1
+            may = _in(table, terms)
             out = []
             for i in np.unique(np.searchsorted(toff, np.flatnonzero(may), "right") - 1).tolist():
                 lo, hi = toff[i], toff[i + 1]
@@ -210,12 +242,9 @@ def disclosing(docs: DataFrame, found: DataFrame, generalise_at: float = GENERAL
     # as df(term, entity) <= df(entity), only terms with df <= N ** (1 - g) * df(entity) ** g can reach the threshold g
     bound = total ** (1 - generalise_at) * most**generalise_at * (1 + 1e-9)
     df = found.filter("term is not null").groupBy("term").agg(F.sum("n").alias("df_t")).filter((F.col("df_t") <= bound) & (F.col("df_t") >= support))
-    named = stored(ents.join(entities.select("e"), "e", "left_semi").groupBy("doc_id", "th").agg(F.collect_set("e").alias("ents")))
-    spans = rows.select("doc_id", "th", "base").dropDuplicates(["doc_id", "th"])
-    named = named.join(spans, ["doc_id", "th"]).select(F.col("doc_id").alias("d2"), F.col("th").alias("h2"), "ents", "base")
-    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(_hashed, "doc_id long, text string, th long")
-    both = slim.join(named, F.col("doc_id").eqNullSafe(F.col("d2")) & (F.col("th") == F.col("h2"))).select("doc_id", "th", "text", "base", "ents")
-    pairs = both.mapInArrow(_beside, "th long, term long, ents array<long>").join(df, "term").select("th", "term", "df_t", F.explode("ents").alias("e"))
+    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    beside = slim.mapInArrow(_beside(docs.sparkSession.sparkContext.broadcast(_table(entities, "e"))), "th long, term long, ents array<long>")
+    pairs = beside.join(df, "term").select("th", "term", "df_t", F.explode("ents").alias("e"))
     pairs = pairs.groupBy("e", "term", "df_t").agg(F.count("*").alias("n"), F.count_distinct("th").alias("texts")).filter(F.col("texts") >= support).join(entities, "e")
     worth = F.log(F.lit(total) / F.col("df_e"))
     told = F.log(F.lit(total) * F.col("n") / (F.col("df_t") * F.col("df_e")))
@@ -238,11 +267,7 @@ def find(docs: DataFrame, generalise_at: float = GENERALISE_AT, remove_at: float
     flagged = stored(disclosing(docs, found, generalise_at, remove_at, support))
     if flagged.isEmpty():
         return rows.withColumn("spans", F.col("base"))
-    bit = F.col("term").bitwiseAND(F.lit((1 << TABLE_BITS) - 1))
-    table = np.zeros(1 << (TABLE_BITS - 3), np.uint8)
-    for r in flagged.select(F.shiftright(bit, 3).alias("w"), F.call_function("shiftleft", F.lit(1), bit.bitwiseAND(F.lit(7)).cast("int")).alias("b")).groupBy("w").agg(F.bit_or("b").alias("b")).collect():  # at most a byte of the table each
-        table[r["w"]] = r["b"]
-    more = slim.mapInArrow(_occurrences(spark.sparkContext.broadcast(table)), "doc_id long, th long, term long, s int, x int").join(small(flagged), "term")
+    more = slim.mapInArrow(_occurrences(spark.sparkContext.broadcast(_table(flagged, "term"))), "doc_id long, th long, term long, s int, x int").join(small(flagged), "term")
     more = more.groupBy("doc_id", "th").agg(F.collect_set(F.struct("s", "k", "x")).alias("more")).select(F.col("doc_id").alias("d2"), F.col("th").alias("h2"), "more")
     out = rows.join(more, F.col("doc_id").eqNullSafe(F.col("d2")) & (F.col("th") == F.col("h2")), "left")
     spans = F.array_sort(F.concat("base", F.coalesce("more", F.array().cast("array<struct<s:int,k:int,x:int>>"))))
