@@ -61,6 +61,22 @@ def first_of_role(hydrated: DataFrame, role: str, *keys: str) -> DataFrame:
     return hydrated.filter(F.col("role") == role).groupBy(*keys).agg(F.min_by("text", "request_id").alias("text"))
 
 
+def first_by_role(responses: DataFrame, value: str, *keys: str, role: str = "role", order: str = "seq") -> DataFrame:
+    """Per key and role the first response's number and value, and the last number, up to which the responses are consumed."""
+    return responses.groupBy(*keys, role).agg(F.min(order).alias("request_id"), F.max(order).alias("consumed_seq"), F.min_by(value, order).alias(value))
+
+
+def pending_counts(requests: DataFrame, runs: DataFrame) -> DataFrame:
+    """(run_id, pending, in_flight) of requests by the runs (item_id, run_id) of their items."""
+    n = lambda s: F.count_if(F.col("status") == s).alias(s)
+    return requests.join(runs, "item_id").groupBy("run_id").agg(n("pending"), n("in_flight"))
+
+
+def prior(value: Column | str, key: str, order: str) -> Column:
+    """The values of the same key that come before, in order."""
+    return F.collect_list(value).over(Window.partitionBy(key).orderBy(order).rowsBetween(Window.unboundedPreceding, -1))
+
+
 def claim(requests: DataFrame, n: int, order: str = "seq") -> DataFrame:
     """The first n pending requests."""
     return requests.filter("status = 'pending'").orderBy(order).limit(n)

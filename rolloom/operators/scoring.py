@@ -6,6 +6,8 @@ where they are used raw_response, per_criterion, correct.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -30,12 +32,13 @@ class Limits:
     forbid_weak_zero: bool = True
 
 
-def report(scores: DataFrame, *keys: str) -> DataFrame:
+def report(scores: DataFrame, *keys: str, extra: Sequence[Column] = ()) -> DataFrame:
     """Per key: n, mean, max, min, population deviation and zeros of each side, correct attempts and the gap.
 
     A side without attempts counts as one attempt of 0.0. The gap is the difference of the rounded means.
+    extra: other aggregates of the same rows.
     """
-    out = []
+    out = list(extra)
     for side in ("weak", "strong"):
         mine = F.col("solver") == side
         total = F.when(mine, F.col("total"))
@@ -131,9 +134,8 @@ def judge_decision(verdicts: DataFrame) -> DataFrame:
 def summary(scores: DataFrame, *keys: str) -> DataFrame:
     """For prompts: the attempts' totals by attempt, means, deviations and the gap, to three decimals."""
     mine = lambda side: F.transform(F.array_sort(F.collect_list(F.when(F.col("solver") == side, F.struct("attempt", "total")))), lambda x: rounded(x.total))
-    lists = scores.groupBy(*keys).agg(mine("weak").alias("weak_totals"), mine("strong").alias("strong_totals"))
-    stats = report(scores, *keys).select(*keys, *(rounded(c).alias(c) for c in ("weak_avg", "weak_std", "strong_avg", "strong_std", "gap")))
-    return lists.join(stats, list(keys))
+    both = report(scores, *keys, extra=[mine("weak").alias("weak_totals"), mine("strong").alias("strong_totals")])
+    return both.select(*keys, "weak_totals", "strong_totals", *(rounded(c).alias(c) for c in ("weak_avg", "weak_std", "strong_avg", "strong_std", "gap")))
 
 
 def weighted_average(per_criterion: Column, rubric: Column) -> Column:
@@ -150,6 +152,11 @@ def truncated(attempts: DataFrame) -> DataFrame:
     return attempts.filter(F.col("completion_tokens") >= F.col("max_tokens"))
 
 
+def untruncated(attempts: DataFrame) -> DataFrame:
+    """The other attempts."""
+    return attempts.filter(~F.coalesce(F.col("completion_tokens") >= F.col("max_tokens"), F.lit(False)))
+
+
 def buckets(rounds: DataFrame, weak_ceiling: float, strong_floor: float) -> DataFrame:
     """rounds (quality_passed and a report's columns) by why they failed. The first two may both hold; a round
     without strong attempts isn't one that strong failed."""

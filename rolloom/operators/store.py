@@ -15,6 +15,19 @@ from rolloom import schemas
 from rolloom.operators import logs
 
 
+#: Bits of a sequence number for the row within a partition and for the partition; the batch has the other 18.
+ROW_BITS, PARTITION_BITS = 30, 15
+
+
+def sequence(batch, ord_):
+    """A number for each row of a log, rising with batch, partition and row, unique up to 2 ** ROW_BITS rows in a partition; an
+    error beyond any of the bounds, as equal numbers would lose rows. ord_: partition and row as monotonically_increasing_id has them."""
+    row, part = ord_.bitwiseAND(F.lit((1 << 33) - 1)), F.shiftright(ord_, 33)
+    fits = (row < 1 << ROW_BITS) & (part < 1 << PARTITION_BITS) & (batch < 1 << (63 - ROW_BITS - PARTITION_BITS))
+    at = F.shiftleft(batch, ROW_BITS + PARTITION_BITS) + F.shiftleft(part, ROW_BITS) + row
+    return F.when(fits, at).otherwise(F.raise_error(F.lit("a log has too many rows, partitions or batches to number")).cast("long"))
+
+
 class RunStore:
     def __init__(self, spark: SparkSession, path: str, cap: int = 3):
         self.spark, self.path, self.cap = spark, path.rstrip("/"), cap
@@ -52,8 +65,7 @@ class RunStore:
         if not self.batches[table]:
             return self.spark.createDataFrame([], schema).withColumn("seq", F.lit(0).cast("long"))
         df = self.spark.read.schema(schema).option("basePath", f"{self.path}/{table}").parquet(*(f"{self.path}/{table}/batch={b}" for b in self.batches[table]))
-        place = F.shiftright("ord", 33) * (1 << 20) + F.col("ord").bitwiseAND(F.lit((1 << 20) - 1))
-        return df.withColumn("seq", F.shiftleft(F.col("batch"), 40) + place)
+        return df.withColumn("seq", sequence(F.col("batch"), F.col("ord")))
 
     # ------------------------------------------------------------ current state
 

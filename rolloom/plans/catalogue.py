@@ -147,9 +147,9 @@ def q_state_counts(spark, d):
     return logs.state_counts(table(spark, d, "orders").select(F.col("o_custkey").alias("run"), F.col("o_orderstatus").alias("state")), "run")
 
 
-@query(f"""WITH {ITEMS_SQL} SELECT item_id, state FROM i WHERE state NOT IN ('ACCEPTED', 'REJECTED') ORDER BY updated_at, item_id LIMIT 50""")
+@query(f"""WITH {ITEMS_SQL} SELECT item_id, state FROM i WHERE state NOT IN ('ACCEPTED', 'REJECTED')""")
 def q_stuck_items(spark, d):
-    return logs.open_(items(spark, d)).orderBy("updated_at", "item_id").limit(50).select("item_id", "state")
+    return logs.stuck(items(spark, d).withColumns({"source_id": F.lit(""), "current_round": F.lit(0)})).select("item_id", "state")
 
 
 @query(f"""WITH {ITEMS_SQL} SELECT item_id, consumed_seq FROM i WHERE state NOT IN ('ACCEPTED', 'REJECTED')
@@ -173,7 +173,7 @@ def q_hydrate(spark, d):
 
 @query(f"""WITH {RESPONSES_SQL} SELECT item_id, event_type AS role, min(seq) AS request_id, max(seq) AS consumed_seq, arg_min(k, seq) AS k FROM e GROUP BY ALL""")
 def q_first_of_role(spark, d):
-    return responses(spark, d).groupBy("item_id", F.col("event_type").alias("role")).agg(F.min("seq").alias("request_id"), F.max("seq").alias("consumed_seq"), F.min_by("k", "seq").alias("k"))
+    return logs.first_by_role(responses(spark, d).withColumnRenamed("event_type", "role"), "k", "item_id")
 
 
 @query(f"""WITH {REQUESTS_SQL} SELECT request_id, 'in_flight' AS status FROM q WHERE status = 'pending' ORDER BY seq LIMIT 25""")
@@ -185,7 +185,7 @@ def q_claim_fifo(spark, d):
  FROM q JOIN customer ON item_id = c_custkey GROUP BY c_nationkey""")
 def q_pending_counts(spark, d):
     runs = table(spark, d, "customer").select(F.col("c_custkey").alias("item_id"), F.col("c_nationkey").alias("run_id"))
-    return requests(spark, d).join(runs, "item_id").groupBy("run_id").agg(F.count_if(F.col("status") == "pending").alias("pending"), F.count_if(F.col("status") == "in_flight").alias("in_flight"))
+    return logs.pending_counts(requests(spark, d), runs)
 
 
 @query(f"""WITH {RESPONSES_SQL}, f AS (SELECT item_id AS request_id, count(*) AS failure_count, arg_max(CAST(k AS VARCHAR), seq) AS last_error FROM e WHERE event_type = 'error' GROUP BY 1),
@@ -219,11 +219,11 @@ def q_batch_reconcile(spark, d):
     return logs.reconcile(requests(spark, d).filter("batch_id is not null"), back)
 
 
-@query("""SELECT split_part(replace(p_brand, '#', '/'), '/', 1) AS provider, substr(replace(p_brand, '#', '/'), strpos(replace(p_brand, '#', '/'), '/') + 1) AS model, count(*) AS n, string_agg(p_partkey, ',' ORDER BY p_partkey) AS ids FROM part WHERE p_size < 5 GROUP BY 1, 2""")
+@query("""SELECT split_part(replace(p_brand, '#', '/'), '/', 1) AS provider, substr(replace(p_brand, '#', '/'), strpos(replace(p_brand, '#', '/'), '/') + 1) AS model, count(*) AS n, string_agg(p_partkey, ',' ORDER BY p_partkey) AS ids FROM part GROUP BY 1, 2""")
 def q_provider_groups(spark, d):
     key = F.replace("p_brand", F.lit("#"), F.lit("/"))
     ids = F.array_join(F.transform(F.array_sort(F.collect_list("p_partkey")), lambda i: i.cast("string")), ",")
-    return table(spark, d, "part").filter("p_size < 5").groupBy(C.provider(key).alias("provider"), C.model_name(key).alias("model")).agg(F.count("*").alias("n"), ids.alias("ids"))
+    return table(spark, d, "part").groupBy(C.provider(key).alias("provider"), C.model_name(key).alias("model")).agg(F.count("*").alias("n"), ids.alias("ids"))
 
 
 @query(f"""WITH {RESPONSES_SQL} SELECT item_id AS run_id, CAST(round(sum(value) * 100) AS BIGINT) AS cents FROM e GROUP BY 1""")
@@ -255,8 +255,7 @@ def q_feedback_lag(spark, d):
 
 @query("""SELECT conv_id, turn, coalesce(string_agg(role, '>') OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS before FROM conversations""")
 def q_prior_history(spark, d):
-    before = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, -1)
-    return table(spark, d, "conversations").select("conv_id", "turn", F.array_join(F.collect_list("role").over(before), ">").alias("before"))
+    return table(spark, d, "conversations").select("conv_id", "turn", F.array_join(logs.prior("role", "conv_id", "turn"), ">").alias("before"))
 
 
 @query("""SELECT 'orders.o_custkey' AS link, (SELECT count(*) FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer)) AS orphans
@@ -356,8 +355,7 @@ def q_truncated(spark, d):
 
 def _usable(spark, d):
     a = attempts(spark, d)
-    gone = scoring.truncated(a).select("rnd", "solver", "attempt")
-    return a.filter(F.trim("raw_response") != "").join(gone, ["rnd", "solver", "attempt"], "left_anti")
+    return scoring.untruncated(a).filter(F.trim("raw_response") != "")
 
 
 USABLE_SQL = ATTEMPTS_SQL + ", u AS (SELECT *, CASE solver WHEN 'weak' THEN 0 ELSE 1 END AS side FROM a WHERE NOT completion_tokens >= max_tokens)"
@@ -398,7 +396,7 @@ def q_sft_messages(spark, d):
     prompt = F.transform("m", lambda x: F.struct(x.role.alias("role"), x.content.alias("content")))
     rows = c.select(F.col("conv_id").alias("item_id"), F.col("conv_id").alias("accepted_seq"), prompt.alias("prompt"), "reference_output")
     rows = export.build(rows.withColumn("prompt", F.concat(F.array(F.struct(F.lit("id").alias("role"), F.col("item_id").cast("string").alias("content"))), "prompt")), "sft")
-    text = F.array_join(F.transform(F.slice("messages", 2, 1000), lambda m: F.concat(m.role, F.lit(":"), F.length(m.content).cast("string"))), "|")
+    text = F.array_join(F.transform(F.slice("messages", F.lit(2), F.size("messages")), lambda m: F.concat(m.role, F.lit(":"), F.length(m.content).cast("string"))), "|")
     return rows.select(F.col("item_id").alias("conv_id"), text.alias("messages"), (F.size("messages") - 1).cast("long").alias("n"))
 
 
@@ -447,12 +445,12 @@ def q_acceptance_rate(spark, d):
     return acceptance_rate(v, "harness").select("harness", F.round("rate", 9).alias("rate"))
 
 
-@query("""WITH h AS (SELECT c_custkey AS idx, c_acctbal / 1000.0 AS score FROM customer WHERE c_custkey < 40), w AS (SELECT idx, exp((score - max(score) OVER ()) / 2.0) AS w FROM h),
+@query("""WITH h AS (SELECT c_custkey AS idx, c_acctbal / 1000.0 AS score FROM customer), w AS (SELECT idx, exp((score - max(score) OVER ()) / 2.0) AS w FROM h),
 c AS (SELECT idx, w / sum(w) OVER () AS share, sum(w) OVER (ORDER BY idx) / sum(w) OVER () AS cum FROM w) SELECT idx, round(share, 9) AS share, idx = (SELECT min(idx) FROM c WHERE cum >= 0.37) AS picked FROM c""")
 def q_softmax_pick(spark, d):
     from rolloom.operators.evolve import softmax_pick
 
-    h = table(spark, d, "customer").filter("c_custkey < 40").select(F.col("c_custkey").alias("idx"), (F.col("c_acctbal") / 1000.0).alias("score"))
+    h = table(spark, d, "customer").select(F.col("c_custkey").alias("idx"), (F.col("c_acctbal") / 1000.0).alias("score"))
     return softmax_pick(h, 2.0, 0.37).select("idx", F.round("share", 9).alias("share"), "picked")
 
 
@@ -470,3 +468,83 @@ def q_split(spark, d):
     from rolloom.operators.evolve import split
 
     return split(table(spark, d, "labels").select("doc_id"), "doc_id", 6, 4, 1)
+
+
+# ---------------------------------------------------------------- texts and numbers of replies
+
+
+@query("""SELECT p_partkey, greatest(1, least(7, coalesce(CAST(trunc(try_cast(CASE WHEN p_partkey % 3 = 0 THEN p_brand ELSE CAST(p_retailprice - 900 AS VARCHAR) END AS DOUBLE)) AS INT), 1))) AS weight FROM part""")
+def q_rubric_weight(spark, d):
+    text = F.when(F.col("p_partkey") % 3 == 0, F.col("p_brand")).otherwise((F.col("p_retailprice") - 900).cast("string"))
+    return table(spark, d, "part").select("p_partkey", C.weight(text, 7).alias("weight"))
+
+
+@query("""SELECT event_id, greatest(0.0, least(1.0, CASE WHEN event_id % 7 <> 0 THEN value / 50.0 - 0.5 END)) AS score FROM events WHERE event_id % 7 <> 0 UNION ALL SELECT event_id, CAST(NULL AS DOUBLE) FROM events WHERE event_id % 7 = 0""")
+def q_clamp(spark, d):
+    x = F.when(F.col("event_id") % 7 != 0, F.col("value") / 50.0 - 0.5)
+    return table(spark, d, "events").select("event_id", C.clamp(x).alias("score"))
+
+
+@query("""SELECT p_brand, string_agg('- ' || substr(p_name, 1, 12), chr(10) ORDER BY p_partkey) AS lines FROM part GROUP BY p_brand""")
+def q_bullets(spark, d):
+    names = F.transform(F.array_sort(F.collect_list(F.struct("p_partkey", "p_name"))), lambda x: x.p_name)
+    return table(spark, d, "part").groupBy("p_brand").agg(names.alias("names")).select("p_brand", C.bullets("names", 12).alias("lines"))
+
+
+@query("""SELECT conv_id, string_agg(text, ' ' ORDER BY turn) AS text FROM conversations GROUP BY conv_id""")
+def q_joined_messages(spark, d):
+    m = F.array_sort(F.collect_list(F.struct("turn", F.col("text").alias("content"))))
+    return table(spark, d, "conversations").groupBy("conv_id").agg(m.alias("m")).select("conv_id", C.joined_messages("m").alias("text"))
+
+
+@query("""WITH r AS (SELECT conv_id, role || ':' || turn AS rule, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS i FROM conversations)
+SELECT conv_id, coalesce(string_agg(rule, '|' ORDER BY i) FILTER (i NOT IN (0, 2)) || '|', '') || 'be brief' AS rules FROM r GROUP BY conv_id""")
+def q_edited_rules(spark, d):
+    rules = F.transform(F.array_sort(F.collect_list(F.struct("turn", "role"))), lambda x: F.concat_ws(":", x.role, x.turn.cast("string")))
+    r = table(spark, d, "conversations").groupBy("conv_id").agg(rules.alias("rules"))
+    edited = C.edited_rules("rules", F.array(F.lit(0), F.lit(2), F.lit(99)), F.array(F.lit("  be brief "), F.lit("  ")))
+    return r.select("conv_id", F.array_join(edited, "|").alias("rules"))
+
+
+@query(f"""WITH {RESPONSES_SQL} SELECT seq, CASE WHEN k % 5 = 0 THEN 1 ELSE CAST(k AS INT) END AS round_n FROM e""")
+def q_peek_round(spark, d):
+    said = F.when(F.col("k") % 5 == 0, F.lit("nothing of a number 7")).otherwise(F.concat(F.lit("this is ROUND: "), F.col("k").cast("string"), F.lit(" of many")))
+    return responses(spark, d).select("seq", C.peek_round(said).alias("round_n"))
+
+
+@query("""SELECT event_id, props FROM events""")
+def q_unfenced(spark, d):
+    fenced = F.when(F.col("event_id") % 2 == 0, F.concat(F.lit("```json\n"), F.col("props"), F.lit("\n```\n"))).otherwise(F.col("props"))
+    return table(spark, d, "events").select("event_id", C.unfenced(fenced).alias("props"))
+
+
+@query(f"""WITH {RESPONSES_SQL} SELECT seq, k % 3 = 0 AS equal FROM e""")
+def q_equal_numbers(spark, d):
+    one = F.concat(F.col("k").cast("string"), F.lit("/4"))
+    two = (F.col("k") * 25 + F.when(F.col("k") % 3 == 0, 0).otherwise(1)).cast("decimal(12,0)")
+    two = F.concat(F.floor(two / 100).cast("string"), F.lit("."), F.lpad((two % 100).cast("int").cast("string"), 2, "0"))
+    return responses(spark, d).select("seq", C.equal_numbers(C.number(one), C.number(two)).alias("equal"))
+
+
+@query("""SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events""")
+def q_salvaged_json(spark, d):
+    from rolloom.functions import replies
+
+    def read(batches):
+        import pandas as pd
+
+        for b in batches:
+            yield pd.DataFrame({"event_id": b["event_id"], "k": [replies.salvage(f"Here it is:\n```json\n{p}\n```\nThat was all." if i % 2 else f"so {p} then")["k"] for i, p in zip(b["event_id"], b["props"])]})
+
+    return table(spark, d, "events").select("event_id", "props").mapInPandas(read, "event_id long, k long")
+
+
+@query("""SELECT user_id AS item_id, event_id AS seq, event_type FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) = 1""")
+def q_latest_event(spark, d):
+    e = table(spark, d, "events").select(F.col("user_id").alias("item_id"), F.col("event_id").alias("seq"), "event_type")
+    return logs.latest(e, ["item_id"], "seq").select("item_id", "seq", "event_type")
+
+
+@query("""SELECT o_orderkey, split_part(o_orderpriority, '-', 1) AS reason FROM orders""")
+def q_reason_key(spark, d):
+    return table(spark, d, "orders").select("o_orderkey", C.reason_key("o_orderpriority", "-").alias("reason"))

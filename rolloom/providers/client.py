@@ -11,7 +11,7 @@ from dataclasses import dataclass, field
 from typing import Any
 
 from rolloom.domains.base import load_object
-from rolloom.providers import mock
+from rolloom.providers import formats, mock
 
 
 @dataclass
@@ -66,6 +66,7 @@ class Client:
     max_retries: int = 3
     share: int = 1
     extra: dict[str, dict] = field(default_factory=dict)
+    payloads: dict | None = None  # the JSON schema of the domain's payload
     handlers: str | None = None  # module:function or file.py:function for all mock models
     sleep: Any = time.sleep
 
@@ -75,32 +76,42 @@ class Client:
     def complete(self, role: str, model: str, messages: list[dict], json_mode: bool = False, temperature: float | None = None, max_tokens: int | None = None):
         """{model, text, prompt_tokens, completion_tokens, cost_usd, duration_ms}."""
         begun = time.monotonic()
+        known = None
         if model.startswith("mock/"):
+            self._wait(model)
             h = load_object(self.handlers) if self.handlers else mock.handler(model.split("/", 1)[1])
             text = h(role, messages)
             used = (sum(len(m["content"].split()) for m in messages), len(text.split()))
             got = {"model": model, "text": text}
         else:
-            got, used = self._live(model, messages, json_mode, temperature, max_tokens)
+            got, used, known = self._live(role, model, messages, json_mode, temperature, max_tokens)
         price = limit_for(self.prices, model)
-        cost = None if price is None else (used[0] * price[0] + used[1] * price[1]) / 1e6
+        cost = known if price is None else (used[0] * price[0] + used[1] * price[1]) / 1e6
         return got | {"prompt_tokens": used[0], "completion_tokens": used[1], "cost_usd": cost, "duration_ms": int((time.monotonic() - begun) * 1000)}
 
-    def _live(self, model, messages, json_mode, temperature, max_tokens):
+    def _wait(self, model: str) -> None:
+        """Until the model's rate lets a call through."""
         rate = limit_for(self.limits, model)
-        if rate and model not in self.buckets:
-            self.buckets[model] = Bucket(rate / self.share)
-        own = {"temperature": temperature, "max_tokens": max_tokens, "response_format": {"type": "json_object"} if json_mode else None}
-        args = self.extra.get(model, {}) | {k: v for k, v in own.items() if v is not None}
+        if rate:
+            self.buckets.setdefault(model, Bucket(rate / self.share, sleep=self.sleep)).take()
+
+    def _live(self, role, model, messages, json_mode, temperature, max_tokens):
+        """(model and text, tokens used, what the library says it cost, or None)."""
+        args = self.extra.get(model, {}) | {k: v for k, v in (("temperature", temperature), ("max_tokens", max_tokens)) if v is not None}
         for left in range(self.max_retries, -1, -1):
-            if rate:
-                self.buckets[model].take()
+            self._wait(model)
             try:
                 import litellm
 
+                if json_mode:
+                    args["response_format"] = formats.response_format(litellm, role, model, self.payloads)
                 r = litellm.completion(model=model, messages=messages, timeout=self.timeout_s, **args)
                 u = r.usage
-                return {"model": r.model or model, "text": r.choices[0].message.content or ""}, (u.prompt_tokens, u.completion_tokens)
+                try:
+                    cost = float(litellm.completion_cost(completion_response=r, model=model))
+                except Exception:  # a model without a known price
+                    cost = None
+                return {"model": r.model or model, "text": r.choices[0].message.content or ""}, (u.prompt_tokens, u.completion_tokens), cost
             except Exception as e:
                 if not left or not retryable(e):
                     raise

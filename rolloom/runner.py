@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import signal
 import time
+import warnings
 from dataclasses import asdict, dataclass, field, replace
 from datetime import datetime, timezone
 from pathlib import Path
@@ -27,6 +28,9 @@ from rolloom.sources.config import RunConfig
 
 STEP_SCHEMA = schemas.LOGS["steps"]
 
+#: Share of the budget from which on a run says so, once.
+WARN_AT = 0.8
+
 
 @dataclass
 class Summary:
@@ -79,6 +83,7 @@ class Runner:
     handlers: str | None = None
     sleep: object = time.sleep
     stopping: bool = field(default=False, init=False)
+    warned: bool = field(default=False, init=False)
 
     def __post_init__(self):
         c = self.config
@@ -213,9 +218,14 @@ class Runner:
         try:
             while not self.stopping:
                 moved = self.advance()
-                if c.budget_usd is not None and self.store.cost() >= c.budget_usd:
-                    status = "aborted"
-                    break
+                if c.budget_usd is not None:
+                    spent = self.store.cost()
+                    if spent >= c.budget_usd:
+                        status = "aborted"
+                        break
+                    if spent >= WARN_AT * c.budget_usd and not self.warned:
+                        self.warned = True
+                        warnings.warn(f"{self.run_id} has spent {spent:.4f} of {c.budget_usd:.4f} USD", stacklevel=2)
                 n += 1
                 if self.batch_provider is not None:
                     moved += self.submit() + self.poll()

@@ -83,3 +83,72 @@ def test_providers():
     assert not p.is_complete(b) and p.is_complete(b) and json.loads(p.fetch(b)[0])["custom_id"] == "a"
     with pytest.raises(KeyError):
         p.fetch(b)
+
+
+class Library:
+    """Stands in for the library of live calls."""
+
+    def __init__(self, strict=True, cost=0.25):
+        self.strict, self.cost, self.asked = strict, cost, []
+
+    def supports_response_schema(self, model):
+        if self.strict is None:
+            raise KeyError(model)
+        return self.strict
+
+    def completion(self, **args):
+        self.asked.append(args)
+        from types import SimpleNamespace as N
+
+        return N(model=None, choices=[N(message=N(content="{}"))], usage=N(prompt_tokens=10, completion_tokens=5))
+
+    def completion_cost(self, completion_response, model):
+        if self.cost is None:
+            raise ValueError(model)
+        return self.cost
+
+
+def test_formats():
+    from rolloom.providers import formats
+
+    payload = formats.strict(question=formats.TEXT)
+    for role, schema, is_strict in (("quality", None, True), ("reflector", None, True), ("loop_judge", None, True), ("judge", None, False), ("nobody", None, False), ("challenger", None, False), ("challenger", payload, True)):
+        got = formats.response_format(Library(), role, "m", schema)
+        assert got["type"] == ("json_schema" if is_strict else "json_object"), role
+        if is_strict:
+            assert got["json_schema"]["strict"] and not formats.has_open_map(got["json_schema"]["schema"])
+        assert formats.response_format(Library(False), role, "m", schema) == formats.response_format(Library(None), role, "m", schema) == {"type": "json_object"}
+    assert formats.candidate(payload)["properties"]["payload"] == payload
+    assert formats.has_open_map({"properties": {"a": {"type": "array", "items": {"type": "object", "additionalProperties": {"type": "string"}}}}})
+    assert formats.has_open_map({"type": "object"}) and not formats.has_open_map(formats.SCHEMAS["quality"])
+
+
+def test_cost_and_format_of_live_calls(monkeypatch):
+    import sys
+
+    from rolloom.providers.client import Client
+
+    for cost, prices, want in ((0.25, {}, 0.25), (None, {}, None), (0.25, {"live/*": (1e6, 2e6)}, 20.0)):
+        monkeypatch.setitem(sys.modules, "litellm", lib := Library(cost=cost))
+        got = Client(prices=prices).complete("quality", "live/x", [{"role": "user", "content": "q"}], json_mode=True)
+        assert got["cost_usd"] == want and lib.asked[0]["response_format"]["type"] == "json_schema"
+        Client().complete("weak", "live/x", [{"role": "user", "content": "q"}])
+        assert "response_format" not in lib.asked[1]
+
+
+def test_mock_models_keep_their_rate():
+    from rolloom.providers.client import Client
+
+    waits = []
+    c = Client(limits={"mock/*": 60}, sleep=lambda s: waits.append(s) or __import__("time").sleep(0.02) if len(waits) < 3 else __import__("time").sleep(s))
+    for _ in range(16):
+        c.complete("quality", "mock/default", [{"role": "user", "content": "q"}])
+    assert waits
+
+
+def test_public_names():
+    import rolloom
+
+    assert {"Runner", "RunConfig", "Machine", "MockBatch"} <= set(dir(rolloom)) and all(getattr(rolloom, n) is not None for n in rolloom.__all__)
+    with pytest.raises(AttributeError):
+        rolloom.Nothing

@@ -96,6 +96,28 @@ def test_streaming_equals_batch(spark, tmp_path):
     assert {k: order(v) for k, v in got.items()} == {k: order(v) for k, v in want.items()}
 
 
+def test_stream_gives_up_on_calls_that_fail(spark, tmp_path):
+    c = config(tmp_path, "mock/failing")
+    d = domains.build("qa_from_documents", params=c.domain.params)
+    r = StreamRunner(spark, str(tmp_path / "s"), Machine(c, d), max_failures=2)
+    r.seed(spark.createDataFrame([("d1", "text", {})], "source_id string, body string, metadata map<string,string>"), "r", d.name)
+    assert r.run(rounds=10) == {"REJECTED": 1}
+    assert "unrecoverable" in r.out("settled").first().payload
+
+
+def test_sequence_numbers_are_unique(spark):
+    from pyspark.sql import functions as F
+
+    from rolloom.operators.store import sequence
+
+    rows = spark.range(0, 2_200_000, 1, 1).union(spark.range(0, 5, 1, 1))
+    got = rows.select(sequence(F.lit(3).cast("long"), F.monotonically_increasing_id()).alias("s"), "id")
+    assert got.select("s").distinct().count() == 2_200_005
+    assert got.agg(F.min("s")).first()[0] > 2 << 45 and got.filter(f"s >= {4 << 45}").isEmpty()
+    with pytest.raises(Exception, match="too many"):
+        spark.range(1).select(sequence(F.lit(1 << 18).cast("long"), F.monotonically_increasing_id())).collect()
+
+
 def test_rule_sets(spark):
     diff = {"challenger_rules_remove_indices": [0, 99, "x"], "challenger_rules_add": [" new ", "", 5], "judge_rules_add": "no list", "rubric_max_weight": 11, "require_self_test": "yes", "rationale": " why "}
     child = evolve.mutate(SEED, diff, 3)
