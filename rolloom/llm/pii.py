@@ -4,7 +4,8 @@ Patterns find the protected entities. How much a term says about an entity is es
 from the documents they stand in: pmi(term; entity) / ic(entity), where ic = ln(N / df(entity)) is what knowing the
 entity is worth and pmi = ln(N df(term, entity) / (df(term) df(entity))) is what the term tells of it. At 1 the
 term discloses the entity outright. Terms at or over `remove_at` are removed, over `generalise_at` generalised,
-wherever in the corpus they stand. Terms are words, and numbers too. A single text is no evidence: each of its rare
+wherever in a document that names the entity they stand; other documents have nothing that they give away, and stay
+as they are. Terms are words, and numbers too. A single text is no evidence: each of its rare
 words would tell all about an entity that is named nowhere else. So a pair counts from `support` different texts on.
 """
 
@@ -206,30 +207,37 @@ def _free(body: np.ndarray, starts: np.ndarray, ends: np.ndarray, spans: list[di
 
 
 def _occurrences(shared):
-    """(doc_id, th, term, s, x) of the terms outside entities that may be flagged."""
+    """(doc_id, th, term, s, x, ents) of the terms outside entities that may be flagged, in texts with entities."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = shared.value
-        for b in slices(batches, "text"):
+        flagged, entities = shared.value
+        for whole in slices(batches, "text"):
+            own = {}
+            for i in np.flatnonzero(_hits(*flat(whole.column(1)))).tolist():
+                text = whole.column(1)[i].as_py()
+                spans = base_spans(text)
+                names = np.array(sorted({_hash(text[s:e].lower()) for s, _, e in spans}), np.int64)
+                if len(names) and _in(entities, names.view(np.uint64)).any():
+                    own[i] = spans, names.tolist()
+            b = whole.take(pa.array(list(own), pa.int64()))
             body, off, starts, ends, terms, toff = _terms(b.column(1))
-            may = _in(table, terms)
+            may = _in(flagged, terms)
             out = []
-            for i in np.unique(np.searchsorted(toff, np.flatnonzero(may), "right") - 1).tolist():
+            for i, (spans, names) in enumerate(own.values()):
                 lo, hi = toff[i], toff[i + 1]
-                text = b.column(1)[i].as_py()
                 free = np.ones(hi - lo, bool)
-                ts, te = _free(body[off[i] : off[i + 1]], starts[lo:hi] - off[i], ends[lo:hi] - off[i], [{"s": s, "x": x} for s, _, x in base_spans(text)], free)
+                ts, te = _free(body[off[i] : off[i + 1]], starts[lo:hi] - off[i], ends[lo:hi] - off[i], [{"s": s, "x": x} for s, _, x in spans], free)
                 at = np.flatnonzero(free & may[lo:hi])
-                doc, th = b.column(0)[i].as_py(), _hash(text)
-                out += [(doc, th, int(t), int(s), int(x)) for t, s, x in zip(terms[lo:hi][at].view(np.int64), ts[at], te[at])]
-            cols = list(zip(*out)) or [()] * 5
-            yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in cols[:3]), *(pa.array(c, pa.int32()) for c in cols[3:])], names=["doc_id", "th", "term", "s", "x"])
+                doc, th = b.column(0)[i].as_py(), _hash(b.column(1)[i].as_py())
+                out += [(doc, th, int(t), int(s), int(x), names) for t, s, x in zip(terms[lo:hi][at].view(np.int64), ts[at], te[at])]
+            cols = list(zip(*out)) or [()] * 6
+            yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in cols[:3]), *(pa.array(c, pa.int32()) for c in cols[3:5]), pa.array(cols[5], pa.list_(pa.int64()))], names=["doc_id", "th", "term", "s", "x", "ents"])
 
     return run
 
 
 def disclosing(docs: DataFrame, found: DataFrame, generalise_at: float = GENERALISE_AT, remove_at: float = REMOVE_AT, support: int = SUPPORT) -> DataFrame:
-    """(term, k): hashes of the terms that disclose an entity, and whether they are generalised (4) or removed (5);
+    """(e, term, k): hashes of entities and of the terms that disclose them, and whether they are generalised (4) or removed (5);
     found: what _scan() found in docs."""
     rows = found.filter("term is null")
     total = float(max(rows.count(), 1))
@@ -238,7 +246,7 @@ def disclosing(docs: DataFrame, found: DataFrame, generalise_at: float = GENERAL
     entities = stored(entities.select("e", "df_e"))
     most = entities.agg(F.max("df_e")).first()[0]
     if most is None:
-        return docs.sparkSession.createDataFrame([], "term long, k int")
+        return docs.sparkSession.createDataFrame([], "e long, term long, k int")
     # as df(term, entity) <= df(entity), only terms with df <= N ** (1 - g) * df(entity) ** g can reach the threshold g
     bound = total ** (1 - generalise_at) * most**generalise_at * (1 + 1e-9)
     df = found.filter("term is not null").groupBy("term").agg(F.sum("n").alias("df_t")).filter((F.col("df_t") <= bound) & (F.col("df_t") >= support))
@@ -248,14 +256,15 @@ def disclosing(docs: DataFrame, found: DataFrame, generalise_at: float = GENERAL
     pairs = pairs.groupBy("e", "term", "df_t").agg(F.count("*").alias("n"), F.count_distinct("th").alias("texts")).filter(F.col("texts") >= support).join(entities, "e")
     worth = F.log(F.lit(total) / F.col("df_e"))
     told = F.log(F.lit(total) * F.col("n") / (F.col("df_t") * F.col("df_e")))
-    told = pairs.select("term", F.when(worth > 0, told / worth).otherwise(0.0).alias("disclosure")).groupBy("term").agg(F.max("disclosure").alias("disclosure"))
-    return told.filter(F.col("disclosure") >= generalise_at).select("term", F.when(F.col("disclosure") >= remove_at, 5).otherwise(4).alias("k"))
+    told = pairs.select("e", "term", F.when(worth > 0, told / worth).otherwise(0.0).alias("disclosure"))
+    return told.filter(F.col("disclosure") >= generalise_at).select("e", "term", F.when(F.col("disclosure") >= remove_at, 5).otherwise(4).alias("k"))
 
 
 def find(docs: DataFrame, generalise_at: float = GENERALISE_AT, remove_at: float = REMOVE_AT, support: int = SUPPORT) -> DataFrame:
     """(doc_id, th, base, base_sha256, spans: array of (s, k, x)), a row for each row of docs; th: a hash of the text.
 
-    base: matches of the patterns; spans: these and the disclosing terms outside them, by start, then kind. A pair of
+    base: matches of the patterns; spans: these and, outside them, the terms that disclose one of the document's own
+    entities, by start, then kind. A pair of
     term and entity counts only if it stands in `support` different texts at least. Null text: as empty, no spans.
     Null doc_id: kept. Repeated rows: each has its row and counts as a document, with equal results. Empty table: no
     rows. Other columns are ignored.
@@ -267,8 +276,9 @@ def find(docs: DataFrame, generalise_at: float = GENERALISE_AT, remove_at: float
     flagged = stored(disclosing(docs, found, generalise_at, remove_at, support))
     if flagged.isEmpty():
         return rows.withColumn("spans", F.col("base"))
-    more = slim.mapInArrow(_occurrences(spark.sparkContext.broadcast(_table(flagged, "term"))), "doc_id long, th long, term long, s int, x int").join(small(flagged), "term")
-    more = more.groupBy("doc_id", "th").agg(F.collect_set(F.struct("s", "k", "x")).alias("more")).select(F.col("doc_id").alias("d2"), F.col("th").alias("h2"), "more")
+    tables = spark.sparkContext.broadcast((_table(flagged, "term"), _table(flagged, "e")))
+    more = slim.mapInArrow(_occurrences(tables), "doc_id long, th long, term long, s int, x int, ents array<long>").join(small(flagged), "term").filter(F.array_contains("ents", F.col("e")))
+    more = more.groupBy("doc_id", "th", "s", "x").agg(F.max("k").alias("k")).groupBy("doc_id", "th").agg(F.collect_set(F.struct("s", "k", "x")).alias("more")).select(F.col("doc_id").alias("d2"), F.col("th").alias("h2"), "more")
     out = rows.join(more, F.col("doc_id").eqNullSafe(F.col("d2")) & (F.col("th") == F.col("h2")), "left")
     spans = F.array_sort(F.concat("base", F.coalesce("more", F.array().cast("array<struct<s:int,k:int,x:int>>"))))
     return out.select("doc_id", "th", "base", "base_sha256", spans.alias("spans"))

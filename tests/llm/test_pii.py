@@ -65,7 +65,7 @@ def disclosed(rows, generalise_at=pii.GENERALISE_AT, remove_at=pii.REMOVE_AT, su
         words = [(m.start(), m.end(), "".join(c.lower() if c.isascii() else c for c in m[0])) for m in re.finditer(r"[A-Za-z0-9\x80-\U0010ffff]+", t)]
         free = [w for w in words if not any(w[0] < e and s < w[1] for s, _, e in spans)]
         names = {t[s:e].lower() for s, _, e in spans}
-        docs.append((t, spans, free))
+        docs.append((t, spans, free, names))
         df.update({w for _, _, w in words})
         df_e.update(names)
         for e in names:
@@ -79,8 +79,9 @@ def disclosed(rows, generalise_at=pii.GENERALISE_AT, remove_at=pii.REMOVE_AT, su
             continue
         told = math.log(len(rows) * len(texts) / (df[w] * df_e[e])) / worth
         if told >= generalise_at:
-            kind[w] = max(kind.get(w, 0), 5 if told >= remove_at else 4)
-    return [pii.joined(sorted(spans + [(s, kind[w], e) for s, e, w in free if w in kind])) for _, spans, free in docs]
+            kind[e, w] = 5 if told >= remove_at else 4
+    most = lambda w, names: max((kind.get((e, w), 0) for e in names), default=0)
+    return [pii.joined(sorted(spans + [(s, most(w, names), e) for s, e, w in free if most(w, names)])) for _, spans, free, names in docs]
 
 
 def test_added_spans_equal_brute_force(docs):
@@ -106,6 +107,7 @@ def test_added_spans_equal_brute_force(docs):
         assert sorted((str(r.doc_id), r.spans) for r in got) == sorted((str(i), w) for (i, _), w in zip(rows, disclosed(rows, **how)))
     clean = {r.doc_id: r.text for r in pii.sanitise(df).collect()}
     assert all("@mail.org" not in (t or "") for t in clean.values())
+    assert all(t == dict(rows)[i] for i, t in clean.items() if i is not None and not brute(dict(rows)[i] or ""))  # nothing to protect
 
 
 def test_query_equals_brute_force(spark):
