@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -104,6 +105,12 @@ def dropped(*tables: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def collected(spark: SparkSession) -> None:
+    """Has the driver look for tables that nothing refers to any more, so that their shuffle files go at once."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()  # noqa: SLF001
+
+
 def bytes_stored(df: DataFrame) -> int:
     """Size on disk of what stored() returned."""
     spark = df.sparkSession

@@ -1,14 +1,12 @@
-"""Operator 6: near-duplicate documents, by a containment ensemble of MinHash indexes.
+"""Operator 6: near-duplicate documents, by an exact containment join of their shingle sets.
 
 A document is the set of its word shingles. Two documents are linked if at least `containment` of the smaller set
-is in the larger, whatever their sizes. Documents are partitioned by set size, STEPS partitions to an octave. For
-sizes q <= x that containment is worth a Jaccard similarity of at least containment / (1 + x / q - containment):
-the threshold of a pair of partitions, from which follows how many bands of the index it takes (`tuned`).
+is in the larger, whatever their sizes.
 
-Beyond a size ratio of 1 / RATIO the threshold is lower than bands of a signature can tell from chance. There the
-smaller set's least hash values are looked up in the partitions of larger sets, the rarest of them only: so many
-that a linked set has one of them at least (exactly, if the set has LOW shingles or fewer and all are taken; else
-the SAMPLE least are a random sample of it). How rare a value is, is counted by partition, so values that hold no larger set cost nothing.
+Who is linked with a larger set shares `containment` of its shingles with it, so most documents drop out once it is
+known which shingles stand in several: each shingle goes to its bucket once, packed, and comes back with the number
+of sets that have it if it is more than one. Of its shared shingles a set then asks for the rarest, so many that any
+set it is linked with has one of them. Who meets so is compared by its texts. Nothing is estimated or left out.
 
 Links of sets of similar size are near copies and make components; a document in a larger one is a part of it.
 Parts don't join components, as a common phrase would make all documents with it one.
@@ -25,27 +23,22 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rolloom.llm.common import components, dropped, flat, grams, hash_spans, keyed, mix, slices, small, stored, unpacked, word_bounds
+from rolloom.llm.common import BATCH_BYTES, collected, components, dropped, flat, grams, hash_spans, keyed, slices, small, stored, unpacked, word_bounds
 
 WORDS, CONTAINMENT = 3, 0.7
-#: Sets of which the smaller has at least this share of the larger's size are compared by bands, others by lookups.
+#: Sets of which the smaller has at least this share of the larger's size are near copies if they are linked, others parts.
 RATIO = 0.5
-#: Size partitions to an octave.
-STEPS = 4
-#: Hash values of a signature, of a band, and with what probability a pair at the threshold may be missed by the bands.
-HASHES, ROWS, MISS = 128, 2, 0.002
-#: Standard deviations that a pair's estimate may be below the threshold.
-SLACK = 3.5
-#: Sets of up to LOW shingles are looked up whole in larger ones, others by their SAMPLE least hash values, of which a
-#: linked set has FOUND at least (but for a probability of 5e-4). 2 ** FILTER_BITS bytes tell which values are looked up.
-LOW, SAMPLE, FOUND, FILTER_BITS = 64, 32, 13, 24
+#: Shingles are grouped in so many buckets at least, of about KEYS of them. Pairs that a bucket's task makes at a time.
+BUCKETS, KEYS, PAIRS = 64, 2 << 20, 1 << 20
 #: Bytes of the smaller sets that one task holds at once while larger ones pass by.
 SET_BYTES = 32 << 20
 #: Shingles that a part of a larger document has at least to be dropped for it.
 PART = 8
-SEED = 6
-#: Classes, and bytes of their texts, of a component that are counted as one block; larger components are cut.
-BLOCK, BLOCK_BYTES = 1024, 4 << 20
+#: About how many larger sets are compared in one place.
+BLOCK = 256
+#: Of an index by bands and samples, which the links aren't taken from: size partitions to an octave; hash values of a
+#: signature, of a band, and the probability of a miss; sizes up to which sets are looked up whole, samples and hits of others.
+STEPS, HASHES, ROWS, MISS, LOW, SAMPLE, FOUND = 4, 128, 2, 0.002, 64, 32, 13
 _NO_ID = -1 << 63
 
 _BREAK = np.ones(256, bool)
@@ -114,169 +107,70 @@ def _class(h: np.ndarray, text: str) -> int:
     return int.from_bytes(hashlib.blake2b(raw, digest_size=8).digest(), "little", signed=True)
 
 
-def _sign(hashes: int, words: int, seed: int):
-    rng = np.random.Generator(np.random.PCG64(seed))
-    factor = rng.integers(0, 1 << 63, hashes, np.uint64) * np.uint64(2) + np.uint64(1)
+def _sign(words: int):
+    """(doc_id, th, cls, size): the class of each text and its number of shingles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "text"):
             texts = b.column(2)
             h, off = shingles(texts, words)
             size = np.diff(off)
-            some = np.flatnonzero(size)
             cls = [_class(h[off[i] : off[i + 1]], "" if size[i] else texts[i].as_py()) for i in range(len(texts))]
-            sig = np.zeros((len(texts), hashes), "<u4")
-            if len(some):
-                h = mix(h)
-                for k in range(hashes):
-                    sig[some, k] = np.minimum.reduceat(h * factor[k] >> np.uint64(32), off[some]).astype("<u4")
-            low = [np.sort(h[off[i] : off[i + 1]])[: LOW if size[i] <= LOW else SAMPLE].view(np.int64) for i in range(len(texts))]
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0), b.column(1), pa.array(cls, pa.int64()), pa.array(size.astype(np.int32)), pa.array([x.tobytes() for x in sig], pa.binary()), pa.array(low, pa.list_(pa.int64()))],
-                names=["doc_id", "th", "cls", "size", "sig", "low"],
-            )
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(cls, pa.int64()), pa.array(size.astype(np.int32))], names=["doc_id", "th", "cls", "size"])
 
     return run
 
 
-def _bands(hashes: int, seed: int):
-    """(key, cls, size) for each band; the key's last six bits are the band's number."""
+def bucket_of(key: np.ndarray, buckets: int) -> np.ndarray:
+    """The bucket of each shingle: ranges of equal width."""
+    return ((key >> np.uint64(20)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bands = hashes // ROWS
-        start = (np.arange(bands, dtype=np.uint64) + np.uint64(seed << 8))[None, :]
-        for b in batches:
-            n = b.num_rows
-            sig = np.frombuffer(b"".join(b.column(2).to_pylist()), "<u4").reshape(n, hashes)
-            key = np.repeat(mix(start), n, axis=0)
-            for r in range(ROWS):
-                key = mix(key * np.uint64(0x9E3779B97F4A7C15) + sig[:, r : bands * ROWS : ROWS])
-            key = key & ~np.uint64(63) | np.arange(bands, dtype=np.uint64)
-            at = np.repeat(np.arange(n), bands)
-            yield pa.RecordBatch.from_arrays([pa.array(key.ravel().view(np.int64)), b.column(0).take(pa.array(at)), b.column(1).take(pa.array(at))], names=["key", "cls", "size"])
 
-    return run
+def _pack(cls: np.ndarray, size: np.ndarray, doc: np.ndarray, key: np.ndarray, df: np.ndarray | None = None) -> bytes:
+    """The shingles of some classes, 40 bits of each; doc: the place in cls, ascending. Two shingles of a bucket that differ
+    in other bits only count as one: that adds candidates and loses none."""
+    runs = np.flatnonzero(np.append(True, doc[1:] != doc[:-1])) if len(doc) else np.zeros(0, np.int64)
+    own = doc[runs]
+    body = [np.array([len(own), len(key)], "<i8"), cls[own].astype("<i8"), size[own].astype("<i4"), np.diff(np.append(runs, len(doc))).astype("<u4")]
+    body += [(key & np.uint64(0xFFFFFFFF)).astype("<u4"), (key >> np.uint64(32) & np.uint64(0xFF)).astype(np.uint8)]
+    if df is not None:
+        body.append(np.minimum(df, 65535).astype("<u2"))
+    return b"".join(x.tobytes() for x in body)
 
 
-def _sketches(hashes: int):
-    """(cls, size, sketch): a byte of each hash value."""
+def _unpack(bodies: list[bytes], counted: bool = False) -> tuple[np.ndarray, ...]:
+    """(cls, size, doc, key, df) of several; a class may stand there several times. Without df, if not `counted`, it is empty."""
+    parts, base = [], 0
+    for x in bodies:
+        n, m = np.frombuffer(x, "<i8", 2).tolist()
+        at = 16
+        got = []
+        for kind, many, width in (("<i8", n, 8), ("<i4", n, 4), ("<u4", n, 4), ("<u4", m, 4), (np.uint8, m, 1), *([("<u2", m, 2)] if counted else [])):
+            got.append(np.frombuffer(x, kind, many, at))
+            at += many * width
+        cls, size, many, low, high, *df = got
+        doc = np.repeat(np.arange(base, base + n, dtype=np.int32), many)
+        parts.append((cls, size, doc, low.astype(np.uint64) | high.astype(np.uint64) << np.uint64(32), *(df or [np.zeros(0, np.uint16)])))
+        base += n
+    return tuple(np.concatenate(x) for x in zip(*parts))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            sig = np.frombuffer(b"".join(b.column(2).to_pylist()), "<u4").reshape(b.num_rows, hashes).astype(np.uint8)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([x.tobytes() for x in sig], pa.binary())], names=["cls", "size", "sketch"])
 
-    return run
+def _by(which: np.ndarray, many: int) -> Iterator[tuple[int, slice]]:
+    """(number, where it stands) in an ascending array of numbers below `many`."""
+    ends = np.searchsorted(which, np.arange(many + 1))
+    for k in np.flatnonzero(ends[1:] > ends[:-1]).tolist():
+        yield k, slice(int(ends[k]), int(ends[k + 1]))
 
 
-def _likely(containment: float, hashes: int, slack: float):
-    """Pairs (u, v) whose sketches agree as often as linked sets of their sizes would, less `slack` standard deviations."""
+def _spread(words: int, buckets: int):
+    """(part, body): the shingles of the texts, by bucket. A task does not repeat what it has said of a set, so that
+    copies don't add up."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            n = b.num_rows
-            x, y = (np.frombuffer(b"".join(b.column(i).to_pylist()), np.uint8).reshape(n, hashes) for i in (4, 5))
-            p, q = (b.column(i).to_numpy().astype(float) for i in (2, 3))
-            s = containment / (1 + np.maximum(p, q) / np.minimum(p, q) - containment)
-            seen = ((x == y).mean(axis=1) - 1 / 256) / (1 - 1 / 256)
-            mask = pa.array(seen >= s - slack * np.sqrt(s * (1 - s) / hashes))
-            yield pa.RecordBatch.from_arrays([b.column(0).filter(mask), b.column(1).filter(mask)], names=["u", "v"])
-
-    return run
-
-
-def contained(a: np.ndarray, b: np.ndarray, containment: float) -> bool:
-    """Are these sorted sets linked?"""
-    q = min(len(a), len(b))
-    return q > 0 and len(np.intersect1d(a, b, assume_unique=True)) >= containment * q - 1e-9
-
-
-def _sets(words: int):
-    """(cls, set): the shingles of each text, sorted."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, "text"):
-            h, off = shingles(b.column(1), words)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([h[i:j].tobytes() for i, j in zip(off[:-1], off[1:])], pa.binary())], names=["cls", "set"])
-
-    return run
-
-
-def _numbered(sets: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """(shingles of all sets with the set's number above their 52 bits, sizes)."""
-    body, off = flat(sets)
-    size = np.diff(off) // 8
-    return body.view(np.uint64) | np.repeat(np.arange(len(size), dtype=np.uint64), size) << np.uint64(52), size
-
-
-def _check(containment: float):
-    """The pairs (u, v) that are linked; input: (u, v, set_u, set_v)."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for big in slices(batches, "set_v"):
-            for at in range(0, big.num_rows, 4096):
-                b = big.slice(at, 4096)
-                (x, p), (y, q) = _numbered(b.column(2)), _numbered(b.column(3))
-                least = np.minimum(p, q)
-                both = np.zeros(b.num_rows, np.int64)
-                if len(x) and len(y):
-                    hit = y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x
-                    both = np.bincount((x[hit] >> np.uint64(52)).astype(np.int64), minlength=b.num_rows)
-                mask = pa.array((least > 0) & (both >= containment * least - 1e-9))
-                yield pa.RecordBatch.from_arrays([b.column(0).filter(mask), b.column(1).filter(mask)], names=["u", "v"])
-
-    return run
-
-
-_PAGE = 1 << 16
-
-
-def _pages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(page, body): the table's slots, 255 where there is none. Input: (slot, part), sorted."""
-    page, body = -1, None
-    for b in batches:
-        slot, part = b.column(0).to_numpy(), b.column(1).to_numpy()
-        for k in np.unique(slot // _PAGE).tolist():
-            if k != page:
-                if body is not None:
-                    yield pa.RecordBatch.from_arrays([pa.array([page]), pa.array([body.tobytes()], pa.binary())], names=["page", "body"])
-                page, body = k, np.full(_PAGE, 255, np.uint8)
-            own = slot // _PAGE == k
-            body[slot[own] % _PAGE] = np.minimum(part[own], 254)
-    if body is not None:
-        yield pa.RecordBatch.from_arrays([pa.array([page]), pa.array([body.tobytes()], pa.binary())], names=["page", "body"])
-
-
-def table_of(asked: DataFrame) -> np.ndarray:
-    """For each of 2 ** FILTER_BITS slots the least partition that asks for a key there, from (key, part); 255 if none does.
-
-    The table has that many bytes whatever the corpus; a slot may stand for several keys.
-    """
-    slot = F.col("key").bitwiseAND(F.lit((1 << FILTER_BITS) - 1))
-    least = asked.select(slot.alias("slot"), "part").groupBy("slot").agg(F.min("part").alias("part"))
-    pages = least.repartition(F.shiftright("slot", 16)).sortWithinPartitions("slot").mapInArrow(_pages, "page long, body binary")
-    table = np.full(1 << FILTER_BITS, 255, np.uint8)
-    for r in pages.collect():
-        table[r["page"] * _PAGE : (r["page"] + 1) * _PAGE] = np.frombuffer(r["body"], np.uint8)
-    return table
-
-
-def _asked(table: np.ndarray, key: np.ndarray, part: np.ndarray, gap: int) -> np.ndarray:
-    """Which keys of sets of these partitions may a set at least `gap` partitions below ask for?"""
-    return table[(key & np.uint64((1 << FILTER_BITS) - 1)).astype(np.int64)].astype(np.int32) + gap <= part
-
-
-def _wanted(shared, gap: int, words: int):
-    """(key, part, cls): the shingles of each text that smaller sets may look up. A task does not repeat what it
-    has said of a set, so that copies don't add up."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = shared.value
         seen: set[int] = set()
-        for b in slices(batches, "text"):
+        for b in slices(batches, "text", BATCH_BYTES):
             h, off = shingles(b.column(0), words)
             size = np.diff(off)
-            part = partition(size).astype(np.int32)
             cls = np.array([_class(h[off[i] : off[i + 1]], "") if size[i] else 0 for i in range(len(size))], np.int64)
             if len(seen) > 1 << 20:
                 seen.clear()
@@ -285,39 +179,157 @@ def _wanted(shared, gap: int, words: int):
                 if int(cls[i]) not in seen:
                     seen.add(int(cls[i]))
                     new[i] = True
-            key = mix(h)
             doc = np.repeat(np.arange(len(size)), size)
-            at = np.flatnonzero(new[doc] & _asked(table, key, part[doc], gap))
-            yield pa.RecordBatch.from_arrays([pa.array(key[at].view(np.int64)), pa.array(part[doc[at]]), pa.array(cls[doc[at]])], names=["key", "part", "cls"])
+            some = new[doc]
+            doc, key = doc[some], h[some]
+            where = bucket_of(key, buckets)
+            by = np.argsort(where, kind="stable")
+            doc, key, where = doc[by], key[by], where[by]
+            out = [(k, _pack(cls, size, doc[i], key[i])) for k, i in _by(where, buckets)]
+            yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in out], pa.int32()), pa.array([x for _, x in out], pa.binary())], names=["part", "body"])
 
     return run
 
 
-def _still(shared, gap: int):
-    """The rows (key, part, cls) that are asked for."""
+def _grouped(solve):
+    """Calls solve(part, [(kind, body)]) for the rows of each part, which come one after the other."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, rows = None, []
         for b in batches:
-            yield b.filter(pa.array(_asked(shared.value, b.column(0).to_numpy().view(np.uint64), b.column(1).to_numpy(), gap)))
+            for p, kind, body in zip(*(c.to_pylist() for c in b.columns)):
+                if p != part:
+                    if rows:
+                        yield from solve(part, rows)
+                    part, rows = p, []
+                rows.append((kind, body))
+        if rows:
+            yield from solve(part, rows)
 
     return run
 
 
+def _rows(rows: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
+    part, kind, body = zip(*rows) if rows else ((), (), ())
+    return pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.array(kind, pa.int32()), pa.array(body, pa.binary())], names=["part", "kind", "body"])
+
+
+#: Kinds of rows: who holds a shingle (by bucket); how many hold each of a class's (by class); what a class asks (by bucket).
+_HELD, _COUNTED, _ASKED = 0, 1, 2
+
+
+def _shared(buckets: int):
+    """Of a bucket the shingles that several classes have, for who asks for them and, with how many have them, for their classes."""
+
+    def solve(bucket: int, rows: list[tuple[int, bytes]]) -> Iterator[pa.RecordBatch]:
+        cls, size, doc, key, _ = _unpack([x for _, x in rows])
+        rows.clear()
+        _, first = np.unique(cls, return_index=True)
+        once = np.zeros(len(cls), bool)
+        once[first] = True
+        own = once[doc]
+        doc, key = doc[own], key[own]
+        by = np.argsort(key)
+        s = key[by]
+        start = np.flatnonzero(np.append(True, s[1:] != s[:-1]))
+        many = np.diff(np.append(start, len(s)))
+        df = np.zeros(len(key), np.int64)
+        df[by] = np.repeat(many, many)
+        del by, s
+        several = df > 1
+        doc, key, df = doc[several], key[several], df[several]
+        home = (cls.astype(np.uint64) % np.uint64(buckets)).astype(np.int64)
+        order = np.lexsort((doc, home[doc]))
+        doc, key, df = doc[order], key[order], df[order]
+        for k, i in _by(home[doc], buckets):
+            body = _pack(cls, size, doc[i], key[i], df[i])
+            yield _rows([(k, _COUNTED, np.array([bucket], "<i8").tobytes() + body)])
+            yield _rows([(bucket, _HELD, _pack(cls, size, doc[i], key[i]))])
+
+    return _grouped(solve)
+
+
+def _ask(buckets: int, containment: float):
+    """What each class asks: a set that is linked with a larger one shares `need` shingles with it, so that of all those
+    that it shares with any, one at least of the rarest (all but need - 1) is in the larger one."""
+
+    def solve(_: int, rows: list[tuple[int, bytes]]) -> Iterator[pa.RecordBatch]:
+        cls, size, doc, key, df = _unpack([x[8:] for _, x in rows], True)
+        where = np.repeat([int.from_bytes(x[:8], "little") for _, x in rows], [int.from_bytes(x[16:24], "little") for _, x in rows])
+        rows.clear()
+        cls, first, inverse = np.unique(cls, return_index=True, return_inverse=True)
+        size, doc = size[first], inverse[doc]
+        take = np.bincount(doc, minlength=len(cls)) - np.ceil(size * containment - 1e-9).astype(np.int64) + 1
+        some = take[doc] > 0
+        doc, key, df, where = doc[some], key[some], df[some], where[some]
+        # among about equally rare ones those of few buckets, so that a pair is found in few; which, differs by class
+        turned = (where.astype(np.uint64) + cls.astype(np.uint64)[doc] % np.uint64(buckets)) % np.uint64(buckets)
+        order = np.lexsort((key, turned, np.floor(np.log2(df)), doc))
+        doc, key, where = doc[order], key[order], where[order]
+        some = np.arange(len(doc)) - np.searchsorted(doc, doc) < take[doc]
+        doc, key, where = doc[some], key[some], where[some]
+        order = np.lexsort((doc, where))
+        doc, key, where = doc[order], key[order], where[order]
+        yield _rows([(k, _ASKED, _pack(cls, size, doc[i], key[i])) for k, i in _by(where, buckets)])
+
+    return _grouped(solve)
+
+
+def _meet(least: float):
+    """(u, v, p, q): classes u that ask for a shingle of v, and their sizes; p <= q, and p >= least * q."""
+
+    def solve(_: int, rows: list[tuple[int, bytes]]) -> Iterator[pa.RecordBatch]:
+        asked = [x for k, x in rows if k == _ASKED]
+        if not asked:
+            return
+        cls, size, doc, key, _ = _unpack([x for k, x in rows if k == _HELD])
+        rows.clear()
+        by = np.argsort(key)
+        key, doc = key[by], doc[by]
+        who, its, ask, want, _ = _unpack(asked)
+        at, end = np.searchsorted(key, want), np.searchsorted(key, want, "right")
+        done = np.cumsum(end - at)
+        i = 0
+        while i < len(want):
+            # whole classes, of about PAIRS pairs
+            j = max(i + 1, int(np.searchsorted(done, (done[i - 1] if i else 0) + PAIRS, "right")))
+            j = int(np.searchsorted(ask, ask[j - 1], "right"))
+            many = end[i:j] - at[i:j]
+            u = np.repeat(ask[i:j], many)
+            v = doc[np.repeat(at[i:j] - (np.cumsum(many) - many), many) + np.arange(int(many.sum()))]
+            p, q = its[u], size[v]
+            ok = ((q > p) | (q == p) & (cls[v] > who[u])) & (p >= least * q)
+            code = np.unique(u[ok].astype(np.int64) << 32 | v[ok])
+            u, v = code >> 32, code & 0xFFFFFFFF
+            for k in range(0, len(u), 1 << 16):
+                a, b = u[k : k + (1 << 16)], v[k : k + (1 << 16)]
+                yield pa.RecordBatch.from_arrays([pa.array(who[a]), pa.array(cls[b]), pa.array(its[a]), pa.array(size[b])], names=["u", "v", "p", "q"])
+            i = j
+
+    return _grouped(solve)
+
+
+def contained(a: np.ndarray, b: np.ndarray, containment: float) -> bool:
+    """Are these sorted sets linked?"""
+    q = min(len(a), len(b))
+    return q > 0 and len(np.intersect1d(a, b, assume_unique=True)) >= containment * q - 1e-9
+
+
 def _inside(containment: float, ratio: float, words: int):
-    """(u, v): u is in v. Input by (part, block): first rows (u, set), then rows (v, us, text), us being candidates."""
+    """(u, v, near): u is in v, and is it of similar size? Input by (part, block): (cls, us, text), first the classes u, without us, then v, us being candidates."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         where, sets = None, {}
         for b in slices(batches, "text"):
-            us, vs = [], []
-            for part, block, u, body, v, asked, text in zip(*(c.to_pylist() for c in b.columns[:6]), b.column(6)):
+            us, vs, near = [], [], []
+            h, off = shingles(b.column(4), words)
+            for k, (part, block, cls, asked) in enumerate(zip(*(c.to_pylist() for c in b.columns[:4]))):
                 if (part, block) != where:
                     where, sets = (part, block), {}
-                if v is None:
-                    sets[u] = np.frombuffer(body, np.uint64)
+                have = h[off[k] : off[k + 1]]
+                if asked is None:
+                    sets[cls] = have.copy()
                     continue
-                have = shingles(pa.array([text.as_py()], pa.string()), words)[0]
-                asked = [u for u in asked if len(sets[u]) < ratio * len(have)]
                 for i in range(0, len(asked), 256):
                     own = [sets[u] for u in asked[i : i + 256]]
                     x = np.concatenate(own)
@@ -326,84 +338,23 @@ def _inside(containment: float, ratio: float, words: int):
                     n = np.add.reduceat(hit.astype(np.int64), np.cumsum(size) - size)
                     ok = np.flatnonzero(n >= containment * size - 1e-9)
                     us += [asked[i + k] for k in ok.tolist()]
-                    vs += [v] * len(ok)
-            yield pa.RecordBatch.from_arrays([pa.array(us, pa.int64()), pa.array(vs, pa.int64())], names=["u", "v"])
-
-    return run
-
-
-def _count(containment: float, ratio: float, words: int):
-    """(u, n): n documents of similar size that class u links with, over the pairs of two blocks of a component, each pair once.
-
-    Input: (component, lo, hi, chunk, cls, n, text), the rows of a pair of blocks one after the other.
-    """
-
-    def solve(t: pa.Table) -> Iterator[pa.RecordBatch]:
-        lo, hi = t.column(1)[0].as_py(), t.column(2)[0].as_py()
-        chunk, ids, n = (t.column(i).to_numpy() for i in (3, 4, 5))
-        found = [(shingles(b.column(6), words)) for b in t.to_batches()]
-        h = np.concatenate([x for x, _ in found])
-        size = np.concatenate([np.diff(off) for _, off in found])
-        doc = np.repeat(np.arange(len(ids)), size)
-        _, term, df = np.unique(h, return_inverse=True, return_counts=True)
-        some = df[term] > 1  # others are in no intersection
-        doc, term = doc[some], term[some]
-        by = np.argsort(term, kind="stable")
-        doc, term = doc[by], np.unique(term[by], return_inverse=True)[1]
-        a, b = np.flatnonzero(chunk == lo), np.flatnonzero(chunk == hi)
-        both = np.zeros((len(a), len(b)), np.int64)
-        terms = int(term[-1]) + 1 if len(term) else 0
-        width = max(1, min(terms, (1 << 22) // len(ids)))
-        for at in range(0, terms, width):
-            i, j = np.searchsorted(term, [at, at + width])
-            x = np.zeros((len(ids), width), np.float32)
-            x[doc[i:j], term[i:j] - at] = 1
-            both += (x[a] @ x[b].T).astype(np.int64)
-        p, q = np.minimum(size[a][:, None], size[b]), np.maximum(size[a][:, None], size[b])
-        linked = (p > 0) & (p >= ratio * q) & (both >= containment * p - 1e-9)
-        if lo == hi:
-            linked &= ~np.eye(len(a), dtype=bool)
-        links = np.zeros(len(ids), np.int64)
-        links[a] += (linked * n[b]).sum(axis=1)
-        if lo != hi:
-            links[b] += (linked * n[a][:, None]).sum(axis=0)
-        some = np.flatnonzero(links)
-        yield pa.RecordBatch.from_arrays([pa.array(ids[some]), pa.array(links[some])], names=["u", "n"])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest: list[pa.RecordBatch] = []
-        for b in batches:
-            if not b.num_rows:
-                continue
-            k, lo, hi = (b.column(i).to_numpy() for i in range(3))
-            cut = np.flatnonzero((k[1:] != k[:-1]) | (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1])) + 1
-            for i, j in zip([0, *cut.tolist()], [*cut.tolist(), b.num_rows]):
-                if rest and any(rest[0].column(c)[0].as_py() != x[i] for c, x in enumerate((k, lo, hi))):
-                    yield from solve(pa.Table.from_batches(rest))
-                    rest = []
-                rest.append(b.slice(i, j - i))
-        if rest:
-            yield from solve(pa.Table.from_batches(rest))
+                    vs += [cls] * len(ok)
+                    near += (size[ok] >= ratio * len(have)).tolist()
+            yield pa.RecordBatch.from_arrays([pa.array(us, pa.int64()), pa.array(vs, pa.int64()), pa.array(near, pa.bool_())], names=["u", "v", "near"])
 
     return run
 
 
-def _part(size: Column) -> Column:
-    return F.floor(F.log2(size.cast("double")) * STEPS + 1e-9).cast("int")
-
-
 class _Index:
     """The classes of a table, one for each set of shingles, and what links them."""
 
-    def __init__(self, docs: DataFrame, containment: float, ratio: float, words: int, hashes: int, miss: float):
-        self.containment, self.ratio, self.words, self.hashes, self.miss = containment, ratio, words, hashes, miss
+    def __init__(self, docs: DataFrame, containment: float, ratio: float, words: int):
+        self.containment, self.ratio, self.words = containment, ratio, words
         self.slim = keyed(docs).select("doc_id", "th", "text")
-        signed = stored(self.slim.mapInArrow(_sign(hashes, words, SEED), "doc_id long, th long, cls long, size int, sig binary, low array<long>"))
+        self.rows = stored(self.slim.mapInArrow(_sign(words), "doc_id long, th long, cls long, size int"))
         first = F.min(F.struct(F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("id"), "th"))
-        classes = signed.groupBy("cls").agg(first.alias("f"), F.count("*").alias("n"), F.first("size").alias("size"), F.first("sig").alias("sig"), F.first("low").alias("low"))
-        self.classes = stored(classes.select("cls", F.nullif("f.id", F.lit((1 << 63) - 1)).alias("id"), "f.th", "n", "size", "sig", "low"))
-        self.rows = stored(signed.select("doc_id", "th", "cls"))
-        dropped(signed)
+        classes = self.rows.groupBy("cls").agg(first.alias("f"), F.count("*").alias("n"), F.first("size").alias("size"))
+        self.classes = stored(classes.select("cls", F.nullif("f.id", F.lit((1 << 63) - 1)).alias("id"), "f.th", "n", "size"))
 
     def texts(self, who: DataFrame) -> DataFrame:
         """(cls, text) of the classes in who (cls)."""
@@ -412,102 +363,45 @@ class _Index:
         own = self.slim.select(named, "th", "text").join(which, ["did", "th"])
         return own.groupBy("cls").agg(F.first("text").alias("text"))
 
-    def checked(self, pairs: DataFrame) -> DataFrame:
-        """The links among pairs (u, v), by their texts."""
-        own = self.texts(small(stored(pairs.select(F.col("u").alias("cls")).union(pairs.select("v")).distinct())))
-        own = stored(own.mapInArrow(_sets(self.words), "cls long, set binary"))
-        both = pairs.join(own.select(F.col("cls").alias("v"), F.col("set").alias("set_v")), "v").join(own.select(F.col("cls").alias("u"), F.col("set").alias("set_u")), "u")
-        out = stored(both.select("u", "v", "set_u", "set_v").mapInArrow(_check(self.containment), "u long, v long"))
-        dropped(own)
-        return out
-
-    def likely(self, pairs: DataFrame) -> DataFrame:
-        """Those of pairs (u, v) that their sketches don't rule out."""
-        own = self.classes.select("cls", "size", "sig").mapInArrow(_sketches(self.hashes), "cls long, size int, sketch binary")
-        one, two = (own.select(F.col("cls").alias(k), F.col("size").alias(f"size_{k}"), F.col("sketch").alias(f"sketch_{k}")) for k in "uv")
-        both = pairs.join(two, "v").join(one, "u").select("u", "v", "size_u", "size_v", "sketch_u", "sketch_v")
-        return stored(both.mapInArrow(_likely(self.containment, self.hashes, SLACK), "u long, v long"))
-
-    def copies(self) -> DataFrame:
-        """Links (u, v) of sets of similar size, enough to make their components."""
-        ratio, containment = self.ratio, self.containment
-        near = lambda a, b: F.least(a, b) >= ratio * F.greatest(a, b)
-        bands = self.classes.filter("size > 0").select("cls", "size", "sig").mapInArrow(_bands(self.hashes, SEED), "key long, cls long, size int")
-        shared = bands.groupBy("key").agg(F.min("cls").alias("pivot"), F.max("cls").alias("last")).filter("pivot < last").select("key", "pivot")
-        members = stored(bands.hint("merge").join(shared, "key").select("key", "cls", "size", "pivot"))
-        sizes = self.classes.select(F.col("cls").alias("pivot"), F.col("size").alias("pivot_size"))
-        stars = members.filter("cls <> pivot").select("cls", "pivot", "size").distinct().join(sizes, "pivot").filter(near(F.col("size"), F.col("pivot_size")))
-        links = self.checked(self.likely(stars.select(F.col("pivot").alias("u"), F.col("cls").alias("v"))))
-        comp = components(links).withColumnRenamed("node", "cls")
-        placed = members.join(comp, "cls", "left").select("key", "cls", "size", F.coalesce("component", "cls").alias("component"), "pivot")
-        open_ = placed.groupBy("key").agg(F.min("component").alias("c"), F.max("component").alias("d")).filter("c < d").select("key")
-        placed = stored(placed.join(open_, "key", "left_semi").filter("cls <> pivot").withColumn("part", _part(F.col("size"))))
-        # two sets meet in a number of bands; too few for their sizes' threshold, and they aren't linked
-        steps, most = 16, math.ceil(math.log2(1 / ratio) * STEPS - 1e-9)
-        tune = [tuned(d, containment, ratio, self.hashes, self.miss) for d in range(most + 1)]
-        least = [[least_bands(jaccard(1 + (1 / ratio - 1) * (i + 1) / steps, containment), n, ROWS, self.miss / 2) for i in range(steps)] for n in tune]
-        a, b = F.col("a.size"), F.col("b.size")
-        step = F.least(F.lit(steps), F.greatest(F.lit(1), F.ceil((F.greatest(a, b) / F.least(a, b) - 1) / (1 / ratio - 1) * steps))).cast("int")
-        apart = F.abs(F.col("a.part") - F.col("b.part")) + 1
-        need = F.element_at(F.element_at(F.array(*(F.array(*map(F.lit, row)) for row in least)), apart), step)
-        meet = F.expr("a.key = b.key and a.cls < b.cls and a.component <> b.component") & near(a, b)
-        meet &= F.col("a.key").bitwiseAND(F.lit(63)) < F.element_at(F.array(*map(F.lit, tune)), apart)
-        rest = placed.alias("a").join(placed.alias("b"), meet).groupBy(F.col("a.cls").alias("u"), F.col("b.cls").alias("v"), need.alias("need")).count()
-        more = self.checked(self.likely(rest.filter("count >= need").select("u", "v")))
-        return links.union(more).distinct()
-
-    def parts(self) -> DataFrame:
-        """Links (u, v) of sets u with sets v that are more than 1 / ratio times as large."""
+    def candidates(self, least: float) -> DataFrame:
+        """(u, v, p, q): all pairs of classes that can be linked, and their sizes, p <= q and p >= least * q."""
         spark = self.slim.sparkSession
-        sets = self.classes.filter("size > 0").select("cls", "size", "low")
-        asked = stored(sets.select("cls", "size", _part(F.col("size")).alias("part"), F.explode("low").alias("key")))
-        gap = math.floor(math.log2(1 / self.ratio) * STEPS)
-        table = spark.sparkContext.broadcast(table_of(asked))
-        held = stored(self.slim.select("text").mapInArrow(_wanted(table, gap, self.words), "key long, part int, cls long"))
-        table.destroy()
-        rare = held.groupBy("key", "part").count().groupBy("key").agg(F.collect_list(F.struct("part", "count")).alias("at"))
-        above = F.filter("at", lambda x: x.part >= F.col("part") + gap)
-        cost = F.aggregate("above", F.lit(0).cast("long"), lambda s, x: s + x["count"])
-        found = asked.join(rare, "key").withColumn("above", above).filter(F.size("above") > 0)
-        found = found.groupBy("cls", "size", "part").agg(F.array_sort(F.collect_list(F.struct(cost.alias("cost"), "key", F.transform("above", lambda x: x.part).alias("parts")))).alias("keys"))
-        # values that no larger set has are the rarest
-        take = looked_up(F.col("size"), self.containment) - (F.when(F.col("size") <= LOW, F.col("size")).otherwise(SAMPLE) - F.size("keys"))
-        found = stored(found.filter(take > 0).select("cls", F.col("part").alias("own"), F.explode(F.slice("keys", F.lit(1), take.cast("int"))).alias("k")))
-        table = spark.sparkContext.broadcast(table_of(found.select("k.key", F.col("own").alias("part"))))
-        all_held, held = held, held.mapInArrow(_still(table, gap), "key long, part int, cls long")
-        found = found.select(F.col("cls").alias("u"), "k.key", F.explode("k.parts").alias("part"))
-        pairs = stored(found.join(held.withColumnRenamed("cls", "v"), ["key", "part"]).filter("u <> v").select("u", "v").distinct())
-        table.destroy()
-        dropped(asked, all_held)
-        # the sets of a block of u go to each part of v once, not with each pair
-        own = self.texts(small(stored(pairs.select(F.col("u").alias("cls")).distinct()))).mapInArrow(_sets(self.words), "cls long, set binary")
-        own = stored(own.withColumnRenamed("cls", "u"))
-        blocks = max(1, -(-(own.agg(F.sum(F.octet_length("set").cast("long"))).first()[0] or 0) // SET_BYTES))
-        part = F.pmod(F.xxhash64("v"), F.lit(int(spark.conf.get("spark.sql.shuffle.partitions")))).cast("int").alias("part")
-        block = F.pmod(F.xxhash64("u"), F.lit(blocks)).cast("int").alias("block")
-        pairs = pairs.select("u", "v", part, block)
-        sets = pairs.select("part", "block", "u").distinct().join(own, "u").select("part", "block", "u", "set")
-        texts = self.texts(small(stored(pairs.select(F.col("v").alias("cls")).distinct()))).withColumnRenamed("cls", "v")
-        asked = pairs.groupBy("part", "block", "v").agg(F.collect_list("u").alias("us")).join(texts, "v").select("part", "block", "v", "us", "text")
-        both = sets.unionByName(asked, allowMissingColumns=True).select("part", "block", "u", "set", "v", "us", "text")
-        both = both.repartition("part", "block").sortWithinPartitions("part", "block", F.col("v").asc_nulls_first())
-        return stored(both.mapInArrow(_inside(self.containment, self.ratio, self.words), "u long, v long"))
-
-    def counted(self, comp: DataFrame, block: int) -> DataFrame:
-        """(cls, links): links with documents of similar size, within each component of comp (cls, component)."""
-        grouped = stored(self.texts(small(stored(comp.select("cls")))).join(comp, "cls").join(self.classes.select("cls", "n"), "cls"))
-        shape = grouped.groupBy("component").agg(F.greatest(F.ceil(F.count("*") / block), F.ceil(F.sum(F.octet_length("text").cast("long")) / BLOCK_BYTES)).cast("int").alias("chunks"))
-        hot = small(stored(shape.filter("chunks > 1")))
-        grouped = grouped.join(hot, "component", "left")
-        chunks = F.coalesce("chunks", F.lit(1))
-        grouped = grouped.withColumn("chunk", F.pmod(F.xxhash64("cls"), chunks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), chunks - 1)))
-        grouped = grouped.select("component", F.least("chunk", "other").alias("lo"), F.greatest("chunk", "other").alias("hi"), "chunk", "cls", "n", "text")
-        pair = ["component", "lo", "hi"]
-        counts = grouped.repartition(*pair).sortWithinPartitions(*pair).mapInArrow(_count(self.containment, self.ratio, self.words), "u long, n long")
-        return counts.groupBy(F.col("u").alias("cls")).agg(F.sum("n").alias("links"))
-
-
-def link(docs: DataFrame, containment: float = CONTAINMENT, ratio: float = RATIO, words: int = WORDS, hashes: int = HASHES, miss: float = MISS, block: int = BLOCK) -> DataFrame:
+        buckets = max(BUCKETS, (self.classes.agg(F.sum("size")).first()[0] or 0) // KEYS)
+        kind = "part int, kind int, body binary"
+        tasks = min(buckets, int(spark.conf.get("spark.sql.shuffle.partitions")))
+        by = lambda df: df.repartition(tasks, "part").sortWithinPartitions("part", "kind")
+        spread = self.slim.select("text").mapInArrow(_spread(self.words, buckets), "part int, body binary").select("part", F.lit(_HELD).alias("kind"), "body")
+        shared = stored(by(spread).mapInArrow(_shared(buckets), kind))
+        del spread
+        collected(spark)
+        asked = stored(by(shared.filter(F.col("kind") == _COUNTED)).mapInArrow(_ask(buckets, self.containment), kind))
+        collected(spark)
+        pairs = by(shared.filter(F.col("kind") == _HELD).union(asked)).mapInArrow(_meet(least), "u long, v long, p int, q int")
+        pairs = stored(pairs.distinct())
+        dropped(shared, asked)
+        collected(spark)
+        return pairs
+
+    def links(self, least: float, block: int) -> DataFrame:
+        """(u, v, near): links of classes u with classes v that are as large or larger, up to 1 / least times; near: of similar size."""
+        pairs = self.candidates(least)
+        # what is compared with the same sets should meet in one place, at most about `block` texts: their sets go there once
+        near = F.min(F.when(F.col("p") >= self.ratio * F.col("q"), F.col("u")))
+        label = stored(pairs.groupBy("v").agg(F.when(near.isNull(), F.min("u")).otherwise(F.least(near, "v")).alias("label")))
+        many = label.groupBy("label").agg(F.ceil(F.count("*") / block).alias("many"))
+        label = label.join(many, "label").select("v", F.xxhash64("label", F.pmod(F.xxhash64("v"), "many")).alias("part"))
+        pairs = stored(pairs.join(label, "v").select("part", "u", "v", "p"))
+        full = pairs.select("part", "u", "p").distinct().groupBy("part").agg(F.ceil(F.sum("p") * 8 / SET_BYTES).alias("blocks")).filter("blocks > 1")
+        which = F.pmod(F.xxhash64("u"), F.coalesce("blocks", F.lit(1))).cast("int").alias("block")
+        pairs = pairs.join(small(stored(full)), "part", "left").select("part", which, "u", "v")
+        who = pairs.select("part", "block", F.col("u").alias("cls")).distinct().withColumn("us", F.lit(None).cast("array<long>"))
+        who = stored(who.union(pairs.groupBy("part", "block", F.col("v").alias("cls")).agg(F.collect_list("u"))))
+        both = who.join(self.texts(small(stored(who.select("cls").distinct()))), "cls").select("part", "block", "cls", "us", "text")
+        both = both.repartition("part", "block").sortWithinPartitions("part", "block", F.col("us").isNotNull())
+        return stored(both.mapInArrow(_inside(self.containment, self.ratio, self.words), "u long, v long, near boolean"))
+
+
+def link(docs: DataFrame, containment: float = CONTAINMENT, ratio: float = RATIO, words: int = WORDS, block: int = BLOCK) -> DataFrame:
     """(doc_id, th, component_id, n_links, part_of, kept), a row for each row of docs; th: a hash of its text.
 
     Documents with equal sets of shingles are one class. component_id: the smallest doc_id that can be reached by
@@ -520,30 +414,26 @@ def link(docs: DataFrame, containment: float = CONTAINMENT, ratio: float = RATIO
     others, but no component's number if it has an id. One id with different texts: each has its own class. Repeated
     rows: equal results. Empty table: no rows. Other columns are ignored.
 
-    Counts of similar sizes don't depend on the index: within a component all pairs are compared, block by block. A
-    pair at the threshold may be missed with a probability of about 1.5 x miss, a closer one much less.
+    All links are found: candidates are all pairs that can be linked, and each is compared by its texts, those with up
+    to about `block` larger sets in one place.
     """
-    return _link(docs, containment, ratio, words, hashes, miss, block, True)
+    return _link(docs, containment, ratio, words, block, True)
 
 
-def _link(docs: DataFrame, containment: float = CONTAINMENT, ratio: float = RATIO, words: int = WORDS, hashes: int = HASHES, miss: float = MISS, block: int | None = None, parts: bool = False) -> DataFrame:
-    """link(); without a block n_links isn't counted, without parts there are none: what is kept of copies doesn't depend on it."""
-    index = _Index(docs, containment, ratio, words, hashes, miss)
-    comp = components(index.copies()).withColumnRenamed("node", "cls")
+def _link(docs: DataFrame, containment: float = CONTAINMENT, ratio: float = RATIO, words: int = WORDS, block: int = BLOCK, parts: bool = False) -> DataFrame:
+    """link(); without parts there are none and n_links isn't counted: what is kept of copies doesn't depend on it."""
+    index = _Index(docs, containment, ratio, words)
+    links = index.links(0.0 if parts else ratio, block)
+    comp = components(links.filter("near").select("u", "v")).withColumnRenamed("node", "cls")
     known = index.classes.select("cls", "id", "th", "n", "size")
     nothing = lambda schema: docs.sparkSession.createDataFrame([], schema)
-    counts = nothing("cls long, links long")
-    if block:
-        comp = stored(comp)
-        counts = index.counted(comp, block)
-    inside = nothing("cls long, part_of long, part boolean")
+    counts, inside = nothing("cls long, links long"), nothing("cls long, part_of long, part boolean")
     if parts:
-        far = index.parts()
         of = known.select(F.col("cls").alias("v"), F.col("id").alias("vid"), F.col("n").alias("vn"), F.col("size").alias("vsize"))
-        both = far.join(of, "v").join(known.select(F.col("cls").alias("u"), F.col("n").alias("un")), "u")
-        counts = counts.union(both.groupBy(F.col("u").alias("cls")).agg(F.sum("vn"))).union(both.groupBy(F.col("v").alias("cls")).agg(F.sum("un")))
+        both = links.join(of, "v").join(known.select(F.col("cls").alias("u"), F.col("n").alias("un")), "u")
+        counts = both.groupBy(F.col("u").alias("cls")).agg(F.sum("vn").alias("links")).union(both.groupBy(F.col("v").alias("cls")).agg(F.sum("un")))
         counts = counts.groupBy("cls").agg(F.sum("links").alias("links"))
-        inside = both.groupBy(F.col("u").alias("cls")).agg(F.max(F.struct("vsize", (-F.coalesce("vid", F.lit(1 << 62))).alias("less"))).alias("b"))
+        inside = both.filter("not near").groupBy(F.col("u").alias("cls")).agg(F.max(F.struct("vsize", (-F.coalesce("vid", F.lit(1 << 62))).alias("less"))).alias("b"))
         inside = inside.select("cls", F.nullif(-F.col("b.less"), F.lit(1 << 62)).alias("part_of"), F.lit(True).alias("part"))
     known = known.join(comp, "cls", "left").join(counts, "cls", "left").join(inside, "cls", "left").withColumn("component", F.coalesce("component", "cls"))
     order = F.struct("size", (-F.coalesce("id", F.lit(1 << 62))).alias("less"), "cls")

@@ -176,3 +176,15 @@ def test_counts_all_links(docs):
     assert max(want.values()) >= 19
     for how in ({}, {"block": 6}):
         assert {r.doc_id: r.n_links for r in nd.link(docs(rows), **how).collect()} == want
+
+
+def test_no_pair_at_the_threshold_is_left_out(docs):
+    """Pairs of 10 and 20 shingles that share 7: linked, but neither bands nor samples find each of so many."""
+    rows = []
+    for k in range(2000):
+        words = [f"w{k}x{i}" for i in range(12)]
+        rows.append((2 * k, " ".join(words)))
+        rows.append((2 * k + 1, " ".join(words[:9] + [f"v{k}x{i}" for i in range(13)])))
+    _, links, part, _ = brute(rows[:20])
+    assert links == [1] * 20 and not any(part)
+    assert {r.doc_id for r in nd.one_of_each(docs(rows)).collect()} == {2 * k + 1 for k in range(2000)}
