@@ -6,7 +6,9 @@ is in the larger, whatever their sizes.
 Who is linked with a larger set shares `containment` of its shingles with it, so most documents drop out once it is
 known which shingles stand in several: each shingle goes to its bucket once, packed, and comes back with the number
 of sets that have it if it is more than one. Of its shared shingles a set then asks for the rarest, so many that any
-set it is linked with has one of them. Who meets so is compared by its texts. Nothing is estimated or left out.
+set it is linked with has one of them. Who meets so is compared by the shingles that it shares with any other, as what
+two sets have in common is among these. Nothing is estimated or left out. What links say of a class is summed where
+sets are compared, so that links are never written one by one.
 
 Links of sets of similar size are near copies and make components; a document in a larger one is a part of it.
 Parts don't join components, as a common phrase would make all documents with it one.
@@ -29,7 +31,7 @@ WORDS, CONTAINMENT = 3, 0.7
 #: Sets of which the smaller has at least this share of the larger's size are near copies if they are linked, others parts.
 RATIO = 0.5
 #: Shingles are grouped in so many buckets at least, of about KEYS of them. Pairs that a bucket's task makes at a time.
-BUCKETS, KEYS, PAIRS = 64, 2 << 20, 1 << 20
+BUCKETS, KEYS, PAIRS = 32, 4 << 20, 1 << 20
 #: Bytes of the smaller sets that one task holds at once while larger ones pass by.
 SET_BYTES = 32 << 20
 #: Shingles that a part of a larger document has at least to be dropped for it.
@@ -126,31 +128,45 @@ def bucket_of(key: np.ndarray, buckets: int) -> np.ndarray:
     return ((key >> np.uint64(20)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
 
 
+def _split(key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Lower and upper parts of numbers of 40 bits; of small numbers the upper ones take little room when compressed."""
+    return key & np.uint64(0xFFFF), key >> np.uint64(16) & np.uint64(0xFFFF), key >> np.uint64(32) & np.uint64(0xFF)
+
+
+def _join(low: np.ndarray, middle: np.ndarray, high: np.ndarray) -> np.ndarray:
+    return low | middle.astype(np.uint64) << np.uint64(16) | high.astype(np.uint64) << np.uint64(32)
+
+
 def _pack(cls: np.ndarray, size: np.ndarray, doc: np.ndarray, key: np.ndarray, df: np.ndarray | None = None) -> bytes:
     """The shingles of some classes, 40 bits of each; doc: the place in cls, ascending. Two shingles of a bucket that differ
-    in other bits only count as one: that adds candidates and loses none."""
+    in other bits only count as one, like any whose hashes collide."""
     runs = np.flatnonzero(np.append(True, doc[1:] != doc[:-1])) if len(doc) else np.zeros(0, np.int64)
-    own = doc[runs]
-    body = [np.array([len(own), len(key)], "<i8"), cls[own].astype("<i8"), size[own].astype("<i4"), np.diff(np.append(runs, len(doc))).astype("<u4")]
-    body += [(key & np.uint64(0xFFFFFFFF)).astype("<u4"), (key >> np.uint64(32) & np.uint64(0xFF)).astype(np.uint8)]
+    own, many = doc[runs], np.diff(np.append(runs, len(doc)))
+    width = 1 if many.max(initial=0) < 256 else 4
+    body = [np.array([len(own), len(key), width], "<i8"), cls[own].astype("<i8"), size[own].astype("<i4"), many.astype(f"<u{width}")]
+    body += [x.astype(kind) for x, kind in zip(_split(key), ("<u2", "<u2", "u1"))]
     if df is not None:
         body.append(np.minimum(df, 65535).astype("<u2"))
     return b"".join(x.tobytes() for x in body)
 
 
+def _arrays(x: bytes, at: int, *what: tuple[str, int]) -> list[np.ndarray]:
+    """Arrays of the kinds and lengths given, which stand one after the other."""
+    out = []
+    for kind, many in what:
+        out.append(np.frombuffer(x, kind, many, at))
+        at += many * out[-1].itemsize
+    return out
+
+
 def _unpack(bodies: list[bytes], counted: bool = False) -> tuple[np.ndarray, ...]:
     """(cls, size, doc, key, df) of several; a class may stand there several times. Without df, if not `counted`, it is empty."""
     parts, base = [], 0
     for x in bodies:
-        n, m = np.frombuffer(x, "<i8", 2).tolist()
-        at = 16
-        got = []
-        for kind, many, width in (("<i8", n, 8), ("<i4", n, 4), ("<u4", n, 4), ("<u4", m, 4), (np.uint8, m, 1), *([("<u2", m, 2)] if counted else [])):
-            got.append(np.frombuffer(x, kind, many, at))
-            at += many * width
-        cls, size, many, low, high, *df = got
+        n, m, width = np.frombuffer(x, "<i8", 3).tolist()
+        cls, size, many, *key, df = _arrays(x, 24, ("<i8", n), ("<i4", n), (f"<u{width}", n), ("<u2", m), ("<u2", m), ("u1", m), ("<u2", m * counted))
         doc = np.repeat(np.arange(base, base + n, dtype=np.int32), many)
-        parts.append((cls, size, doc, low.astype(np.uint64) | high.astype(np.uint64) << np.uint64(32), *(df or [np.zeros(0, np.uint16)])))
+        parts.append((cls, size, doc, _join(*key), df))
         base += n
     return tuple(np.concatenate(x) for x in zip(*parts))
 
@@ -209,17 +225,25 @@ def _grouped(solve):
     return run
 
 
-def _rows(rows: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
-    part, kind, body = zip(*rows) if rows else ((), (), ())
-    return pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.array(kind, pa.int32()), pa.array(body, pa.binary())], names=["part", "kind", "body"])
+def _rows(rows: list[tuple[int, int, bytes]]) -> Iterator[pa.RecordBatch]:
+    """The rows in batches of about BATCH_BYTES."""
+    at, n = 0, 0
+    for k, (_, _, body) in enumerate(rows):
+        n += len(body)
+        if n >= BATCH_BYTES or k == len(rows) - 1:
+            part, kind, body = zip(*rows[at : k + 1])
+            yield pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.array(kind, pa.int32()), pa.array(body, pa.binary())], names=["part", "kind", "body"])
+            at, n = k + 1, 0
 
 
 #: Kinds of rows: who holds a shingle (by bucket); how many hold each of a class's (by class); what a class asks (by bucket).
 _HELD, _COUNTED, _ASKED = 0, 1, 2
+#: A class's place among the buckets.
+_home = lambda cls, buckets: (cls.astype(np.uint64) % np.uint64(buckets)).astype(np.int64)
 
 
 def _shared(buckets: int):
-    """Of a bucket the shingles that several classes have, for who asks for them and, with how many have them, for their classes."""
+    """Of a bucket the shingles that several classes have, numbered, for who asks for them and, with how many have them, for their classes."""
 
     def solve(bucket: int, rows: list[tuple[int, bytes]]) -> Iterator[pa.RecordBatch]:
         cls, size, doc, key, _ = _unpack([x for _, x in rows])
@@ -235,23 +259,51 @@ def _shared(buckets: int):
         many = np.diff(np.append(start, len(s)))
         df = np.zeros(len(key), np.int64)
         df[by] = np.repeat(many, many)
+        key[by] = np.repeat(np.cumsum(many > 1) - 1, many).astype(np.uint64)
         del by, s
         several = df > 1
         doc, key, df = doc[several], key[several], df[several]
-        home = (cls.astype(np.uint64) % np.uint64(buckets)).astype(np.int64)
+        home = _home(cls, buckets)
         order = np.lexsort((doc, home[doc]))
         doc, key, df = doc[order], key[order], df[order]
+        out = []
         for k, i in _by(home[doc], buckets):
-            body = _pack(cls, size, doc[i], key[i], df[i])
-            yield _rows([(k, _COUNTED, np.array([bucket], "<i8").tobytes() + body)])
-            yield _rows([(bucket, _HELD, _pack(cls, size, doc[i], key[i]))])
+            out.append((k, _COUNTED, np.array([bucket], "<i8").tobytes() + _pack(cls, size, doc[i], key[i], df[i])))
+            out.append((bucket, _HELD, _pack(cls, size, doc[i], key[i])))
+        yield from _rows(out)
 
     return _grouped(solve)
 
 
+def _pack_set(where: np.ndarray, key: np.ndarray) -> bytes:
+    """Buckets and numbers of shingles, as one body."""
+    return where.astype("<u4").tobytes() + b"".join(x.astype("<u2").tobytes() for x in _split(key)[:2])
+
+
+def _set_of(x: bytes) -> np.ndarray:
+    """The shingles of _pack_set, as one number each, in the same order."""
+    n = len(x) // 8
+    where, low, high = _arrays(x, 0, ("<u4", n), ("<u2", n), ("<u2", n))
+    return where.astype(np.uint64) << np.uint64(32) | high.astype(np.uint64) << np.uint64(16) | low
+
+
 def _ask(buckets: int, containment: float):
     """What each class asks: a set that is linked with a larger one shares `need` shingles with it, so that of all those
-    that it shares with any, one at least of the rarest (all but need - 1) is in the larger one."""
+    that it shares with any, one at least of the rarest (all but need - 1) is in the larger one.
+
+    Besides, rows (cls, body) of all its shared shingles: what two classes have in common is among these."""
+
+    def sets(cls: np.ndarray, doc: np.ndarray, key: np.ndarray, where: np.ndarray) -> Iterator[pa.RecordBatch]:
+        ids, bodies, n = [], [], 0
+        for k, i in _by(doc, len(cls)):
+            ids.append(int(cls[k]))
+            bodies.append(_pack_set(where[i], key[i]))
+            n += len(bodies[-1])
+            if n >= BATCH_BYTES:
+                yield _set_rows(ids, bodies)
+                ids, bodies, n = [], [], 0
+        if ids:
+            yield _set_rows(ids, bodies)
 
     def solve(_: int, rows: list[tuple[int, bytes]]) -> Iterator[pa.RecordBatch]:
         cls, size, doc, key, df = _unpack([x[8:] for _, x in rows], True)
@@ -259,6 +311,9 @@ def _ask(buckets: int, containment: float):
         rows.clear()
         cls, first, inverse = np.unique(cls, return_index=True, return_inverse=True)
         size, doc = size[first], inverse[doc]
+        order = np.lexsort((key, where, doc))
+        doc, key, df, where = doc[order], key[order], df[order], where[order]
+        yield from sets(cls, doc, key, where)
         take = np.bincount(doc, minlength=len(cls)) - np.ceil(size * containment - 1e-9).astype(np.int64) + 1
         some = take[doc] > 0
         doc, key, df, where = doc[some], key[some], df[some], where[some]
@@ -270,13 +325,20 @@ def _ask(buckets: int, containment: float):
         doc, key, where = doc[some], key[some], where[some]
         order = np.lexsort((doc, where))
         doc, key, where = doc[order], key[order], where[order]
-        yield _rows([(k, _ASKED, _pack(cls, size, doc[i], key[i])) for k, i in _by(where, buckets)])
+        for b in _rows([(k, _ASKED, _pack(cls, size, doc[i], key[i])) for k, i in _by(where, buckets)]):
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.nulls(b.num_rows, pa.int64())], names=["part", "kind", "body", "cls"])
 
     return _grouped(solve)
 
 
-def _meet(least: float):
-    """(u, v, p, q): classes u that ask for a shingle of v, and their sizes; p <= q, and p >= least * q."""
+def _set_rows(ids: list[int], bodies: list[bytes]) -> pa.RecordBatch:
+    none = pa.nulls(len(ids), pa.int32())
+    return pa.RecordBatch.from_arrays([none, none, pa.array(bodies, pa.binary()), pa.array(ids, pa.int64())], names=["part", "kind", "body", "cls"])
+
+
+def _meet(least: float, ratio: float, buckets: int):
+    """Pairs of classes u that ask for a shingle of v, of sizes p <= q, p >= least * q, packed by v's place: u, v, and p,
+    negative if v is of similar size."""
 
     def solve(_: int, rows: list[tuple[int, bytes]]) -> Iterator[pa.RecordBatch]:
         asked = [x for k, x in rows if k == _ASKED]
@@ -289,6 +351,18 @@ def _meet(least: float):
         who, its, ask, want, _ = _unpack(asked)
         at, end = np.searchsorted(key, want), np.searchsorted(key, want, "right")
         done = np.cumsum(end - at)
+        home = _home(cls, buckets)
+        found: list[np.ndarray] = []
+
+        def packed() -> Iterator[pa.RecordBatch]:
+            code = np.concatenate(found)
+            found.clear()
+            u, v = code >> 32, code & 0xFFFFFFFF
+            by = np.argsort(home[v], kind="stable")
+            u, v = u[by], v[by]
+            p = np.where(its[u] >= ratio * size[v], -its[u], its[u]).astype("<i4")
+            yield from _rows([(k, 0, who[u[i]].astype("<i8").tobytes() + cls[v[i]].astype("<i8").tobytes() + p[i].tobytes()) for k, i in _by(home[v], buckets)])
+
         i = 0
         while i < len(want):
             # whole classes, of about PAIRS pairs
@@ -299,48 +373,177 @@ def _meet(least: float):
             v = doc[np.repeat(at[i:j] - (np.cumsum(many) - many), many) + np.arange(int(many.sum()))]
             p, q = its[u], size[v]
             ok = ((q > p) | (q == p) & (cls[v] > who[u])) & (p >= least * q)
-            code = np.unique(u[ok].astype(np.int64) << 32 | v[ok])
-            u, v = code >> 32, code & 0xFFFFFFFF
-            for k in range(0, len(u), 1 << 16):
-                a, b = u[k : k + (1 << 16)], v[k : k + (1 << 16)]
-                yield pa.RecordBatch.from_arrays([pa.array(who[a]), pa.array(cls[b]), pa.array(its[a]), pa.array(size[b])], names=["u", "v", "p", "q"])
+            found.append(np.unique(u[ok].astype(np.int64) << 32 | v[ok]))
+            if sum(map(len, found)) >= PAIRS:
+                yield from packed()
             i = j
+        if found:
+            yield from packed()
 
     return _grouped(solve)
 
 
+def _gather(_: int, rows: list[tuple[int, bytes]]) -> Iterator[pa.RecordBatch]:
+    """(v, label, us, ps): each class with those that it may have in it and their sizes. label: what's compared with the same
+    sets has the same."""
+    parts = [_arrays(x, 0, ("<i8", n := len(x) // 20), ("<i8", n), ("<i4", n)) for _, x in rows]
+    rows.clear()
+    u, v, p = (np.concatenate(x) for x in zip(*parts))
+    del parts
+    order = np.lexsort((u, v))
+    u, v, p = u[order], v[order], p[order]
+    once = np.append(True, (v[1:] != v[:-1]) | (u[1:] != u[:-1])) if len(v) else np.zeros(0, bool)
+    u, v, p = u[once], v[once], p[once]
+    first = np.flatnonzero(np.append(True, v[1:] != v[:-1])) if len(v) else np.zeros(0, np.int64)
+    if not len(first):
+        return
+    near = np.minimum.reduceat(np.where(p < 0, u, np.iinfo(np.int64).max), first)
+    some = np.logical_or.reduceat(p < 0, first)
+    label = np.where(some, np.minimum(near, v[first]), u[first])
+    ends = np.append(first, len(v))
+    i = 0
+    while i < len(first):
+        # lists of about BATCH_BYTES
+        j = max(i + 1, int(np.searchsorted(ends, ends[i] + BATCH_BYTES // 12, "right")) - 1)
+        off, of = pa.array((ends[i : j + 1] - ends[i]).astype(np.int32)), slice(ends[i], ends[j])
+        yield pa.RecordBatch.from_arrays([pa.array(v[first[i:j]]), pa.array(label[i:j]), pa.ListArray.from_arrays(off, pa.array(u[of])), pa.ListArray.from_arrays(off, pa.array(np.abs(p[of])))], names=["v", "label", "us", "ps"])
+        i = j
+
+
+def _placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(part, block, cls, us): where sets meet. Of each part first the classes u, without us, in blocks of about SET_BYTES, then
+    each v with those of its us that are in the block. Input (part, v, us, ps), the rows of a part one after the other."""
+
+    def placed(part: int, rows: list[tuple[int, np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+        us, first = np.unique(np.concatenate([u for _, u, _ in rows]), return_index=True)
+        size = np.concatenate([p for _, _, p in rows])[first].astype(np.int64)
+        block = (np.cumsum(size) - size) * 8 // SET_BYTES
+        yield batch(part, block, us, None)
+        blocks, ids, lists, n = [], [], [], 0
+        for v, u, _ in rows:
+            of = block[np.searchsorted(us, u)]
+            for k, i in _by(of, int(of[-1]) + 1):  # us of a row ascend, and with them their blocks
+                blocks.append(k)
+                ids.append(v)
+                lists.append(u[i])
+                n += len(u[i])
+            if n >= BATCH_BYTES // 8:
+                yield batch(part, np.array(blocks), np.array(ids, np.int64), lists)
+                blocks, ids, lists, n = [], [], [], 0
+        if ids:
+            yield batch(part, np.array(blocks), np.array(ids, np.int64), lists)
+
+    def batch(part: int, block: np.ndarray, cls: np.ndarray, lists: list[np.ndarray] | None) -> pa.RecordBatch:
+        us = pa.nulls(len(cls), pa.list_(pa.int64())) if lists is None else pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, lists)]).astype(np.int32)), pa.array(np.concatenate(lists)))
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(cls), part, np.int32)), pa.array(block.astype(np.int32)), pa.array(cls), us], names=["part", "block", "cls", "us"])
+
+    now, rows = None, []
+    for b in batches:
+        part, v, us, ps = (b.column(k) for k in range(4))
+        for k, (p, c) in enumerate(zip(part.to_pylist(), v.to_pylist())):
+            if p != now:
+                if rows:
+                    yield from placed(now, rows)
+                now, rows = p, []
+            rows.append((c, us[k].values.to_numpy(), ps[k].values.to_numpy()))
+    if rows:
+        yield from placed(now, rows)
+
+
 def contained(a: np.ndarray, b: np.ndarray, containment: float) -> bool:
     """Are these sorted sets linked?"""
     q = min(len(a), len(b))
     return q > 0 and len(np.intersect1d(a, b, assume_unique=True)) >= containment * q - 1e-9
 
 
-def _inside(containment: float, ratio: float, words: int):
-    """(u, v, near): u is in v, and is it of similar size? Input by (part, block): (cls, us, text), first the classes u, without us, then v, us being candidates."""
+_FACTS = "cls long, links long, psize int, pless long, rep long"
+
+
+class _Block:
+    """The classes u of a block, and what is known of them and of the classes v compared with them so far."""
+
+    def __init__(self, rows: list[tuple[int, int, int, np.ndarray]], containment: float, ratio: float):
+        rows.sort(key=lambda r: r[0])
+        self.cls, self.n, self.size = (np.array([r[k] for r in rows], np.int64) for k in range(3))
+        many = np.array([len(r[3]) for r in rows])
+        self.ends = np.append(0, np.cumsum(many))
+        self.keys, at = np.unique(np.concatenate([r[3] for r in rows]), return_inverse=True)
+        self.at, self.has = at.astype(np.int32), np.zeros(len(self.keys), np.uint8)
+        self.ratio, self.least = ratio, containment * self.size - 1e-9
+        self.links = np.zeros(len(rows), np.int64)
+        self.psize, self.pless = np.zeros(len(rows), np.int64), np.zeros(len(rows), np.int64)
+        self.group = np.arange(len(rows))
+        self.near = np.zeros(len(rows), bool)
+        self.vs: list[tuple[int, int, int]] = []
+
+    def shared(self, have: np.ndarray, asked: np.ndarray) -> np.ndarray:
+        """How many of the shingles `have`, sorted, each of the classes u asked for has."""
+        at = np.minimum(np.searchsorted(self.keys, have), len(self.keys) - 1)
+        at = at[self.keys[at] == have]
+        self.has[at] = 1
+        out = []
+        for i in range(0, len(asked), 1024):
+            first, end = self.ends[asked[i : i + 1024]], self.ends[asked[i : i + 1024] + 1]
+            hit = self.has[np.concatenate([self.at[a:b] for a, b in zip(first.tolist(), end.tolist())])]
+            out.append(np.add.reduceat(hit, np.cumsum(end - first) - (end - first), dtype=np.int64))
+        self.has[at] = 0
+        return np.concatenate(out)
+
+    def compare(self, cls: int, n: int, size: int, less: int, have: np.ndarray, us: np.ndarray) -> None:
+        asked = np.searchsorted(self.cls, us)
+        found = asked[self.shared(have, asked) >= self.least[asked]]
+        if not len(found):
+            return
+        self.links[found] += n
+        near = self.size[found] >= self.ratio * size
+        within, found_near = found[~near], found[near]
+        better = within[(size > self.psize[within]) | (size == self.psize[within]) & (less > self.pless[within])]
+        self.psize[better], self.pless[better] = size, less
+        if len(found_near):
+            self.near[found_near] = True
+            groups = np.unique(self.group[found_near])
+            if len(groups) > 1:
+                self.group[np.isin(self.group, groups)] = groups[0]
+        self.vs.append((cls, int(self.n[found].sum()), int(found_near[0]) if len(found_near) else -1))
+
+    def facts(self) -> Iterator[pa.RecordBatch]:
+        some = np.flatnonzero(self.links)
+        part = self.psize[some] == 0
+        cols = [self.cls[some], self.links[some], (self.psize[some].astype(np.int32), part), (self.pless[some], part), (self.cls[self.group[some]], ~self.near[some])]
+        yield self._batch(cols)
+        if self.vs:
+            cls, links, first = (np.array(x, np.int64) for x in zip(*self.vs))
+            none = np.ones(len(cls), bool)
+            yield self._batch([cls, links, (np.zeros(len(cls), np.int32), none), (links, none), (self.cls[self.group[first]], first < 0)])
+
+    @staticmethod
+    def _batch(cols: list) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(*c[:1], mask=c[1]) if isinstance(c, tuple) else pa.array(c) for c in cols], names=["cls", "links", "psize", "pless", "rep"])
+
+
+def _inside(containment: float, ratio: float):
+    """What the links of a block say, a row for each class that has any: (cls, documents linked with it, size and rank of the
+    largest class that it is a part of, a class of its near copies). Input by (part, block): (cls, us, n, size, less, set),
+    first the classes u, without us, then v, us being candidates."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        where, sets = None, {}
-        for b in slices(batches, "text"):
-            us, vs, near = [], [], []
-            h, off = shingles(b.column(4), words)
-            for k, (part, block, cls, asked) in enumerate(zip(*(c.to_pylist() for c in b.columns[:4]))):
-                if (part, block) != where:
-                    where, sets = (part, block), {}
-                have = h[off[k] : off[k + 1]]
-                if asked is None:
-                    sets[cls] = have.copy()
+        where, rows, block = None, [], None
+        for b in batches:
+            us = b.column(3)
+            known = us.is_valid().to_pylist()
+            for k, (part, number, cls, n, size, less, body) in enumerate(zip(*(b.column(c).to_pylist() for c in (0, 1, 2, 4, 5, 6, 7)))):
+                if (part, number) != where:
+                    if block:
+                        yield from block.facts()
+                    where, rows, block = (part, number), [], None
+                if not known[k]:
+                    rows.append((cls, n, size, _set_of(body)))
                     continue
-                for i in range(0, len(asked), 256):
-                    own = [sets[u] for u in asked[i : i + 256]]
-                    x = np.concatenate(own)
-                    hit = have[np.minimum(np.searchsorted(have, x), len(have) - 1)] == x
-                    size = np.array([len(y) for y in own])
-                    n = np.add.reduceat(hit.astype(np.int64), np.cumsum(size) - size)
-                    ok = np.flatnonzero(n >= containment * size - 1e-9)
-                    us += [asked[i + k] for k in ok.tolist()]
-                    vs += [cls] * len(ok)
-                    near += (size[ok] >= ratio * len(have)).tolist()
-            yield pa.RecordBatch.from_arrays([pa.array(us, pa.int64()), pa.array(vs, pa.int64()), pa.array(near, pa.bool_())], names=["u", "v", "near"])
+                if not block:
+                    block = _Block(rows, containment, ratio)
+                block.compare(cls, n, size, less, _set_of(body), us[k].values.to_numpy())
+        if block:
+            yield from block.facts()
 
     return run
 
@@ -356,49 +559,44 @@ class _Index:
         classes = self.rows.groupBy("cls").agg(first.alias("f"), F.count("*").alias("n"), F.first("size").alias("size"))
         self.classes = stored(classes.select("cls", F.nullif("f.id", F.lit((1 << 63) - 1)).alias("id"), "f.th", "n", "size"))
 
-    def texts(self, who: DataFrame) -> DataFrame:
-        """(cls, text) of the classes in who (cls)."""
-        named = F.coalesce("doc_id", F.lit(_NO_ID)).alias("did")
-        which = small(stored(self.classes.join(who, "cls", "left_semi").select("cls", F.coalesce("id", F.lit(_NO_ID)).alias("did"), "th")))
-        own = self.slim.select(named, "th", "text").join(which, ["did", "th"])
-        return own.groupBy("cls").agg(F.first("text").alias("text"))
-
-    def candidates(self, least: float) -> DataFrame:
-        """(u, v, p, q): all pairs of classes that can be linked, and their sizes, p <= q and p >= least * q."""
+    def candidates(self, least: float) -> tuple[DataFrame, DataFrame]:
+        """(v, label, us, ps): for each class those that may be linked with it, as large or smaller, at least `least` times its
+        size, and their sizes; (cls, body): the shingles that a class shares with others."""
         spark = self.slim.sparkSession
         buckets = max(BUCKETS, (self.classes.agg(F.sum("size")).first()[0] or 0) // KEYS)
         kind = "part int, kind int, body binary"
         tasks = min(buckets, int(spark.conf.get("spark.sql.shuffle.partitions")))
-        by = lambda df: df.repartition(tasks, "part").sortWithinPartitions("part", "kind")
+        by = lambda df: df.repartitionById(tasks, F.pmod("part", F.lit(tasks))).sortWithinPartitions("part", "kind")
         spread = self.slim.select("text").mapInArrow(_spread(self.words, buckets), "part int, body binary").select("part", F.lit(_HELD).alias("kind"), "body")
         shared = stored(by(spread).mapInArrow(_shared(buckets), kind))
         del spread
         collected(spark)
-        asked = stored(by(shared.filter(F.col("kind") == _COUNTED)).mapInArrow(_ask(buckets, self.containment), kind))
+        asked = stored(by(shared.filter(F.col("kind") == _COUNTED)).mapInArrow(_ask(buckets, self.containment), f"{kind}, cls long"))
         collected(spark)
-        pairs = by(shared.filter(F.col("kind") == _HELD).union(asked)).mapInArrow(_meet(least), "u long, v long, p int, q int")
-        pairs = stored(pairs.distinct())
-        dropped(shared, asked)
+        pairs = by(shared.filter(F.col("kind") == _HELD).union(asked.filter("cls is null").drop("cls"))).mapInArrow(_meet(least, self.ratio, buckets), kind)
+        pairs = stored(by(pairs).mapInArrow(_grouped(_gather), "v long, label long, us array<long>, ps array<int>"))
+        dropped(shared)
         collected(spark)
-        return pairs
+        return pairs, asked.filter("cls is not null").select("cls", "body")
 
     def links(self, least: float, block: int) -> DataFrame:
-        """(u, v, near): links of classes u with classes v that are as large or larger, up to 1 / least times; near: of similar size."""
-        pairs = self.candidates(least)
-        # what is compared with the same sets should meet in one place, at most about `block` texts: their sets go there once
-        near = F.min(F.when(F.col("p") >= self.ratio * F.col("q"), F.col("u")))
-        label = stored(pairs.groupBy("v").agg(F.when(near.isNull(), F.min("u")).otherwise(F.least(near, "v")).alias("label")))
-        many = label.groupBy("label").agg(F.ceil(F.count("*") / block).alias("many"))
-        label = label.join(many, "label").select("v", F.xxhash64("label", F.pmod(F.xxhash64("v"), "many")).alias("part"))
-        pairs = stored(pairs.join(label, "v").select("part", "u", "v", "p"))
-        full = pairs.select("part", "u", "p").distinct().groupBy("part").agg(F.ceil(F.sum("p") * 8 / SET_BYTES).alias("blocks")).filter("blocks > 1")
-        which = F.pmod(F.xxhash64("u"), F.coalesce("blocks", F.lit(1))).cast("int").alias("block")
-        pairs = pairs.join(small(stored(full)), "part", "left").select("part", which, "u", "v")
-        who = pairs.select("part", "block", F.col("u").alias("cls")).distinct().withColumn("us", F.lit(None).cast("array<long>"))
-        who = stored(who.union(pairs.groupBy("part", "block", F.col("v").alias("cls")).agg(F.collect_list("u"))))
-        both = who.join(self.texts(small(stored(who.select("cls").distinct()))), "cls").select("part", "block", "cls", "us", "text")
-        both = both.repartition("part", "block").sortWithinPartitions("part", "block", F.col("us").isNotNull())
-        return stored(both.mapInArrow(_inside(self.containment, self.ratio, self.words), "u long, v long, near boolean"))
+        """_FACTS of classes u and classes v that are as large or larger, up to 1 / least times, several rows for each class;
+        pless: the larger, the smaller the id."""
+        pairs, sets = self.candidates(least)
+        # what is compared with the same sets should meet in one place, at most about `block` sets: those go there once
+        many = pairs.groupBy("label").agg(F.ceil(F.count("*") / block).alias("many"))
+        tasks = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        part = F.pmod(F.xxhash64("label", F.pmod(F.xxhash64("v"), "many")), F.lit(tasks)).cast("int").alias("part")
+        pairs = pairs.join(many, "label").select(part, "v", "us", "ps")
+        who = pairs.repartitionById(tasks, "part").sortWithinPartitions("part").mapInArrow(_placed, "part int, block int, cls long, us array<long>")
+        who = stored(who)
+        needed = stored(who.select("cls").distinct())
+        if small(needed) is not needed:
+            sets = sets.join(F.broadcast(needed), "cls", "left_semi")
+        known = self.classes.select("cls", "n", "size", (-F.coalesce("id", F.lit(1 << 62))).alias("less"))
+        both = who.join(sets.join(known, "cls"), "cls").select("part", "block", "cls", "us", "n", "size", "less", "body")
+        both = both.repartitionById(tasks, "part").sortWithinPartitions("part", "block", F.col("us").isNotNull())
+        return stored(both.mapInArrow(_inside(self.containment, self.ratio), _FACTS))
 
 
 def link(docs: DataFrame, containment: float = CONTAINMENT, ratio: float = RATIO, words: int = WORDS, block: int = BLOCK) -> DataFrame:
@@ -414,28 +612,22 @@ def link(docs: DataFrame, containment: float = CONTAINMENT, ratio: float = RATIO
     others, but no component's number if it has an id. One id with different texts: each has its own class. Repeated
     rows: equal results. Empty table: no rows. Other columns are ignored.
 
-    All links are found: candidates are all pairs that can be linked, and each is compared by its texts, those with up
-    to about `block` larger sets in one place.
+    All links are found: candidates are all pairs that can be linked, and each is compared by all shared shingles, those
+    with up to about `block` larger sets in one place.
     """
     return _link(docs, containment, ratio, words, block, True)
 
 
 def _link(docs: DataFrame, containment: float = CONTAINMENT, ratio: float = RATIO, words: int = WORDS, block: int = BLOCK, parts: bool = False) -> DataFrame:
-    """link(); without parts there are none and n_links isn't counted: what is kept of copies doesn't depend on it."""
+    """link(); without parts there are none and n_links only counts links of similar size: what is kept of copies doesn't depend on it."""
     index = _Index(docs, containment, ratio, words)
     links = index.links(0.0 if parts else ratio, block)
-    comp = components(links.filter("near").select("u", "v")).withColumnRenamed("node", "cls")
+    comp = components(links.filter("rep is not null").select(F.col("cls").alias("u"), F.col("rep").alias("v"))).withColumnRenamed("node", "cls")
     known = index.classes.select("cls", "id", "th", "n", "size")
-    nothing = lambda schema: docs.sparkSession.createDataFrame([], schema)
-    counts, inside = nothing("cls long, links long"), nothing("cls long, part_of long, part boolean")
-    if parts:
-        of = known.select(F.col("cls").alias("v"), F.col("id").alias("vid"), F.col("n").alias("vn"), F.col("size").alias("vsize"))
-        both = links.join(of, "v").join(known.select(F.col("cls").alias("u"), F.col("n").alias("un")), "u")
-        counts = both.groupBy(F.col("u").alias("cls")).agg(F.sum("vn").alias("links")).union(both.groupBy(F.col("v").alias("cls")).agg(F.sum("un")))
-        counts = counts.groupBy("cls").agg(F.sum("links").alias("links"))
-        inside = both.filter("not near").groupBy(F.col("u").alias("cls")).agg(F.max(F.struct("vsize", (-F.coalesce("vid", F.lit(1 << 62))).alias("less"))).alias("b"))
-        inside = inside.select("cls", F.nullif(-F.col("b.less"), F.lit(1 << 62)).alias("part_of"), F.lit(True).alias("part"))
-    known = known.join(comp, "cls", "left").join(counts, "cls", "left").join(inside, "cls", "left").withColumn("component", F.coalesce("component", "cls"))
+    largest = F.max(F.when(F.col("psize").isNotNull(), F.struct("psize", "pless"))).alias("b")
+    counts = links.groupBy("cls").agg(F.sum("links").alias("links"), largest)
+    counts = counts.select("cls", "links", F.nullif(-F.col("b.pless"), F.lit(1 << 62)).alias("part_of"), F.col("b").isNotNull().alias("part"))
+    known = known.join(comp, "cls", "left").join(counts, "cls", "left").withColumn("component", F.coalesce("component", "cls"))
     order = F.struct("size", (-F.coalesce("id", F.lit(1 << 62))).alias("less"), "cls")
     stays = F.coalesce("part", F.lit(False)) & (F.col("size") >= PART)
     best = known.groupBy("component").agg(F.min("id").alias("component_id"), F.max(F.when(~stays, order)).alias("b")).select("component", "component_id", F.col("b.cls").alias("best"))

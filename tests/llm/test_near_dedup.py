@@ -188,3 +188,16 @@ def test_no_pair_at_the_threshold_is_left_out(docs):
     _, links, part, _ = brute(rows[:20])
     assert links == [1] * 20 and not any(part)
     assert {r.doc_id for r in nd.one_of_each(docs(rows)).collect()} == {2 * k + 1 for k in range(2000)}
+
+
+def test_links_are_summed_where_sets_meet(docs):
+    """Short texts that stand in all others: as many links as pairs, but no row for each of them is written."""
+    rng = random.Random(9)
+    shared = " ".join(f"b{i}" for i in range(16))
+    rows = [(i, shared + " " + " ".join(f"x{rng.randrange(10**6)}" for _ in range(60))) for i in range(300)]
+    rows += [(1000 + i, shared + f" y{i}") for i in range(30)]
+    _, links, part, _ = brute(rows)
+    assert sum(links) / 2 > 9000
+    got = {r.doc_id: r for r in nd.link(docs(rows)).collect()}
+    assert [got[i].n_links for i, _ in rows] == links and [got[i].part_of is not None for i, _ in rows] == part
+    assert nd._Index(docs(rows), nd.CONTAINMENT, nd.RATIO, nd.WORDS).links(0.0, nd.BLOCK).count() < 2 * len(rows)
