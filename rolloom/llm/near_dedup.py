@@ -6,7 +6,7 @@ is in the larger, whatever their sizes.
 Who is linked with a larger set shares `containment` of its shingles with it, so most documents drop out once it is
 known which shingles stand in several: each shingle goes to its bucket once, packed, and comes back with the number
 of sets that have it if it is more than one. Of its shared shingles a set then asks for the rarest, so many that any
-set it is linked with has one of them. Who meets so is compared by the shingles that it shares with any other, as what
+set it is linked with has one of them, of large sets several. Who meets so is compared by the shingles that it shares with any other, as what
 two sets have in common is among these. Nothing is estimated or left out. What links say of a class is summed where
 sets are compared, so that links are never written one by one.
 
@@ -18,11 +18,12 @@ from __future__ import annotations
 
 import hashlib
 import math
+import time
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rolloom.llm.common import BATCH_BYTES, collected, components, dropped, flat, grams, hash_spans, keyed, slices, small, stored, unpacked, word_bounds
@@ -137,7 +138,7 @@ def _join(low: np.ndarray, middle: np.ndarray, high: np.ndarray) -> np.ndarray:
     return low | middle.astype(np.uint64) << np.uint64(16) | high.astype(np.uint64) << np.uint64(32)
 
 
-def _pack(cls: np.ndarray, size: np.ndarray, doc: np.ndarray, key: np.ndarray, df: np.ndarray | None = None) -> bytes:
+def _pack(cls: np.ndarray, size: np.ndarray, doc: np.ndarray, key: np.ndarray) -> bytes:
     """The shingles of some classes, 40 bits of each; doc: the place in cls, ascending. Two shingles of a bucket that differ
     in other bits only count as one, like any whose hashes collide."""
     runs = np.flatnonzero(np.append(True, doc[1:] != doc[:-1])) if len(doc) else np.zeros(0, np.int64)
@@ -145,8 +146,6 @@ def _pack(cls: np.ndarray, size: np.ndarray, doc: np.ndarray, key: np.ndarray, d
     width = 1 if many.max(initial=0) < 256 else 4
     body = [np.array([len(own), len(key), width], "<i8"), cls[own].astype("<i8"), size[own].astype("<i4"), many.astype(f"<u{width}")]
     body += [x.astype(kind) for x, kind in zip(_split(key), ("<u2", "<u2", "u1"))]
-    if df is not None:
-        body.append(np.minimum(df, 65535).astype("<u2"))
     return b"".join(x.tobytes() for x in body)
 
 
@@ -160,7 +159,7 @@ def _arrays(x: bytes, at: int, *what: tuple[str, int]) -> list[np.ndarray]:
 
 
 def _unpack(bodies: list[bytes], counted: bool = False) -> tuple[np.ndarray, ...]:
-    """(cls, size, doc, key, df) of several; a class may stand there several times. Without df, if not `counted`, it is empty."""
+    """(cls, size, doc, key, df) of several; a class may stand there several times. df: from the counts that follow if `counted`."""
     parts, base = [], 0
     for x in bodies:
         n, m, width = np.frombuffer(x, "<i8", 3).tolist()
@@ -236,14 +235,15 @@ def _rows(rows: list[tuple[int, int, bytes]]) -> Iterator[pa.RecordBatch]:
             at, n = k + 1, 0
 
 
-#: Kinds of rows: who holds a shingle (by bucket); how many hold each of a class's (by class); what a class asks (by bucket).
-_HELD, _COUNTED, _ASKED = 0, 1, 2
+#: Kinds of rows of a bucket: who holds a shingle; what a class asks.
+_HELD, _ASKED = 0, 1
 #: A class's place among the buckets.
 _home = lambda cls, buckets: (cls.astype(np.uint64) % np.uint64(buckets)).astype(np.int64)
 
 
 def _shared(buckets: int):
-    """Of a bucket the shingles that several classes have, numbered, for who asks for them and, with how many have them, for their classes."""
+    """(bucket, home, body, df): of a bucket the shingles that several classes have, numbered, and how many have them, by the
+    classes' places. Bodies are read twice: by those who ask for them and, with df, by the classes."""
 
     def solve(bucket: int, rows: list[tuple[int, bytes]]) -> Iterator[pa.RecordBatch]:
         cls, size, doc, key, _ = _unpack([x for _, x in rows])
@@ -266,11 +266,19 @@ def _shared(buckets: int):
         home = _home(cls, buckets)
         order = np.lexsort((doc, home[doc]))
         doc, key, df = doc[order], key[order], df[order]
-        out = []
+        out, n = [], 0
         for k, i in _by(home[doc], buckets):
-            out.append((k, _COUNTED, np.array([bucket], "<i8").tobytes() + _pack(cls, size, doc[i], key[i], df[i])))
-            out.append((bucket, _HELD, _pack(cls, size, doc[i], key[i])))
-        yield from _rows(out)
+            out.append((k, _pack(cls, size, doc[i], key[i]), np.minimum(df[i], 65535).astype("<u2").tobytes()))
+            n += len(out[-1][1])
+            if n >= BATCH_BYTES:
+                yield batch(bucket, out)
+                out, n = [], 0
+        if out:
+            yield batch(bucket, out)
+
+    def batch(bucket: int, rows: list[tuple[int, bytes, bytes]]) -> pa.RecordBatch:
+        home, body, df = zip(*rows)
+        return pa.RecordBatch.from_arrays([pa.array([bucket] * len(rows), pa.int32()), pa.array(home, pa.int32()), pa.array(body, pa.binary()), pa.array(df, pa.binary())], names=["bucket", "home", "body", "df"])
 
     return _grouped(solve)
 
@@ -287,9 +295,15 @@ def _set_of(x: bytes) -> np.ndarray:
     return where.astype(np.uint64) << np.uint64(32) | high.astype(np.uint64) << np.uint64(16) | low
 
 
+def needed(size: np.ndarray, containment: float) -> tuple[np.ndarray, np.ndarray]:
+    """How many shingles a set of this size shares with each larger one that it is linked with; how many of those that it asks."""
+    need = np.ceil(size * containment - 1e-9).astype(np.int64)
+    return need, 1 + need // 16
+
+
 def _ask(buckets: int, containment: float):
     """What each class asks: a set that is linked with a larger one shares `need` shingles with it, so that of all those
-    that it shares with any, one at least of the rarest (all but need - 1) is in the larger one.
+    that it shares with any, `least` at least of the rarest (all but need - least) are in the larger one.
 
     Besides, rows (cls, body) of all its shared shingles: what two classes have in common is among these."""
 
@@ -306,15 +320,17 @@ def _ask(buckets: int, containment: float):
             yield _set_rows(ids, bodies)
 
     def solve(_: int, rows: list[tuple[int, bytes]]) -> Iterator[pa.RecordBatch]:
-        cls, size, doc, key, df = _unpack([x[8:] for _, x in rows], True)
-        where = np.repeat([int.from_bytes(x[:8], "little") for _, x in rows], [int.from_bytes(x[16:24], "little") for _, x in rows])
+        cls, size, doc, key, df = _unpack([x for _, x in rows], True)
+        where = np.repeat([k for k, _ in rows], [int.from_bytes(x[8:16], "little") for _, x in rows])
         rows.clear()
         cls, first, inverse = np.unique(cls, return_index=True, return_inverse=True)
         size, doc = size[first], inverse[doc]
         order = np.lexsort((key, where, doc))
         doc, key, df, where = doc[order], key[order], df[order], where[order]
         yield from sets(cls, doc, key, where)
-        take = np.bincount(doc, minlength=len(cls)) - np.ceil(size * containment - 1e-9).astype(np.int64) + 1
+        need, least = needed(size, containment)
+        take = np.bincount(doc, minlength=len(cls)) - need
+        take = np.where(take >= 0, take + least, 0)
         some = take[doc] > 0
         doc, key, df, where = doc[some], key[some], df[some], where[some]
         # among about equally rare ones those of few buckets, so that a pair is found in few; which, differs by class
@@ -336,9 +352,22 @@ def _set_rows(ids: list[int], bodies: list[bytes]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([none, none, pa.array(bodies, pa.binary()), pa.array(ids, pa.int64())], names=["part", "kind", "body", "cls"])
 
 
+def _pack_pairs(u: np.ndarray, cls: np.ndarray, v: np.ndarray, p: np.ndarray, hits: np.ndarray) -> bytes:
+    own, at = np.unique(v, return_inverse=True)
+    width = 2 if len(own) < 65536 else 4
+    body = (np.array([len(own), len(v), width], "<i8"), cls[own].astype("<i8"), at.astype(f"<u{width}"), u.astype("<i8"), p.astype("<i4"), hits.astype("<i4"))
+    return b"".join(x.tobytes() for x in body)
+
+
+def _unpack_pairs(x: bytes) -> tuple[np.ndarray, ...]:
+    n, m, width = np.frombuffer(x, "<i8", 3).tolist()
+    cls, at, u, p, hits = _arrays(x, 24, ("<i8", n), (f"<u{width}", m), ("<i8", m), ("<i4", m), ("<i4", m))
+    return u, cls[at], p, hits
+
+
 def _meet(least: float, ratio: float, buckets: int):
-    """Pairs of classes u that ask for a shingle of v, of sizes p <= q, p >= least * q, packed by v's place: u, v, and p,
-    negative if v is of similar size."""
+    """Pairs of classes u that ask for shingles of v, of sizes p <= q, p >= least * q, packed by v's place: u, v, p, which is
+    negative if v is of similar size, and how many shingles were asked for and found."""
 
     def solve(_: int, rows: list[tuple[int, bytes]]) -> Iterator[pa.RecordBatch]:
         asked = [x for k, x in rows if k == _ASKED]
@@ -352,16 +381,16 @@ def _meet(least: float, ratio: float, buckets: int):
         at, end = np.searchsorted(key, want), np.searchsorted(key, want, "right")
         done = np.cumsum(end - at)
         home = _home(cls, buckets)
-        found: list[np.ndarray] = []
+        found: list[tuple[np.ndarray, np.ndarray]] = []
 
         def packed() -> Iterator[pa.RecordBatch]:
-            code = np.concatenate(found)
+            code, hits = (np.concatenate(x) for x in zip(*found))
             found.clear()
             u, v = code >> 32, code & 0xFFFFFFFF
             by = np.argsort(home[v], kind="stable")
-            u, v = u[by], v[by]
+            u, v, hits = u[by], v[by], hits[by].astype("<i4")
             p = np.where(its[u] >= ratio * size[v], -its[u], its[u]).astype("<i4")
-            yield from _rows([(k, 0, who[u[i]].astype("<i8").tobytes() + cls[v[i]].astype("<i8").tobytes() + p[i].tobytes()) for k, i in _by(home[v], buckets)])
+            yield from _rows([(k, 0, _pack_pairs(who[u[i]], cls, v[i], p[i], hits[i])) for k, i in _by(home[v], buckets)])
 
         i = 0
         while i < len(want):
@@ -373,8 +402,8 @@ def _meet(least: float, ratio: float, buckets: int):
             v = doc[np.repeat(at[i:j] - (np.cumsum(many) - many), many) + np.arange(int(many.sum()))]
             p, q = its[u], size[v]
             ok = ((q > p) | (q == p) & (cls[v] > who[u])) & (p >= least * q)
-            found.append(np.unique(u[ok].astype(np.int64) << 32 | v[ok]))
-            if sum(map(len, found)) >= PAIRS:
+            found.append(np.unique(u[ok].astype(np.int64) << 32 | v[ok], return_counts=True))
+            if sum(len(x) for x, _ in found) >= PAIRS:
                 yield from packed()
             i = j
         if found:
@@ -383,31 +412,38 @@ def _meet(least: float, ratio: float, buckets: int):
     return _grouped(solve)
 
 
-def _gather(_: int, rows: list[tuple[int, bytes]]) -> Iterator[pa.RecordBatch]:
-    """(v, label, us, ps): each class with those that it may have in it and their sizes. label: what's compared with the same
-    sets has the same."""
-    parts = [_arrays(x, 0, ("<i8", n := len(x) // 20), ("<i8", n), ("<i4", n)) for _, x in rows]
-    rows.clear()
-    u, v, p = (np.concatenate(x) for x in zip(*parts))
-    del parts
-    order = np.lexsort((u, v))
-    u, v, p = u[order], v[order], p[order]
-    once = np.append(True, (v[1:] != v[:-1]) | (u[1:] != u[:-1])) if len(v) else np.zeros(0, bool)
-    u, v, p = u[once], v[once], p[once]
-    first = np.flatnonzero(np.append(True, v[1:] != v[:-1])) if len(v) else np.zeros(0, np.int64)
-    if not len(first):
-        return
-    near = np.minimum.reduceat(np.where(p < 0, u, np.iinfo(np.int64).max), first)
-    some = np.logical_or.reduceat(p < 0, first)
-    label = np.where(some, np.minimum(near, v[first]), u[first])
-    ends = np.append(first, len(v))
-    i = 0
-    while i < len(first):
-        # lists of about BATCH_BYTES
-        j = max(i + 1, int(np.searchsorted(ends, ends[i] + BATCH_BYTES // 12, "right")) - 1)
-        off, of = pa.array((ends[i : j + 1] - ends[i]).astype(np.int32)), slice(ends[i], ends[j])
-        yield pa.RecordBatch.from_arrays([pa.array(v[first[i:j]]), pa.array(label[i:j]), pa.ListArray.from_arrays(off, pa.array(u[of])), pa.ListArray.from_arrays(off, pa.array(np.abs(p[of])))], names=["v", "label", "us", "ps"])
-        i = j
+def _gather(containment: float):
+    """(v, label, us, ps): each class with those that it may have in it, as it has enough of what they asked for, and their
+    sizes. label: what's compared with the same sets has the same."""
+
+    def solve(_: int, rows: list[tuple[int, bytes]]) -> Iterator[pa.RecordBatch]:
+        parts = [_unpack_pairs(x) for _, x in rows]
+        rows.clear()
+        u, v, p, hits = (np.concatenate(x) for x in zip(*parts))
+        del parts
+        if not len(u):
+            return
+        order = np.lexsort((u, v))
+        u, v, p, hits = u[order], v[order], p[order], hits[order]
+        once = np.flatnonzero(np.append(True, (v[1:] != v[:-1]) | (u[1:] != u[:-1])))
+        once = once[np.add.reduceat(hits, once, dtype=np.int64) >= needed(np.abs(p[once]), containment)[1]]
+        u, v, p = u[once], v[once], p[once]
+        first = np.flatnonzero(np.append(True, v[1:] != v[:-1])) if len(v) else np.zeros(0, np.int64)
+        if not len(first):
+            return
+        near = np.minimum.reduceat(np.where(p < 0, u, np.iinfo(np.int64).max), first)
+        some = np.logical_or.reduceat(p < 0, first)
+        label = np.where(some, np.minimum(near, v[first]), u[first])
+        ends = np.append(first, len(v))
+        i = 0
+        while i < len(first):
+            # lists of about BATCH_BYTES
+            j = max(i + 1, int(np.searchsorted(ends, ends[i] + BATCH_BYTES // 12, "right")) - 1)
+            off, of = pa.array((ends[i : j + 1] - ends[i]).astype(np.int32)), slice(ends[i], ends[j])
+            yield pa.RecordBatch.from_arrays([pa.array(v[first[i:j]]), pa.array(label[i:j]), pa.ListArray.from_arrays(off, pa.array(u[of])), pa.ListArray.from_arrays(off, pa.array(np.abs(p[of])))], names=["v", "label", "us", "ps"])
+            i = j
+
+    return _grouped(solve)
 
 
 def _placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -548,6 +584,13 @@ def _inside(containment: float, ratio: float):
     return run
 
 
+def settled(spark: SparkSession) -> None:
+    """collected(), and time for shuffle files to go, which they do in the background, before the next ones are written."""
+    for _ in range(2):
+        collected(spark)
+        time.sleep(0.5)
+
+
 class _Index:
     """The classes of a table, one for each set of shingles, and what links them."""
 
@@ -568,13 +611,16 @@ class _Index:
         tasks = min(buckets, int(spark.conf.get("spark.sql.shuffle.partitions")))
         by = lambda df: df.repartitionById(tasks, F.pmod("part", F.lit(tasks))).sortWithinPartitions("part", "kind")
         spread = self.slim.select("text").mapInArrow(_spread(self.words, buckets), "part int, body binary").select("part", F.lit(_HELD).alias("kind"), "body")
-        shared = stored(by(spread).mapInArrow(_shared(buckets), kind))
+        shared = stored(by(spread).mapInArrow(_shared(buckets), "bucket int, home int, body binary, df binary"))
         del spread
-        collected(spark)
-        asked = stored(by(shared.filter(F.col("kind") == _COUNTED)).mapInArrow(_ask(buckets, self.containment), f"{kind}, cls long"))
-        collected(spark)
-        pairs = by(shared.filter(F.col("kind") == _HELD).union(asked.filter("cls is null").drop("cls"))).mapInArrow(_meet(least, self.ratio, buckets), kind)
-        pairs = stored(by(pairs).mapInArrow(_grouped(_gather), "v long, label long, us array<long>, ps array<int>"))
+        settled(spark)
+        counted = shared.select(F.col("home").alias("part"), F.col("bucket").alias("kind"), F.concat("body", "df").alias("body"))
+        asked = stored(by(counted).mapInArrow(_ask(buckets, self.containment), f"{kind}, cls long"))
+        del counted
+        settled(spark)
+        held = shared.select(F.col("bucket").alias("part"), F.lit(_HELD).alias("kind"), "body")
+        pairs = by(held.union(asked.filter("cls is null").drop("cls"))).mapInArrow(_meet(least, self.ratio, buckets), kind)
+        pairs = stored(by(pairs).mapInArrow(_gather(self.containment), "v long, label long, us array<long>, ps array<int>"))
         dropped(shared)
         collected(spark)
         return pairs, asked.filter("cls is not null").select("cls", "body")
@@ -590,9 +636,9 @@ class _Index:
         pairs = pairs.join(many, "label").select(part, "v", "us", "ps")
         who = pairs.repartitionById(tasks, "part").sortWithinPartitions("part").mapInArrow(_placed, "part int, block int, cls long, us array<long>")
         who = stored(who)
-        needed = stored(who.select("cls").distinct())
-        if small(needed) is not needed:
-            sets = sets.join(F.broadcast(needed), "cls", "left_semi")
+        there = stored(who.select("cls").distinct())
+        if small(there) is not there:
+            sets = sets.join(F.broadcast(there), "cls", "left_semi")
         known = self.classes.select("cls", "n", "size", (-F.coalesce("id", F.lit(1 << 62))).alias("less"))
         both = who.join(sets.join(known, "cls"), "cls").select("part", "block", "cls", "us", "n", "size", "less", "body")
         both = both.repartitionById(tasks, "part").sortWithinPartitions("part", "block", F.col("us").isNotNull())

@@ -201,3 +201,16 @@ def test_links_are_summed_where_sets_meet(docs):
     got = {r.doc_id: r for r in nd.link(docs(rows)).collect()}
     assert [got[i].n_links for i, _ in rows] == links and [got[i].part_of is not None for i, _ in rows] == part
     assert nd._Index(docs(rows), nd.CONTAINMENT, nd.RATIO, nd.WORDS).links(0.0, nd.BLOCK).count() < 2 * len(rows)
+
+
+def test_a_common_phrase_is_no_candidate(docs):
+    """Large sets that share a phrase only aren't sent to where sets are compared, close copies are."""
+    rng = random.Random(3)
+    rows = []
+    for k in range(30):
+        words = [f"w{k}x{i}" for i in range(200)]
+        rows += [(3 * k, " ".join(words)), (3 * k + 1, " ".join(words[:-1] + ["end", "of", "it"]))]
+        at = rng.randrange(190)
+        rows.append((3 * k + 2, " ".join([f"v{k}x{i}" for i in range(600)] + words[at : at + 6])))
+    pairs, _ = nd._Index(docs(rows), nd.CONTAINMENT, nd.RATIO, nd.WORDS).candidates(0.0)
+    assert pairs.select(F.sum(F.size("us"))).first()[0] == 30
